@@ -41,30 +41,26 @@ def boundary_pattern(limit: int) -> str:
 _SHED = r"(?s)\A(?:.*?[.!?…][\"'”’»)\]]{0,2}\s+(?=\S)|\S*\s+(?=\S))"
 
 
-def pieces(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """``ARRAY<STRUCT<start, body_start, stop, text>>`` of a text; null stays null.
+def _bodies(text: Column, max_chars: int, overlap: int) -> Column:
+    """The pieces without their overlap; they concatenate to the text."""
+    cut = F.regexp_extract_all(text, F.lit(boundary_pattern(max_chars - overlap)), F.lit(0))
+    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(cut)
 
-    Offsets count code points from 0.  ``text`` = characters ``start`` to ``stop``;
-    those from ``start`` to ``body_start`` repeat the end of the piece before.
-    """
-    if not 0 <= overlap < max_chars:
-        raise ValueError("overlap must be at least 0 and below max_chars")
-    bodies = F.when(F.length(text) <= max_chars, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(boundary_pattern(max_chars - overlap)), F.lit(0)))
-    stops = F.aggregate(
-        bodies,
-        F.array().cast("array<int>"),
-        lambda acc, body: F.concat(acc, F.array(F.length(body) + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0))),
-    )
 
-    def piece(stop: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(stops, i - 1)).otherwise(F.lit(0))
-        before = F.when(i > 1, F.get(stops, i - 2)).otherwise(F.lit(0))
-        reach = F.least(F.lit(overlap), begin - before)
-        kept = F.length(F.regexp_replace(text.substr(begin - reach + 1, reach), _SHED, ""))
-        start = F.when((i > 0) & (F.lit(overlap) > 0), begin - kept).otherwise(begin)
-        return F.struct(start.alias("start"), begin.alias("body_start"), stop.alias("stop"), text.substr(start + 1, stop - start).alias("text"))
+def _stops(bodies: Column) -> Column:
+    """Where each body ends, in code points."""
+    total = lambda acc, body: F.concat(acc, F.array(F.length(body) + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0)))
+    return F.aggregate(bodies, F.array().cast("array<int>"), total)
 
-    return F.transform(stops, piece)
+
+def _piece(text: Column, stops: Column, stop: Column, i: Column, overlap: int) -> Column:
+    """``STRUCT<start, body_start, stop, text>``; from ``start`` to ``body_start`` the end of the piece before."""
+    begin = F.when(i > 0, F.get(stops, i - 1)).otherwise(F.lit(0))
+    before = F.when(i > 1, F.get(stops, i - 2)).otherwise(F.lit(0))
+    reach = F.least(F.lit(overlap), begin - before)
+    kept = F.length(F.regexp_replace(text.substr(begin - reach + 1, reach), _SHED, ""))
+    start = F.when((i > 0) & (F.lit(overlap) > 0), begin - kept).otherwise(begin)
+    return F.struct(start.alias("start"), begin.alias("body_start"), stop.alias("stop"), text.substr(start + 1, stop - start).alias("text"))
 
 
 def split_oversized(
@@ -84,11 +80,17 @@ def split_oversized(
     """
     out = ["piece_no", "piece_text", "piece_offset", "piece_body_offset", "piece_page_start", "piece_page_end"]
     kept = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    if not 0 <= overlap < max_chars:
+        raise ValueError("overlap must be at least 0 and below max_chars")
     n = F.length(F.col(text))
     a, b = F.coalesce(F.col(page_start).cast("int"), F.lit(0)), F.coalesce(F.col(page_end).cast("int"), F.lit(0))
     b = F.when(b == 0, a).otherwise(b)
     lo, hi = F.least(a, b), F.greatest(a, b)
-    rows = df.select(*kept, F.posexplode(pieces(F.col(text), max_chars, overlap)).alias("_i", "_p"), n.alias("_n"), a.alias("_a"), lo.alias("_lo"), hi.alias("_hi"))
+    # One projection each: inside one expression the pieces would be cut again for every use.
+    rows = df.select(*kept, F.col(text).alias("_t"), n.alias("_n"), a.alias("_a"), lo.alias("_lo"), hi.alias("_hi"), _bodies(F.col(text), max_chars, overlap).alias("_b"))
+    rows = rows.withColumn("_s", _stops(F.col("_b"))).drop("_b")
+    rows = rows.select("*", F.posexplode("_s").alias("_i", "_stop"))
+    rows = rows.withColumn("_p", _piece(F.col("_t"), F.col("_s"), F.col("_stop"), F.col("_i"), overlap))
 
     def page(offset: Column) -> Column:
         at = F.col("_lo") + F.floor(offset * (F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1))).cast("int")
