@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from colophon.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.neighbours import similar_pairs
+
+    return similar_pairs(table(spark, folder, "loaded_chunk"), "id", "embedding", dim=64, k=5)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.split import split_oversized
 
@@ -38,6 +44,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
