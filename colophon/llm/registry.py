@@ -43,12 +43,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.union(alike_pairs(table(spark, folder, "message"), "id", "content").select(F.lit("message").alias("table_name"), "id_a", "id_b"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
 }
 
 SQL: dict[str, str] = {
