@@ -49,6 +49,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.stuffing import stuffed_pages
+
+    return stuffed_pages(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.stuffing import score_pages
+
+    return score_pages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -56,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
 }
 
 SQL: dict[str, str] = {
