@@ -49,6 +49,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id").distinct()
 
 
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.mixing import share_report
+
+    return share_report(p8_selection(spark, folder), table(spark, folder, "mix_target"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.stuffing import stuffed_pages
 
@@ -68,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
