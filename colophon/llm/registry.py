@@ -29,6 +29,13 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("text", "page_start", "page_end").dropDuplicates(["chunk_id", "piece_no"])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.spellings import variant_pairs
+
+    documents, short = table(spark, folder, "catalog_document"), table(spark, folder, "given_name_short")
+    return variant_pairs(documents, "author", short).union(variant_pairs(documents, "title"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.conversations import rebuild_conversations
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
