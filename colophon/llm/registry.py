@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from colophon.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.scans import found_repairs
+
+    return found_repairs(table(spark, folder, "chunk_result"))
+
+
+def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.scans import repaired_texts
+
+    return repaired_texts(table(spark, folder, "chunk_result"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.neighbours import similar_pairs
 
@@ -50,6 +62,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.union(alike_pairs(table(spark, folder, "message"), "id", "content").select(F.lit("message").alias("table_name"), "id_a", "id_b"))
 
 
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    from colophon.llm.unify import unify_text
+
+    chunks = unify_text(table(spark, folder, "chunk_result").select("chunk_id", "text"), "text").select(F.lit("chunk_result").alias("table_name"), F.col("chunk_id").alias("id"), "canonical")
+    return chunks.union(unify_text(table(spark, folder, "message").select("id", "content"), "content").select(F.lit("message").alias("table_name"), "id", "canonical"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.leaks import find_leaks
 
@@ -81,12 +100,15 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_texts": p6_texts,
     "p7_found": p7_found,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
