@@ -48,7 +48,7 @@ _SPACES = re.compile("[^\\S\n ]")
 _ODD_WORD = re.compile("\\S*[^\\x00-\\x7fÀ-ÖØ-öø-ÿŒœŸ‐‑–—‘’“”„…«»¬°§\\s]\\S*")
 _CUT_BREAK = re.compile(r"[-‐\u00ad¬][^\S\n]*\n\s*")
 #: A word that no running header has: furniture needs no closer look at such a line.
-_BODY = re.compile(r"(?<![^\W_])(?!against|with|from|into|about|über|gegen|avec|contre|sans)[a-zß-öø-ÿ]{4,}")
+_BODY = re.compile(r"(?<![^\W_])(?!aga|with|from|into|about|über|gegen|avec|contre|sans)[a-zß-öø-ÿ]{4,}")
 _NUMBER_LINE = re.compile(r"^\W*(?:p\.|pp\.|page|seite|s\.)?\W*(\d{1,4})\W*$", re.I)
 _SIDE_NUMBER = re.compile(r"^\W*(\d{1,4})\s*[\s|/·•–—-]\s*(\D.*)$|^(.*\D)[\s|/·•–—-]\s*(\d{1,4})\W*$")
 _SMALL = {"of", "the", "and", "against", "on", "in", "a", "an", "to", "for", "de", "la", "le", "et", "des", "du", "der", "die", "das", "und", "von", "with", "at", "by"}
@@ -73,7 +73,7 @@ def _titled(text: str) -> bool:
         return False
     if sum(c.isupper() for c in text) > 0.6 * sum(c.isalpha() for c in text):
         return True
-    large = [w for w in letters if w.lower().translate(_DIGIT_LETTER) not in _SMALL and len(w) > 2]
+    large = [w for w in letters if len(w) > 3 and w.lower().translate(_DIGIT_LETTER) not in _SMALL and not w.startswith("aga")]
     return bool(large) and all(w[0].isupper() or w[0].isdigit() for w in large) and (letters[0][0].isupper() or letters[0][0].isdigit())
 
 
