@@ -36,6 +36,8 @@ EVIDENCE = 0.1
 #: Pages a printed number may lie from the chunk's pages.
 PAGE_SLACK = 20
 CUT = "\x01"
+#: A longer run of letters and digits is no word (a key, an encoded file) and stays as stored.
+LONGEST = 64
 
 _HARD = re.compile(r"[^\n]\n[^\n]")
 _WORD = re.compile(r"(?:!(?=[^\W\d_]))?[^\W_]+(?:[-'’!\x01‐]+[^\W_]+)*!?")
@@ -146,7 +148,7 @@ def join_lines(lines: list[str | None]) -> str:
 
 def tokens(text: str) -> list[str]:
     """Words with a letter, in lower case; hyphens, apostrophes and misread marks inside stay, a trailing ``!`` too."""
-    return [w for w in _WORD.findall(text.lower()) if not w[0].isdigit() or not w.isdigit()]
+    return [w for w in _WORD.findall(text.lower()) if len(w) <= LONGEST and (not w[0].isdigit() or not w.isdigit())]
 
 
 def _undone(match: re.Match) -> str:
@@ -179,7 +181,8 @@ def counted_words(spaced: Counter) -> Counter:
     out: Counter = Counter()
     for w, n in spaced.items():
         if w.isalpha():
-            out[w] += n
+            if len(w) <= LONGEST:
+                out[w] += n
         elif CUT not in w:
             for x in tokens(w):
                 out[x.strip("!")] += n
