@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Quotes that become ' and ".
 SINGLE_QUOTES = "‘’‚‛‹›"
@@ -35,7 +36,7 @@ BROKEN_WORDS = {
 WORD_ENDINGS = "ing|tion|sion|ment|ness|ous|ive|ful|less|able|ible|ated|ized|ling|ism|ist|ent|ant|ary|ory|ure|ite|ous|al|er|ed|ly|or|us"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(returnType=T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
