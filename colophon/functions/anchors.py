@@ -18,13 +18,17 @@ ANCHORS = (
 CITATION_TAG = r"(?i)\[Source:\s*([^\]]+?),\s*pp?\.\s*(\d+(?:\s*[-–—]\s*\d+)?)\s*(?:—[^\]]*)?\]"
 
 
+def _of_kind(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
 def extract_anchors(text: Column) -> Column:
     """``ARRAY<STRUCT<kind, value>>`` without white space, each kind and value once, by kind then place."""
     found = []
     for kind, pattern in ANCHORS:
         values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.regexp_replace(v, r"(?U)\s+", ""))
         first = F.filter(values, lambda v, i: F.array_position(F.transform(values, F.lower), F.lower(v)) == i + 1)
-        found.append(F.transform(first, lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
+        found.append(F.transform(first, _of_kind(kind)))
     return F.coalesce(F.concat(*found), F.array().cast("array<struct<kind:string,value:string>>"))
 
 

@@ -48,9 +48,12 @@ def _joined(names: Column, show, pair: str, many: str = " et al.") -> Column:
     return F.when(F.size(names) == 1, first).when(F.size(names) == 2, F.concat(first, F.lit(pair), second)).otherwise(F.concat(first, F.lit(many)))
 
 
-def inline(style: str, author: Column, title: Column, year: Column, page: Column) -> Column:
-    """The in-text citation; no author gives Unknown, no year n.d."""
-    names = author_list(author)
+def inline(style: str, author: Column, title: Column, year: Column, page: Column, names: Column | None = None) -> Column:
+    """The in-text citation; no author gives Unknown, no year n.d.
+
+    ``names``: the author list as a column, where several styles are wanted.
+    """
+    names = author_list(author) if names is None else names
     missing = F.coalesce(author, F.lit("")) == ""
     pg, yr = page.cast("string"), F.when(F.coalesce(year, F.lit(0)) == 0, "n.d.").otherwise(year.cast("string"))
     plain = _joined(names, last_name, " and ")
@@ -72,9 +75,9 @@ def inline(style: str, author: Column, title: Column, year: Column, page: Column
     raise ValueError(f"unknown style {style}")
 
 
-def bibliography(style: str, author: Column, title: Column, year: Column, publisher: Column, city: Column, editor: Column | None = None, doc_type: Column | None = None) -> Column:
-    """The bibliography entry."""
-    names = author_list(author)
+def bibliography(style: str, author: Column, title: Column, year: Column, publisher: Column, city: Column, editor: Column | None = None, doc_type: Column | None = None, names: Column | None = None) -> Column:
+    """The bibliography entry; ``names`` as for :func:`inline`."""
+    names = author_list(author) if names is None else names
     second = F.when(F.size(names) == 2, F.concat(F.element_at(names, 1), F.lit(", and "), _swap(F.try_element_at(names, F.lit(2)))))
     long = F.when(F.size(names) == 1, F.element_at(names, 1)).when(F.size(names) == 2, second).otherwise(F.concat(F.element_at(names, 1), F.lit(", et al.")))
     short = _joined(names, _inverted, ", & ", ", et al.")

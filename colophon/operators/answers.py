@@ -170,7 +170,7 @@ def term_sentences(chunks: DataFrame, terms: DataFrame, doc: str = "chunk_id") -
 def quota_by_source(scored: DataFrame, k: int) -> DataFrame:
     """At most k rows a query: max(3, k // sources) best of each source, then the best of the rest; in order of source and page."""
     n = F.size(F.collect_set("source").over(Window.partitionBy("query_id")))
-    quota = F.greatest(F.lit(3), F.floor(k / n))
+    quota = F.coalesce(F.greatest(F.lit(3), F.floor(k / F.nullif(n, F.lit(0)))), F.lit(k))
     r = scored.withColumn("_q", quota).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "doc_id")))
     r = r.withColumn("_g", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_r") > F.col("_q"), F.desc("score"), "doc_id")))
     return r.where(F.col("_g") <= k).drop("_q", "_r", "_g")

@@ -22,6 +22,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def sentences(text: Column) -> Column:
     """Split after ., ! or ? and white space."""
     return F.filter(F.transform(F.split(text, SENTENCE), F.trim), lambda s: s != "")
@@ -89,7 +94,7 @@ def sliding_chunks(docs: DataFrame, size: int = 384, overlap: int = 96, doc: str
 
 def sentence_windows(docs: DataFrame, span: int = 3, least: int = 15, most: int = 512, doc: str = "doc_id", text: str = "text", boundary: str = r"(?<=[.!?])\s+(?=[A-Z\"'])") -> DataFrame:
     """``doc_id, window_index, text`` of ``span`` neighbouring sentences over 20 characters, with 15 to 512 words."""
-    s = F.filter(F.transform(F.split(F.col(text), boundary), F.trim), lambda x: F.length(x) > 20)
+    s = F.filter(F.transform(F.split(F.col(text), boundary), strip), lambda x: F.length(x) > 20)
     rows = docs.select(F.col(doc).alias("doc_id"), s.alias("s")).where(F.size("s") >= span)
     rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("s") - span + 1), lambda i: F.array_join(F.slice("s", i, span), " "))).alias("window_index", "text"))
     n = F.size(words_of(F.col("text")))
@@ -234,7 +239,7 @@ def chunk_documents(docs: DataFrame, pages: DataFrame | None = None, most: int =
 
 def markdown_paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, paragraph_no, heading, text``; a heading of at most 80 characters is carried to the paragraphs after it."""
-    p = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), F.trim), lambda x: x != "")).alias("paragraph_no", "text"))
+    p = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), strip), lambda x: x != "")).alias("paragraph_no", "text"))
     head = F.when(F.col("text").rlike(r"^#{1,6}\s") & (F.length("text") <= 80), F.trim(F.regexp_replace("text", r"^#{1,6}\s+", "")))
     order = Window.partitionBy("doc_id").orderBy("paragraph_no")
     return p.withColumn("_h", head).withColumn("heading", F.coalesce(F.last("_h", ignorenulls=True).over(order), F.lit(""))).where("_h is null").drop("_h")

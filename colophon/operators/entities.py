@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # the join form needs no library
+    ahocorasick = None
+
+#: Aliases that an executor may hold, about 200 bytes each.
+MAX_ALIASES = 500_000
+
 
 def alias_map(entries: DataFrame) -> DataFrame:
     """``alias, canonical_id, load_order`` from ``canonical_id, label, type, aliases, load_order``; the last writer of an alias wins."""
@@ -27,10 +38,13 @@ def ruler_patterns(entries: DataFrame) -> DataFrame:
 def resolve(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, canonical_id, pos`` of gazetteer entries in texts, plain substrings of three characters or more.
 
-    Aliases meet texts on character trigrams (each alias by its first), so the alias
-    table may be of any size and no nested loop runs; ``pos`` orders a document's
-    entries by longest alias, then load order.
+    Up to ``MAX_ALIASES`` aliases go to the executors as one automaton, and a text is
+    read once.  More meet the texts on character trigrams (each alias by its first) in
+    an equi-join.  ``pos`` orders a document's entries by longest alias, load order.
     """
+    some = aliases.where("length(alias) >= 3").limit(MAX_ALIASES + 1)
+    if ahocorasick is not None and some.count() <= MAX_ALIASES:
+        return _resolve_small(docs, some, doc, text)
     a = aliases.where("length(alias) >= 3").withColumn("gram", F.substring("alias", 1, 3))
     heads = a.select("gram").distinct()
     low = docs.select(F.col(doc).alias("doc_id"), F.lower(F.col(text)).alias("t")).where("length(t) >= 3")
@@ -41,6 +55,34 @@ def resolve(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str
     return best.select("doc_id", "canonical_id", (F.row_number().over(order) - 1).alias("pos"))
 
 
+def _resolve_small(docs: DataFrame, aliases: DataFrame, doc: str, text: str) -> DataFrame:
+    rows = [(r["alias"], r["canonical_id"], (-len(r["alias"]), r["load_order"], r["alias"])) for r in aliases.collect()]
+    held = docs.sparkSession.sparkContext.broadcast(rows)
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = ahocorasick.Automaton()
+        for alias, entity, order in held.value:
+            machine.add_word(alias, (entity, order))
+        machine.make_automaton()
+        for batch in batches:
+            out = []
+            for key, value in zip(batch["doc_id"], batch["t"]):
+                best: dict = {}
+                for _, (entity, order) in machine.iter(value) if rows_held(held) and value else ():
+                    if entity not in best or order < best[entity]:
+                        best[entity] = order
+                out += [(key, entity, i) for i, entity in enumerate(sorted(best, key=best.get))]
+            yield pd.DataFrame(out, columns=["doc_id", "canonical_id", "pos"])
+
+    return docs.select(F.col(doc).alias("doc_id"), F.lower(F.col(text)).alias("t")).mapInPandas(run, f"doc_id {kind}, canonical_id string, pos int")
+
+
+def rows_held(held) -> bool:
+    """An automaton without words cannot be searched."""
+    return bool(held.value)
+
+
 def tag(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """E5: documents with ``canonical_ids`` in order; empty without any. The gazetteer bounds the list."""
     ids = resolve(docs, aliases, doc, text).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical_id"))), lambda x: x["canonical_id"]).alias("canonical_ids"))

@@ -51,8 +51,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text:
     weighted = wanted.join(term_stats(docs, doc, text), "term")
     terms = wanted.select("term").distinct()
     # Only the queries' terms become postings; the rest never reaches a shuffle.
+    # The length is taken below the explode, once a document, not above it once a token.
+    tokens = docs.select(F.col(doc).alias("doc_id"), tokenize(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
     used = (
-        docs.select(F.col(doc).alias("doc_id"), F.size(tokenize(F.col(text))).alias("dl"), F.explode(tokenize(F.col(text))).alias("term"))
+        tokens.select("doc_id", "dl", F.explode("w").alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("doc_id", "term", "dl")
         .agg(F.count("*").alias("tf"))

@@ -8,6 +8,7 @@ chunks most like them for the fuzzy tier.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -57,8 +58,10 @@ def containment_pairs(needles: DataFrame, hay: DataFrame, needle_key: str, hay_k
     inner = inner.withColumn("gram", F.when(F.size("w") >= SHINGLE + 2, F.array_join(F.slice("w", 2, SHINGLE), " ")))
     big = inner.where("gram is not null").select(needle_key, F.col("k").alias("nk"), "gram")
     small = inner.where("gram is null").select(needle_key, F.col("k").alias("nk"))
-    grams = hay.select(hay_key, F.col("k").alias("hk"), F.explode(shingles(F.col("k"))).alias("gram")).join(big.select("gram").distinct(), "gram", "left_semi")
-    found = grams.join(big, "gram").where(F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
+    # Keys move with the shingles, texts only to the candidates left.
+    grams = hay.select(hay_key, F.explode(shingles(F.col("k"))).alias("gram")).join(big.select("gram").distinct(), "gram", "left_semi")
+    near = grams.join(big, "gram").select(needle_key, "nk", hay_key).distinct()
+    found = near.join(hay.select(hay_key, F.col("k").alias("hk")), hay_key).where(F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
     rest = hay.select(hay_key, F.col("k").alias("hk")).join(small, F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
     return found.union(rest).distinct()
 
@@ -77,15 +80,20 @@ def window_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
             out.append(SequenceMatcher(None, q, t).ratio())
         else:
             best = 0.0
+            letters = Counter(q)
             for start in range(0, len(t) - len(q) + 1, max(1, len(q) // 4)):
-                best = max(best, SequenceMatcher(None, q, t[start : start + len(q)]).ratio())
+                window = t[start : start + len(q)]
+                # Shared letters bound the ratio from above: most windows end here.
+                if (letters & Counter(window)).total() / len(q) <= best:
+                    continue
+                best = max(best, SequenceMatcher(None, q, window).ratio())
                 if best >= FUZZY:
                     break
             out.append(best)
     return pd.Series(out)
 
 
-def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, candidates: int = 20) -> DataFrame:
+def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, candidates: int = 5) -> DataFrame:
     """V2, V3: ``quote_id, status, source, page, similarity``.
 
     ``quotes``: ``quote_id, quote``; ``chunks``: ``chunk_ord, text, source, page_start``.
