@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.operators.retrieve import passage_score
+from colophon.operators.retrieve import with_passage_score
 
 #: How many fused rows each strategy sees.
 CANDIDATES = {"late": 30, "pair": 30, "none": 200}
@@ -40,8 +40,8 @@ def rerank(ranked: DataFrame, k: int = 10, strategy: str = "none", scorer=None)
     so a model never sees more.  Without a scorer the passage score stands in.
     """
     few = ranked.where(F.col("rank") < CANDIDATES[strategy])
-    value = (scorer or passage_score)(F.col("query"), F.col("text"))
-    s = few.withColumn("rerank_score", F.round(value, 6))
+    s = few.withColumn("rerank_score", scorer(F.col("query"), F.col("text"))) if scorer else with_passage_score(few, out="rerank_score")
+    s = s.withColumn("rerank_score", F.round("rerank_score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return s.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 

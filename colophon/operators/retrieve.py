@@ -104,25 +104,28 @@ def quoted_phrase(query: Column) -> Column:
     return F.coalesce(F.nullif(straight, F.lit("")), F.nullif(curly, F.lit("")))
 
 
-def passage_score(query: Column, text: Column, entities: Column | None = None, query_ids: Column | None = None, chunk_ids: Column | None = None, neighbour_ids: Column | None = None) -> Column:
-    """Token-level score of a passage for a query.
+def with_passage_score(df: DataFrame, query: str = "query", text: str = "text", entities: str | None = None, query_ids: str | None = None, chunk_ids: str | None = None, neighbour_ids: str | None = None, out: str = "passage_score") -> DataFrame:
+    """``df`` with the token-level score of a passage for a query.
 
     A phrase's prefix, or its longest part from the first start that has one; two per
     shared word; five per shared bigram; times boosts for entities and gazetteer ids.
+    Normal forms are columns of their own, so no element of an array computes them again.
     """
-    q, t = normalize_for_matching(query), normalize_for_matching(text)
-    phrase = normalize_for_matching(quoted_phrase(query))
-    words = F.split(phrase, " ")
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2))
+    kept = df.columns
+    staged = df.select("*", normalize_for_matching(F.col(query)).alias("_q"), normalize_for_matching(F.col(text)).alias("_t"), normalize_for_matching(quoted_phrase(F.col(query))).alias("_p"))
+    staged = staged.select("*", F.split("_q", " ").alias("_qw"), F.split("_p", " ").alias("_pw"))
+    pairs = F.when(F.size("_qw") > 1, F.transform(F.sequence(F.lit(1), F.size("_qw") - 1), lambda i: F.array_join(F.slice("_qw", i, 2), " "))).otherwise(F.array().cast("array<string>"))
+    staged = staged.select("*", F.array_distinct(F.filter(pairs, lambda b: F.length(b) > 5)).alias("_b"))
+    t, phrase, n = F.col("_t"), F.col("_p"), F.size("_pw")
 
     def longest_from(start: Column) -> Column:
         ends = F.sequence(F.greatest(n - start + 1, F.lit(1)), F.lit(1))
-        parts = F.transform(ends, lambda size: F.array_join(F.slice(words, start, size), " "))
+        parts = F.transform(ends, lambda size: F.array_join(F.slice("_pw", start, size), " "))
         hit = F.filter(parts, lambda p: (F.length(p) > 10) & t.contains(p))
         return F.when(F.size(hit) > 0, F.least(F.lit(40.0), F.length(F.element_at(hit, 1)) * 0.5)).otherwise(F.lit(0.0))
 
-    partial = F.coalesce(F.get(F.filter(F.transform(starts, longest_from), lambda s: s > 0), F.lit(0)), F.lit(0.0))
+    partial = F.coalesce(F.get(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), longest_from), lambda s: s > 0), F.lit(0)), F.lit(0.0))
     phrase_part = (
         F.when(phrase.isNull(), 0.0)
         .when(t.contains(F.substring(phrase, 1, 50)), 100.0)
@@ -130,12 +133,8 @@ def passage_score(query: Column, text: Column, entities: Column | None = None, q
         .when(t.contains(F.substring(phrase, 1, 20)), 50.0)
         .otherwise(partial)
     )
-    long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2))
-    score = phrase_part + 2.0 * F.size(F.array_intersect(long_words(q), long_words(t)))
-    q_words = F.split(q, " ")
-    pairs = F.when(F.size(q_words) > 1, F.transform(F.sequence(F.lit(1), F.size(q_words) - 1), lambda i: F.array_join(F.slice(q_words, i, 2), " "))).otherwise(F.array().cast("array<string>"))
-    bigrams = F.array_distinct(F.filter(pairs, lambda b: F.length(b) > 5))
-    score = score + 5.0 * F.size(F.filter(bigrams, lambda b: t.contains(b)))
+    score = phrase_part + 2.0 * F.size(F.array_intersect(long_words(F.col("_q")), long_words(t)))
+    score = score + 5.0 * F.size(F.filter("_b", lambda b: t.contains(b)))
     if entities is not None:
         hits = F.size(F.filter(entities, lambda e: t.contains(normalize_for_matching(e))))
         score = score * (1.0 + 0.2 * F.least(hits, F.lit(3)))
@@ -146,12 +145,11 @@ def passage_score(query: Column, text: Column, entities: Column | None = None, q
             near = F.size(F.array_intersect(neighbour_ids, chunk_ids))
             boost = boost.when(near > 0, 1.0 + 0.10 * F.least(near, F.lit(3)))
         score = score * F.coalesce(boost, F.lit(1.0))
-    return F.coalesce(score, F.lit(0.0))
+    return staged.select(*[F.col(f"`{c}`") for c in kept if c != out], F.coalesce(score, F.lit(0.0)).alias(out))
 
 
-def phrase_terms(phrase: Column) -> Column:
-    """Search terms in order: trigrams by length, bigrams by length, the longest word of more than three."""
-    words = F.split(normalize_for_matching(phrase), " ")
+def phrase_terms(words: Column) -> Column:
+    """Search terms of a phrase's words in order: trigrams by length, bigrams by length, the longest word of more than three."""
     n = F.size(words)
 
     def grams(size: int) -> Column:
@@ -169,7 +167,8 @@ def phrase_search(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "
     Terms are found by an equi-join on word n-grams of the documents, the check on
     whole normalised text follows.  ``queries``: ``query_id, query``; score 100.
     """
-    terms = queries.select("query_id", F.posexplode(phrase_terms(quoted_phrase(F.col("query")))).alias("priority", "term")).where("length(term) > 0")
+    split = queries.select("query_id", F.split(normalize_for_matching(quoted_phrase(F.col("query"))), " ").alias("w"))
+    terms = split.select("query_id", F.posexplode(phrase_terms(F.col("w"))).alias("priority", "term")).where("length(term) > 0")
     wanted = terms.select("term").distinct().withColumn("size", F.size(F.split("term", " ")))
     norm = docs.select(F.col(doc).alias("doc_id"), F.split(normalize_for_matching(F.col(text)), " ").alias("w"))
     grams = norm.select("doc_id", F.explode(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda s: F.when(F.size("w") >= s, F.transform(F.sequence(F.lit(1), F.size("w") - s + 1), lambda i: F.array_join(F.slice("w", i, s), " "))).otherwise(F.array().cast("array<string>"))))).alias("term"))
@@ -211,7 +210,7 @@ def source_mentions(queries: DataFrame, sources: DataFrame) -> DataFrame:
     # A source's rarest handle is its first title word: queries meet sources on words.
     q_words = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)))).alias("word"))
     full = named.select("source", "title", "pattern", F.element_at(F.regexp_extract_all("title", F.lit(r"\w+"), F.lit(0)), 1).alias("word")).where("word is not null")
-    whole = q_words.join(full, "word").where(((F.length("title") >= 6) & low.contains(F.col("title"))) | F.col("query").rlike(F.col("pattern"))).select("query_id", "source")
+    whole = q_words.join(full, "word").where(((F.length("title") >= 6) & low.contains(F.col("title"))) | F.rlike(F.col("query"), F.col("pattern"))).select("query_id", "source")
     heads = unique.select("source", "part", F.element_at(F.regexp_extract_all("part", F.lit(r"\w+"), F.lit(0)), 1).alias("word")).where("word is not null")
     some = q_words.join(heads, "word").where(low.contains(F.col("part"))).select("query_id", "source")
     found = whole.union(some).distinct()

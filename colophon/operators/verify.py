@@ -39,9 +39,16 @@ def match_key(text: Column) -> Column:
     return strip_for_comparison(normalize_for_matching(text, markdown=True))
 
 
-def shingles(text: Column, n: int = SHINGLE) -> Column:
-    """Word n-grams of a text; a shorter text is one of its own."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+def words_in(text: Column) -> Column:
+    """Words of a text in any script."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def shingles(words: Column, n: int = SHINGLE) -> Column:
+    """Distinct word n-grams of a column of words; fewer words are one of their own.
+
+    ``words`` must be a column of its own: an expression would run again for every n-gram.
+    """
     grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.filter(F.array(F.array_join(words, " ")), lambda w: w != ""))
 
@@ -53,13 +60,12 @@ def containment_pairs(needles: DataFrame, hay: DataFrame, needle_key: str, hay_k
     word may be cut), so no nested loop runs; needles of fewer than five words block on
     what inner words they have, and those without any meet every row.
     """
-    words = F.regexp_extract_all(F.col("k"), F.lit(r"(?U)\w+"), F.lit(0))
-    inner = needles.select(needle_key, "k", words.alias("w"))
+    inner = needles.select(needle_key, "k", words_in(F.col("k")).alias("w"))
     inner = inner.withColumn("gram", F.when(F.size("w") >= SHINGLE + 2, F.array_join(F.slice("w", 2, SHINGLE), " ")))
     big = inner.where("gram is not null").select(needle_key, F.col("k").alias("nk"), "gram")
     small = inner.where("gram is null").select(needle_key, F.col("k").alias("nk"))
     # Keys move with the shingles, texts only to the candidates left.
-    grams = hay.select(hay_key, F.explode(shingles(F.col("k"))).alias("gram")).join(big.select("gram").distinct(), "gram", "left_semi")
+    grams = hay.select(hay_key, words_in(F.col("k")).alias("w")).select(hay_key, F.explode(shingles(F.col("w"))).alias("gram")).join(big.select("gram").distinct(), "gram", "left_semi")
     near = grams.join(big, "gram").select(needle_key, "nk", hay_key).distinct()
     found = near.join(hay.select(hay_key, F.col("k").alias("hk")), hay_key).where(F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
     rest = hay.select(hay_key, F.col("k").alias("hk")).join(small, F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
@@ -114,8 +120,8 @@ def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, cand
     if not fuzzy:
         return exact.unionByName(short).unionByName(none)
     near = (
-        left.select("quote_id", F.explode(shingles(F.col("k"), 2)).alias("g"))
-        .join(hay.select("chunk_ord", F.explode(shingles(F.col("k"), 2)).alias("g")), "g")
+        left.select("quote_id", words_in(F.col("k")).alias("w")).select("quote_id", F.explode(shingles(F.col("w"), 2)).alias("g"))
+        .join(hay.select("chunk_ord", words_in(F.col("k")).alias("w")).select("chunk_ord", F.explode(shingles(F.col("w"), 2)).alias("g")), "g")
         .groupBy("quote_id", "chunk_ord")
         .agg(F.count("*").alias("n"))
     )

@@ -127,7 +127,7 @@ def rrf_hybrid(spark, d):
 def passage_scores(spark, d):
     docs, asked = table(spark, d, "documents"), _asked(spark, d)
     top = index.bm25_topk(docs, asked, 10).join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
-    return top.select("query_id", "doc_id", F.round(retrieve.passage_score(F.col("query"), F.col("text")), 6).alias("passage_score"))
+    return retrieve.with_passage_score(top).select("query_id", "doc_id", F.round("passage_score", 6).alias("passage_score"))
 
 
 @query()
@@ -180,6 +180,14 @@ def context_labels(spark, d):
     return top.select("query_id", retrieve.context_label(F.col("rank") + 1, F.col("source"), none, none, F.lit("")).alias("label"), "doc_id")
 
 
+@query()
+def full_search(spark, d):
+    from colophon.plans.search import search
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return search(docs, _asked(spark, d)).select("query_id", "doc_id", "rank", "rerank_score", "source")
+
+
 # --- text ------------------------------------------------------------------------------
 
 MATCH = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[–—―−]', '-', 'g'), '-{{2,}}', '-', 'g'), '[\"''“”‘’«»]', '', 'g'), '{SPACE}+', ' ', 'g'))"
