@@ -161,7 +161,7 @@ def term_sentences(chunks: DataFrame, terms: DataFrame, doc: str = "chunk_id") -
 
     Terms meet sentences on the term's first word, so no nested loop runs.
     """
-    t = terms.select("term", F.lower("term").alias("low")).withColumn("word", F.element_at(F.regexp_extract_all("low", F.lit(r"\w+"), F.lit(0)), 1)).where("word is not null")
+    t = terms.select("term", F.lower("term").alias("low")).withColumn("word", F.try_element_at(F.regexp_extract_all("low", F.lit(r"\w+"), F.lit(0)), F.lit(1))).where("word is not null")
     s = chunks.select(F.col(doc).alias("chunk"), F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("sentence")).where("length(sentence) >= 20")
     w = s.select("chunk", "sentence", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"\w+"), F.lit(0)))).alias("found"))
     return w.join(t, F.col("found").startswith(F.col("word")) & (F.col("found") == F.col("word"))).where(F.lower("sentence").contains(F.col("low"))).select("term", "chunk", "sentence").distinct()

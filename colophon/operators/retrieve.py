@@ -196,7 +196,7 @@ def source_mentions(queries: DataFrame, sources: DataFrame) -> DataFrame:
     stop = r"^(?:(?:the|a|an|what|who|when|where|why|how|which|is|are|was|were|do|does|did) )+"
     title = F.trim(F.regexp_replace(F.lower("source"), r"^\d{4}\s+", ""))
     s = sources.select("source").where("source is not null").distinct().withColumn("title", title)
-    short = F.trim(F.element_at(F.split(F.replace(F.col("title"), F.lit(".pdf"), F.lit("")), " - "), 1))
+    short = F.trim(F.get(F.split(F.replace(F.col("title"), F.lit(".pdf"), F.lit("")), " - "), F.lit(0)))
     s = s.withColumn("words", F.split(F.regexp_replace(F.concat(short, F.lit(" ")), stop, ""), r"\s+"))
     s = s.withColumn("words", F.filter("words", lambda w: w != ""))
     parts = s.select("source", F.explode(F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", 1, n), " ")))).alias("part")).where("length(part) >= 5")
@@ -209,9 +209,9 @@ def source_mentions(queries: DataFrame, sources: DataFrame) -> DataFrame:
     named = s.withColumn("pattern", pattern)
     # A source's rarest handle is its first title word: queries meet sources on words.
     q_words = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    full = named.select("source", "title", "pattern", F.element_at(F.regexp_extract_all("title", F.lit(r"\w+"), F.lit(0)), 1).alias("word")).where("word is not null")
+    full = named.select("source", "title", "pattern", F.try_element_at(F.regexp_extract_all("title", F.lit(r"\w+"), F.lit(0)), F.lit(1)).alias("word")).where("word is not null")
     whole = q_words.join(full, "word").where(((F.length("title") >= 6) & low.contains(F.col("title"))) | F.rlike(F.col("query"), F.col("pattern"))).select("query_id", "source")
-    heads = unique.select("source", "part", F.element_at(F.regexp_extract_all("part", F.lit(r"\w+"), F.lit(0)), 1).alias("word")).where("word is not null")
+    heads = unique.select("source", "part", F.try_element_at(F.regexp_extract_all("part", F.lit(r"\w+"), F.lit(0)), F.lit(1)).alias("word")).where("word is not null")
     some = q_words.join(heads, "word").where(low.contains(F.col("part"))).select("query_id", "source")
     found = whole.union(some).distinct()
     return found.withColumn("n_sources", F.count("*").over(Window.partitionBy("query_id")))

@@ -150,7 +150,7 @@ def find_file(names: DataFrame, files: DataFrame) -> DataFrame:
     f = files.select("file", low.alias("f")).where(F.lower("file").endswith(".pdf"))
     s = names.select("source", F.trim(F.regexp_replace(F.lower("source"), r"^\d{4}\s+", "")).alias("t"), F.lower("source").alias("l"))
     f = f.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("f", F.lit(r"(?U)\w+"), F.lit(0)))))
-    s = s.withColumn("w", F.element_at(F.regexp_extract_all("t", F.lit(r"(?U)\w{3,}"), F.lit(0)), 1))
+    s = s.withColumn("w", F.try_element_at(F.regexp_extract_all("t", F.lit(r"(?U)\w{3,}"), F.lit(0)), F.lit(1)))
     hit = s.join(f, "w").where((F.length("t") > 0) & (F.col("f").contains(F.col("t")) | F.col("f").contains(F.col("l"))))
     return hit.groupBy("source").agg(F.min("file").alias("file"))
 
