@@ -7,9 +7,19 @@ terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+#: Bounds of what an executor holds of a set of queries, and of a block of documents.
+MAX_CELLS, MAX_TERMS, ROW_CELLS = 20_000_000, 200_000, 4_000_000
 K1, B, NEGATIVE_SHARE = 1.5, 0.75, 0.25
 
 
@@ -70,9 +80,64 @@ def top_per_query(scores: DataFrame, k: int, by: str = "score", doc: str = "doc_
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **names) -> DataFrame:
-    """BM25 top k of every query."""
-    return top_per_query(bm25_scores(docs, queries, **names), k)
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
+    """``query_id, doc_id, score, rank``: BM25 top k of every query; ties by document.
+
+    A set of queries whose terms fit in memory (``MAX_CELLS``) goes to the executors as
+    a terms x queries matrix of weights; each Arrow batch of documents becomes a
+    documents x terms matrix, one product scores all pairs, and only the batch's own
+    top k of each query is shuffled.  A larger set of queries takes the join of
+    :func:`bm25_scores`.  Rows without a document id are no hits.
+    """
+    wanted = queries.select(F.col(query).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    size = wanted.agg(F.countDistinct("query_id").alias("q"), F.countDistinct("term").alias("t")).first()
+    if size["q"] * size["t"] > MAX_CELLS or size["t"] > MAX_TERMS or not size["q"]:
+        return top_per_query(bm25_scores(docs, queries, doc, text, query, query_text), k)
+    stats = wanted.join(term_stats(docs, doc, text), "term").select("query_id", "term", "qtf", "idf").toPandas()
+    average = doc_lengths(docs, doc, text).agg(F.avg("dl")).first()[0] or 1.0
+    terms = sorted(set(stats["term"]))
+    asked = sorted(set(stats["query_id"]))
+    weights = np.zeros((len(terms), len(asked)))
+    at_t, at_q = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(asked)}
+    for q, t, n, idf in stats.itertuples(index=False):
+        weights[at_t[t], at_q[q]] = n * idf * (K1 + 1)
+    held = docs.sparkSession.sparkContext.broadcast((terms, np.array(asked), weights, float(average)))
+    kind = docs.schema[doc].dataType.simpleString()
+    id_kind = queries.schema[query].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        terms, asked, weights, average = held.value
+        values = pa.array(terms, pa.string())
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            by_id = np.argsort(ids, kind="stable")
+            lists = batch.column(1).take(pa.array(by_id))
+            ids = ids[by_id]
+            length = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), length)
+            row, found = row[found >= 0], found[found >= 0]
+            step = max(1, ROW_CELLS // max(len(terms), len(asked)))
+            tops = []
+            for i in range(0, len(ids), step):
+                lo, hi = np.searchsorted(row, [i, min(i + step, len(ids))])
+                n = min(step, len(ids) - i)
+                tf = np.bincount((row[lo:hi] - i) * len(terms) + found[lo:hi], minlength=n * len(terms)).reshape(n, len(terms)).astype(np.float64)
+                norm = K1 * (1 - B + B * length[i : i + n] / average)
+                s = np.round((tf / (tf + norm[:, None])) @ weights, 6)
+                m = min(k, n)
+                top = np.argsort(-s, axis=0, kind="stable")[:m]  # rows are in order of id: ties go to the lesser
+                best = np.take_along_axis(s, top, 0)
+                r, c = np.nonzero(best > 0)
+                tops.append(pd.DataFrame({"query_id": asked[c], "doc_id": ids[i + top[r, c]], "score": best[r, c]}))
+            if tops:
+                out = pd.concat(tops).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True], kind="stable")
+                yield pa.RecordBatch.from_pandas(out.groupby("query_id", sort=False).head(k), schema=shape, preserve_index=False)
+
+    spec = f"query_id {id_kind}, doc_id {kind}, score double"
+    shape = to_arrow_schema(_parse_datatype_string(spec))
+    rows = docs.select(F.col(doc).alias("doc_id"), tokenize(F.col(text)).alias("w")).where("doc_id is not null and w is not null")
+    return top_per_query(rows.mapInArrow(score, spec), k)
 
 
 def longest_word(query: Column) -> Column:

@@ -75,6 +75,12 @@ def bm25_topk(spark, d):
     return index.bm25_topk(table(spark, d, "documents"), _asked(spark, d), 10)
 
 
+@query(f"with {BM25} select query_id, doc_id, score from bm25 where rank < 10")
+def bm25_join(spark, d):
+    # The plan for sets of queries that no executor could hold.
+    return index.top_per_query(index.bm25_scores(table(spark, d, "documents"), _asked(spark, d)), 10).drop("rank")
+
+
 @query(f"with {BM25} select term, df, round(idf, 6) as idf from idf")
 def term_stats(spark, d):
     return index.term_stats(table(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
