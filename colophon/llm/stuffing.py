@@ -1,7 +1,8 @@
 """Keyword-stuffed and link-list pages, by word association over the whole corpus.
 
-Pass one counts every word and every pair of neighbouring words of the corpus in
-fixed-size count sketches (two rows of counters each, the least wins, less the mean
+Pass one counts, for every word and every pair of neighbouring words of the corpus, the
+documents that hold it (so copies of a page do not vouch for it), in fixed-size count
+sketches (two rows of counters each, the least wins, less the mean
 noise of a counter).  Their size does not grow with the corpus, so the broadcast has a
 proven bound.  Pass two scores each document against them: the pointwise mutual
 information (PMI) of neighbours, the document's own counts left out, tells running
@@ -28,8 +29,8 @@ PAIR_CELLS, WORD_CELLS = 1 << 21, 1 << 18
 REPEATS, EXCESS = 2, 6.0
 #: Tokens on either side that decide a token's stretch, and the share of them that must be stuffed.
 REACH, DENSE = 12, 0.5
-#: Mean PMI (bits) in a stretch below which it is salad, if few of its tokens are numbers.
-SALAD = -1.5
+#: Mean PMI (bits, by documents) in a stretch below which it is salad, if few of its tokens are numbers.
+SALAD = -6.0
 #: Share of the text in such stretches from which a page is flagged.
 FLAG = 0.5
 
@@ -64,6 +65,12 @@ def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(numbers, np.uint64), np.array(lengths, np.int64), np.repeat(np.arange(len(texts)), sizes)
 
 
+def _once(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Each hash once per document, so that a page and its copies do not vouch for one another."""
+    _, first = np.unique(_mix(h, 4) + docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+    return h[first]
+
+
 def _mix(h: np.ndarray, row: int) -> np.ndarray:
     h = (h ^ np.uint64(0x9E3779B97F4A7C15 + row)) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(32))
@@ -81,6 +88,7 @@ class Sketch:
 
     def __init__(self, cells: int) -> None:
         self.cells, self.total, self.rows = cells, 0, np.zeros((2, cells), np.int64)
+        self.texts = 0
 
     def places(self, h: np.ndarray, row: int) -> np.ndarray:
         return (_mix(h, row) % np.uint64(self.cells)).astype(np.int64)
@@ -100,19 +108,21 @@ class Sketch:
 
 
 def corpus_counts(texts: DataFrame, text: str, pair_cells: int = PAIR_CELLS, word_cells: int = WORD_CELLS) -> tuple[Sketch, Sketch]:
-    """Sketches of word and pair counts over all rows.
+    """Sketches of the number of documents, of all rows, that hold each word and each pair.
 
     Each task counts into its own sketch and sends the counters in use; a pre-aggregated
     sum merges them.  At most ``2 * (pair_cells + word_cells)`` rows reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = Sketch(word_cells), Sketch(pair_cells)
+        words, pairs, texts = Sketch(word_cells), Sketch(pair_cells), 0
         for batch in batches:
             numbers, _, docs = _flat(batch.column(0).to_pylist())
-            words.add(numbers)
+            words.add(_once(numbers, docs))
             h, same = _pairs(numbers, docs)
-            pairs.add(h[same])
+            pairs.add(_once(h[same], docs[:-1][same] if len(docs) else docs))
+            texts += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([texts], pa.int64())], ["cell", "n"])
         for base, sketch in ((0, words), (2 * word_cells, pairs)):
             flat = sketch.rows.ravel()
             used = np.flatnonzero(flat)
@@ -124,6 +134,8 @@ def corpus_counts(texts: DataFrame, text: str, pair_cells: int = PAIR_CELLS, wor
     got = sums.select(F.col("cell").cast("int"), "n").toPandas()
     words, pairs = Sketch(word_cells), Sketch(pair_cells)
     cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    words.texts = pairs.texts = int(n[cell < 0].sum())
+    cell, n = cell[cell >= 0], n[cell >= 0]
     low = cell < 2 * word_cells
     words.rows.ravel()[cell[low]] = n[low]
     pairs.rows.ravel()[cell[~low] - 2 * word_cells] = n[~low]
@@ -148,16 +160,16 @@ def score(texts: list[str | None], words: Sketch, pairs: Sketch) -> dict[str, np
     _, lead, of_lead = np.unique(_mix(numbers[at], 3) + salt, return_inverse=True, return_counts=True)
     of_lead = of_lead[lead]
     n_doc = np.bincount(doc, minlength=size)
-    elsewhere = np.maximum(pairs.counts(h[one]) - own_by_group, 0.0)
-    rest = elsewhere[group]
-    unit = words.counts(numbers)
+    # In how many other documents: of the pair, and of its words.
+    rest = np.maximum(pairs.counts(h[one]) - 1.0, 0.0)[group]
+    unit = np.maximum(words.counts(numbers) - 1.0, 0.0)
     a, b = unit[at], unit[at + 1]
-    pmi = np.log2(np.maximum(rest, 0.05) * max(1, words.total) / (np.maximum(a, 1.0) * np.maximum(b, 1.0)))
+    pmi = np.log2(np.maximum(rest, 0.05) * max(1, words.texts) / (np.maximum(a, 1.0) * np.maximum(b, 1.0)))
     # Of its first word's occurrences in the document, how many would the corpus follow with the second?
-    elsewhere_lead = np.maximum(a - of_lead, 0.0)
-    expected = of_lead * np.minimum(1.0, rest / np.maximum(elsewhere_lead, 1.0))
-    figures = (numbers[at] == NUM) & (numbers[at + 1] == NUM)
-    stuffed_pair = (own >= REPEATS) & (own >= EXCESS * expected) & ~figures
+    expected = of_lead * np.minimum(1.0, rest / np.maximum(a, 1.0))
+    # Page numbers and years repeat in any index: a pair with a figure must repeat more, one of two figures never counts.
+    one_figure, figures = (numbers[at] == NUM) ^ (numbers[at + 1] == NUM), (numbers[at] == NUM) & (numbers[at + 1] == NUM)
+    stuffed_pair = (own >= np.where(one_figure, 2 * REPEATS, REPEATS)) & (own >= EXCESS * expected) & ~figures
     # Tokens of stuffed pairs, then stretches of them.
     hot = (numbers == URL) | (numbers == TAG)
     hot[at[stuffed_pair]] = True
@@ -174,9 +186,10 @@ def score(texts: list[str | None], words: Sketch, pairs: Sketch) -> dict[str, np
 
     dense = around(hot * weight) >= DENSE * around(weight)
     pair_pmi, pair_ok = np.zeros(len(numbers)), np.zeros(len(numbers))
-    pair_pmi[at], pair_ok[at] = np.where(figures, 0.0, pmi), (~figures).astype(float)
+    worded = ~(figures | one_figure)
+    pair_pmi[at], pair_ok[at] = np.where(worded, pmi, 0.0), worded.astype(float)
     held = around(pair_ok)
-    salad = (around(pair_pmi) < SALAD * held) & (held >= REACH)
+    salad = (around(pair_pmi) < SALAD * held) & (held >= 1.5 * REACH)
     flagged = dense | salad
     chars = np.bincount(docs, weights=weight, minlength=size)
     out["stuffed"] = np.bincount(docs, weights=weight * flagged, minlength=size) / np.maximum(chars, 1)
