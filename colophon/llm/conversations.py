@@ -66,10 +66,11 @@ def _links(messages: DataFrame) -> DataFrame:
         F.col("id").alias("src"), F.explode(F.array(*[F.get_json_object(meta, f"$.{k}") for k in REPLY_KEYS + QUOTE_KEYS])).alias("dst")
     )
     named = named.where("dst is not null").join(messages.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-    body = F.trim(F.col("content"))
+    strip = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    body = strip(F.col("content"))
     quoting = messages.where(F.col("content").startswith(">")).select(
         F.col("id").alias("src"),
-        F.xxhash64(F.trim(F.regexp_replace(F.regexp_extract("content", r"\A((?:>[^\n]*(?:\n|\z))+)", 1), r"(?m)^>\s?", ""))).alias("print"),
+        F.xxhash64(strip(F.regexp_replace(F.regexp_extract("content", r"\A((?:>[^\n]*(?:\n|\z))+)", 1), r"(?m)^>[^\S\n]?", ""))).alias("print"),
     )
     quoted = messages.where(body != "").select(F.col("id").alias("dst"), F.xxhash64(body).alias("print"))
     # One source per quoted text: its least id, so a text said a million times gives one link.

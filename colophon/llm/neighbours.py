@@ -146,7 +146,7 @@ class CentroidGraph:
     def search(self, q: np.ndarray, width: int, hops: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """``width`` near centroids of each query, best first, and their cosines."""
         s = q @ self.entry.T
-        m = min(2, s.shape[1])
+        m = min(3, s.shape[1])
         start = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(q), 1))
         found = [self._expand(q, start[:, j], self.down, width) for j in range(m)]
         ids, sims = self._merge(np.concatenate([f[0] for f in found], 1), np.concatenate([f[1] for f in found], 1), width)
