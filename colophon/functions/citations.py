@@ -10,7 +10,7 @@ STYLES = ("mla", "apa", "chicago", "harvard", "asa", "sage")
 
 def author_list(author: Column) -> Column:
     """Names of an author field; single words parted by a comma pair up as ``Last, First``."""
-    parts = F.transform(F.split(F.regexp_replace(F.regexp_replace(author, " and ", ","), " & ", ","), ","), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.regexp_replace(author, " and ", ","), " & ", ","), ","), lambda x: F.trim(x))
     step = lambda acc, p: F.when(
         (acc["open"] != "") & ~p.contains(" "), F.struct(F.concat(acc["names"], F.array(F.concat(acc["open"], F.lit(", "), p))).alias("names"), F.lit("").alias("open"))
     ).when(~p.contains(" ") & (p != ""), F.struct(F.concat(acc["names"], F.when(acc["open"] != "", F.array(acc["open"])).otherwise(F.array().cast("array<string>"))).alias("names"), p.alias("open"))).otherwise(

@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after ., ! or ? and white space."""
-    return F.filter(F.transform(F.split(text, SENTENCE), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def trim_to_sentence(text: Column) -> Column:

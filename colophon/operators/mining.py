@@ -26,7 +26,7 @@ def sample_by_hash(rows: DataFrame, key: str, n: int = 50, seed: int = 42) -> Da
 
 def page_metadata(text: Column) -> Column:
     """``STRUCT<isbn, year, publisher, translator, title>`` by patterns; empty where none fits."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (F.length(x) > 3) & ~x.rlike(r"\d"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 3) & ~x.rlike(r"\d"))
     longest = F.aggregate(lines, F.lit(""), lambda b, x: F.when(F.length(x) > F.length(b), x).otherwise(b))
     return F.struct(
         F.regexp_replace(F.regexp_extract(text, r"(?i)ISBN(?:-1[03])?:?\s*([0-9Xx][0-9Xx\- ]{8,16}[0-9Xx])", 1), r"[\- ]", "").alias("isbn"),

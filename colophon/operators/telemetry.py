@@ -28,7 +28,7 @@ def since(events: DataFrame, at: str, now: Column, days: int) -> DataFrame:
 
 def daily(events: DataFrame, at: str, by: list[str], value: str) -> DataFrame:
     """Count and mean per day and group."""
-    return events.groupBy(F.date_trunc("day", at).alias("day"), *by).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean_value"))
+    return events.groupBy(F.date_trunc("day", at).alias("day"), *by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_value"))
 
 
 def masked_query(query: Column) -> Column:

@@ -493,7 +493,7 @@ def telemetry_rollup(spark, d):
     return telemetry.roll_up(e.select(F.create_map("event_type", F.lit(True)).alias("flags"), F.create_map(F.lit("total"), "value").alias("timings_ms"), F.get_json_object("props", "$.k").cast("int").alias("n_fused"), F.lit(0).alias("n_colbert")))
 
 
-@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(avg(value), 4) as mean_value from events group by all")
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by all")
 def telemetry_daily(spark, d):
     return telemetry.daily(table(spark, d, "events"), "ts", ["event_type"], "value").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
