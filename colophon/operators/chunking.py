@@ -225,6 +225,17 @@ def recursive_split(docs: DataFrame, most: int = 512, overlap: int = 64, doc: st
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, piece_no int, text string, start int, length int")
 
 
+def packed_pages(pages: DataFrame, most: int = 512, overlap: int = 64, doc: str = "doc_id") -> DataFrame:
+    """Pieces of each page by whole sentences where they fit: ``doc, page, piece_no, text, start, length``."""
+    keyed = pages.select(F.struct(doc, "page").alias("k"), F.regexp_replace("text", r"\s*\n\s*", " ").alias("text"))
+    return recursive_split(keyed, most, overlap, "k", "text").select(f"doc_id.{doc}", "doc_id.page", "piece_no", "text", "start", "length")
+
+
+def described(content: Column, description: Column) -> Column:
+    """A table or equation behind its description; alone without one."""
+    return contextual(content, description)
+
+
 def chunk_documents(docs: DataFrame, pages: DataFrame | None = None, most: int = 512, overlap: int = 64, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Sections, pieces, page spans: ``doc_id, chunk_index, heading, text, start, length, page_start, page_end``."""
     sections = split_by_headers(docs, doc, text)

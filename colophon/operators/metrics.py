@@ -152,6 +152,18 @@ def term_report(quotes: DataFrame, expected: DataFrame) -> DataFrame:
     return j.select("query_id", n.alias("n_quotes"), F.round(F.coalesce(F.col("ok") / F.nullif(n, F.lit(0)), F.lit(0.0)), 4).alias("verify_rate"), F.round(F.coalesce(hit / F.nullif(F.size("expected_sources"), F.lit(0)), F.lit(0.0)), 4).alias("source_coverage"), (n >= F.col("min_citations")).alias("enough"))
 
 
+def page_accuracy(pages: Column, expected: Column, slack: int = 0) -> Column:
+    """Share of cited pages that are expected, or within ``slack`` of one; 0 without a cited page."""
+    near = F.filter(pages, lambda p: F.exists(expected, lambda e: F.abs(p - e) <= slack))
+    return F.when(F.size(pages) > 0, F.round(F.size(near) / F.size(pages), 4)).otherwise(F.lit(0.0))
+
+
+def named_share(text: Column, names: Column) -> Column:
+    """Share of names, concepts or stages that a text mentions, case aside."""
+    low = F.lower(text)
+    return F.when(F.size(names) > 0, F.round(F.size(F.filter(names, lambda n: low.contains(F.lower(n)))) / F.size(names), 4)).otherwise(F.lit(0.0))
+
+
 def citation_outcome(n_quotes: Column, text: Column) -> Column:
     """QUOTED with quotes, ABSTAINED for a stated refusal, else NO_QUOTES."""
     refusal = F.lower(text).rlike(r"could not find|no (?:confident )?match|not (?:found|present) in the (?:provided|retrieved)")

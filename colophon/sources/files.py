@@ -55,6 +55,27 @@ def validate_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return agg.select(doc, (F.size(errors) == 0).alias("valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
+def validate_files(files: DataFrame) -> DataFrame:
+    """S3: ``path, valid, errors, warnings`` of EPUB and DOCX files (``path, content``); other types are valid here."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                kind, errors, warnings = path.rsplit(".", 1)[-1].lower(), [], []
+                try:
+                    if kind == "epub" and not read_epub(bytes(content)):
+                        errors.append("no content documents")
+                    if kind == "docx" and not read_docx(bytes(content)):
+                        warnings.append("no paragraphs")
+                except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
+                    errors.append(f"corrupt: {type(e).__name__}")
+                rows.append((path, not errors, errors, warnings))
+            yield pd.DataFrame(rows, columns=["path", "valid", "errors", "warnings"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, valid boolean, errors array<string>, warnings array<string>")
+
+
 def ocr_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """``path, text`` of Markdown files without image links."""
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder)
