@@ -28,7 +28,7 @@ SCALE = 32767.0
 #: Bounds of the fit: vectors wanted per list, sampled vectors per list, sample rows.
 LIST_SIZE, SAMPLE_PER_LIST, SAMPLE_ROWS = 256, 24, 400_000
 #: Posting and probing: distance ratio and most lists for each.
-POST_RATIO, POST_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 3, 1.30, 6
+POST_RATIO, POST_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 3, 1.25, 5
 BLOCK = 4096
 
 
