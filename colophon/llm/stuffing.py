@@ -31,6 +31,9 @@ REPEATS, EXCESS = 2, 6.0
 REACH, DENSE = 12, 0.5
 #: Mean PMI (bits, by documents) in a stretch below which it is salad, if few of its tokens are numbers.
 SALAD = -6.0
+#: A word bursts if a page has it this often and in this share of its words, while at most this share of
+#: pages hold it; a stretch counts if bursting words hold this share of it.
+BURST, BURST_SHARE, RARE, BURST_DENSE = 3, 0.015, 0.1, 0.6
 #: Share of the text in such stretches from which a page is flagged.
 FLAG = 0.5
 
@@ -190,7 +193,11 @@ def score(texts: list[str | None], words: Sketch, pairs: Sketch) -> dict[str, np
     pair_pmi[at], pair_ok[at] = np.where(worded, pmi, 0.0), worded.astype(float)
     held = around(pair_ok)
     salad = (around(pair_pmi) < SALAD * held) & (held >= 1.5 * REACH)
-    flagged = dense | salad
+    # Words that a page repeats and few other pages hold: lists of one shop's phrases in any order.
+    burst = np.zeros(len(numbers), bool)
+    burst[at] = (of_lead >= BURST) & (of_lead >= BURST_SHARE * n_doc[doc]) & (a < RARE * words.texts) & (numbers[at] != NUM)
+    bursting = around((burst | hot) * weight) >= BURST_DENSE * around(weight)
+    flagged = dense | salad | bursting
     chars = np.bincount(docs, weights=weight, minlength=size)
     out["stuffed"] = np.bincount(docs, weights=weight * flagged, minlength=size) / np.maximum(chars, 1)
     out["repeated"] = np.bincount(doc, weights=stuffed_pair, minlength=size) / np.maximum(n_doc, 1)
