@@ -33,7 +33,7 @@ REACH, DENSE = 12, 0.5
 SALAD = -6.0
 #: A word bursts if a page has it this often and in this share of its words, while at most this share of
 #: pages hold it; a stretch counts if bursting words hold this share of it.
-BURST, BURST_SHARE, RARE, BURST_DENSE = 3, 0.015, 0.1, 0.6
+BURST, BURST_SHARE, RARE, BURST_DENSE = 3, 0.015, 0.1, 0.65
 #: Share of the text in such stretches from which a page is flagged.
 FLAG = 0.5
 
