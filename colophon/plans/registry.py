@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import anchors, citations, text
 from colophon.operators import answers, catalog, chunking, entities, index, metrics, mining, retrieve, telemetry, tree, verify
-from colophon.sources.tables import table
+from colophon.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,10 @@ SPACE = r"[\s\p{Z}\x{85}]"  # what (?U)\s means, for RE2
 WORD = r"[\p{L}\p{N}\p{M}_]"
 
 
+def _documents(spark, d) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _asked(spark, d) -> DataFrame:
     return table(spark, d, "eval_item").select(F.col("item_id").alias("query_id"), "query")
 
@@ -72,28 +76,28 @@ bm25 as (select *, row_number() over (partition by query_id order by score desc,
 
 @query(f"with {BM25} select query_id, doc_id, score, rank from bm25 where rank < 10")
 def bm25_topk(spark, d):
-    return index.bm25_topk(table(spark, d, "documents"), _asked(spark, d), 10)
+    return index.bm25_topk(_documents(spark, d), _asked(spark, d), 10)
 
 
 @query(f"with {BM25} select query_id, doc_id, score from bm25 where rank < 10")
 def bm25_join(spark, d):
     # The plan for sets of queries that no executor could hold.
-    return index.top_per_query(index.bm25_scores(table(spark, d, "documents"), _asked(spark, d)), 10).drop("rank")
+    return index.top_per_query(index.bm25_scores(_documents(spark, d), _asked(spark, d)), 10).drop("rank")
 
 
 @query(f"with {BM25} select term, df, round(idf, 6) as idf from idf")
 def term_stats(spark, d):
-    return index.term_stats(table(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.term_stats(_documents(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {BM25} select term, doc_id, tf from tf")
 def postings(spark, d):
-    return index.postings(table(spark, d, "documents"))
+    return index.postings(_documents(spark, d))
 
 
 @query(f"with {BM25} select doc_id, dl from dl")
 def doc_lengths(spark, d):
-    return index.doc_lengths(table(spark, d, "documents"))
+    return index.doc_lengths(_documents(spark, d))
 
 
 KEYWORD = r"""w as (select item_id query_id, unnest(string_split_regex(trim(query), '\s+')) w, generate_subscripts(string_split_regex(trim(query), '\s+'), 1) i from eval_item),
@@ -125,13 +129,13 @@ l as (select query_id, doc_id, 0 channel, rank, 0.6 / (60 + rank + 1) part from
 f as (select query_id, doc_id, round(sum(part), 8) rrf_score, min(channel * 1000000 + rank) first from l group by all),
 r as (select query_id, doc_id, rrf_score, row_number() over (partition by query_id order by rrf_score desc, first, doc_id) - 1 as rank from f) select * from r where rank < 20""")
 def rrf_hybrid(spark, d):
-    docs, asked = table(spark, d, "documents"), _asked(spark, d)
+    docs, asked = _documents(spark, d), _asked(spark, d)
     return retrieve.fuse([(index.bm25_topk(docs, asked, 50), 0.6), (index.keyword_fallback(docs, asked, 50), 0.4)]).where("rank < 20")
 
 
 @query()
 def passage_scores(spark, d):
-    docs, asked = table(spark, d, "documents"), _asked(spark, d)
+    docs, asked = _documents(spark, d), _asked(spark, d)
     top = index.bm25_topk(docs, asked, 10).join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
     return retrieve.with_passage_score(top).select("query_id", "doc_id", F.round("passage_score", 6).alias("passage_score"))
 
@@ -140,7 +144,7 @@ def passage_scores(spark, d):
 def phrase_search(spark, d):
     # Each gold's opening words as a quoted phrase.
     asked = table(spark, d, "eval_item").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), F.regexp_replace(F.substring("ground_truth", 1, 60), '"', ""), F.lit('"')).alias("query"))
-    return retrieve.phrase_search(table(spark, d, "documents"), asked, 10)
+    return retrieve.phrase_search(_documents(spark, d), asked, 10)
 
 
 @query()
@@ -180,7 +184,7 @@ def confidence_classes(spark, d):
 
 @query(f"""with {BM25} select query_id, '[Source ' || (rank + 1) || ': ' || coalesce(source, 'unknown') || ']' as label, doc_id from bm25 join documents using (doc_id) where rank < 3""")
 def context_labels(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     top = index.bm25_topk(docs, _asked(spark, d), 3).join(docs.select("doc_id", "source"), "doc_id")
     none = F.lit(None).cast("int")
     return top.select("query_id", retrieve.context_label(F.col("rank") + 1, F.col("source"), none, none, F.lit("")).alias("label"), "doc_id")
@@ -190,7 +194,7 @@ def context_labels(spark, d):
 def full_search(spark, d):
     from colophon.plans.search import search
 
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    docs = _documents(spark, d).select("doc_id", "text", "source")
     return search(docs, _asked(spark, d)).select("query_id", "doc_id", "rank", "rerank_score", "source")
 
 
@@ -201,7 +205,7 @@ MATCH = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lowe
 
 @query(f"select doc_id, md5({MATCH}) as key from documents")
 def text_match_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_for_matching(F.col("text"))).alias("key"))
+    return _documents(spark, d).select("doc_id", F.md5(text.normalize_for_matching(F.col("text"))).alias("key"))
 
 
 @query(r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\.{3,}', '...', 'g'), '-{3,}', '---', 'g'), '_{3,}', '___', 'g'), ' {3,}', '  ', 'g')) as key from documents""")
@@ -216,7 +220,7 @@ def text_strip_markdown(spark, d):
 
 @query()
 def text_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.clean_for_ingestion(F.col("text")).alias("clean"))
+    return _documents(spark, d).select("doc_id", text.clean_for_ingestion(F.col("text")).alias("clean"))
 
 
 @query(r"""select id, regexp_replace(content, '(?s)<think>.*?</think>\s*', '', 'g') as content from message""")
@@ -259,14 +263,14 @@ WORDS = rf"list_filter(string_split_regex(trim(text), '{SPACE}+'), lambda w: w <
 @query(f"""with w as (select doc_id, {WORDS} w from documents where text is not null), c as (select doc_id, w, unnest(range(0, greatest(ceil((len(w) - 384) / 288)::int, 0) + 1)) i from w where len(w) > 0)
 select doc_id, i::int as chunk_index, md5(array_to_string(w[i * 288 + 1 : i * 288 + 384], ' ')) as key, least(384, len(w) - i * 288)::int as n_tokens from c""")
 def sliding_chunks(spark, d):
-    return chunking.sliding_chunks(table(spark, d, "documents")).select("doc_id", "chunk_index", F.md5("text").alias("key"), "n_tokens")
+    return chunking.sliding_chunks(_documents(spark, d)).select("doc_id", "chunk_index", F.md5("text").alias("key"), "n_tokens")
 
 
 @query(rf"""with s as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?][ \n]+'), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda x: length(x) > 20) s from documents),
 w as (select doc_id, unnest(range(0, len(s) - 2)) i, s from s where len(s) >= 3), t as (select doc_id, i, array_to_string(s[i + 1 : i + 3], ' ') text from w)
 select doc_id, i::int as window_index, md5(text) as key from t where len({WORDS}) between 15 and 512""")
 def sentence_windows(spark, d):
-    return chunking.sentence_windows(table(spark, d, "documents"), boundary=r"[.!?][ \n]+").select("doc_id", "window_index", F.md5("text").alias("key"))
+    return chunking.sentence_windows(_documents(spark, d), boundary=r"[.!?][ \n]+").select("doc_id", "window_index", F.md5("text").alias("key"))
 
 
 @query("select source, doc_id as page, coalesce(sum(length(text) + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as offset from documents where source is not null and text is not null")
@@ -289,7 +293,7 @@ def page_spans(spark, d):
 
 @query()
 def recursive_chunks(spark, d):
-    return chunking.chunk_documents(table(spark, d, "documents"), most=200, overlap=30)
+    return chunking.chunk_documents(_documents(spark, d), most=200, overlap=30)
 
 
 @query(r"""with p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')), lambda x: x <> '') p from documents), u as (select doc_id, unnest(p) text, generate_subscripts(p, 1) - 1 paragraph_no from p),
@@ -336,23 +340,23 @@ edges as (select a.canonical_id src, b.canonical_id dst, count(*) weight from ta
 
 @query(f"with {TAGS} select doc_id, canonical_id from tags")
 def gazetteer_tags(spark, d):
-    return entities.resolve(table(spark, d, "documents"), _gazetteer(spark, d)).select("doc_id", "canonical_id")
+    return entities.resolve(_documents(spark, d), _gazetteer(spark, d)).select("doc_id", "canonical_id")
 
 
 @query(f"with {TAGS} select src, dst, weight from edges")
 def entity_graph(spark, d):
-    return entities.cooccurrence(entities.resolve(table(spark, d, "documents"), _gazetteer(spark, d)))
+    return entities.cooccurrence(entities.resolve(_documents(spark, d), _gazetteer(spark, d)))
 
 
 @query(f"with {TAGS} select distinct n as canonical_id from (select dst n from edges where src = 'dorothea' union select src from edges where dst = 'dorothea' union select 'dorothea')")
 def entity_expansion(spark, d):
-    edges = entities.cooccurrence(entities.resolve(table(spark, d, "documents"), _gazetteer(spark, d)))
+    edges = entities.cooccurrence(entities.resolve(_documents(spark, d), _gazetteer(spark, d)))
     return entities.expand(edges, spark.createDataFrame([("dorothea",)], "canonical_id string"))
 
 
 @query(f"with {TAGS} select canonical_id, source, count(*) as n from tags join documents using (doc_id) group by all")
 def concept_sources(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     return entities.concept_source_counts(entities.resolve(docs, _gazetteer(spark, d)).join(docs.select("doc_id", "source"), "doc_id"))
 
 
@@ -399,14 +403,14 @@ select item_id::varchar as quote_id, case when n < 20 then 'too_short' when m.do
 from q left join m using (item_id) left join documents using (doc_id)""")
 def quote_verify_exact(spark, d):
     quotes = table(spark, d, "eval_item").select(F.col("item_id").cast("string").alias("quote_id"), F.col("ground_truth").alias("quote"))
-    chunks = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_ord"), "text", "source", F.lit(None).cast("int").alias("page_start"))
+    chunks = _documents(spark, d).where("text is not null").select(F.col("doc_id").alias("chunk_ord"), "text", "source", F.lit(None).cast("int").alias("page_start"))
     return verify.verify_quotes(quotes, chunks, fuzzy=False).select("quote_id", "status", "source", "similarity")
 
 
 @query()
 def quote_verify(spark, d):
     quotes = table(spark, d, "eval_item").select(F.col("item_id").cast("string").alias("quote_id"), F.col("ground_truth").alias("quote"))
-    chunks = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_ord"), "text", "source", F.lit(None).cast("int").alias("page_start"))
+    chunks = _documents(spark, d).where("text is not null").select(F.col("doc_id").alias("chunk_ord"), "text", "source", F.lit(None).cast("int").alias("page_start"))
     return verify.verify_quotes(quotes, chunks)
 
 
@@ -464,7 +468,7 @@ JUDGED = "j as (select query_id, rank, case when contains(text, left(ground_trut
 select query_id, round(sum(case when rank < 10 and rel > 0 then 1 else 0 end) / count(case when rank < 10 then 1 end), 6)::double as precision, round(coalesce(1 / (min(case when rel > 0 then rank end) + 1), 0.0), 6)::double as mrr,
 round(coalesce(sum(case when rank < 10 then rel / log2(rank + 2) end) / nullif(sum(case when i <= 10 then rel / log2(i + 1) end), 0), 0), 6)::double as ndcg from i group by query_id""")
 def ranking_metrics(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     gold = table(spark, d, "eval_item").select(F.col("item_id").alias("query_id"), F.substring("ground_truth", 1, 30).alias("g"))
     j = index.bm25_topk(docs, _asked(spark, d), 20).join(docs.select("doc_id", "text"), "doc_id").join(gold, "query_id").withColumn("relevant", F.when(F.col("text").contains(F.col("g")), 1.0).otherwise(0.0))
     return metrics.ranking_metrics(j.select("query_id", "rank", "relevant"))
@@ -599,9 +603,9 @@ def span_frequency(spark, d):
 
 @query()
 def page_metadata(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.inline(F.array(mining.page_metadata(F.col("text")))))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.inline(F.array(mining.page_metadata(F.col("text")))))
 
 
 @query()
 def best_passages(spark, d):
-    return mining.best_passage(table(spark, d, "documents"), "doc_id")
+    return mining.best_passage(_documents(spark, d), "doc_id")
