@@ -99,14 +99,14 @@ def window_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, candidates: int = 5) -> DataFrame:
+def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, candidates: int | None = 5) -> DataFrame:
     """V2, V3: ``quote_id, status, source, page, similarity``.
 
     ``quotes``: ``quote_id, quote``; ``chunks``: ``chunk_ord, text, source, page_start``.
     Under 20 characters: too_short.  Else the first chunk in order that contains the
     quote (normalised, or also stripped) verifies it.  The rest go to the fuzzy tier
-    against the ``candidates`` chunks that share most of their words: approximate from
-    .85, unverified below.
+    against the ``candidates`` chunks that share most of their word pairs (None: all that
+    share any): approximate from .85, unverified below.
     """
     marked = quotes.select("quote_id", "quote", match_key(F.col("quote")).alias("k"))
     long_enough = marked.where(F.length("quote") >= MIN_QUOTE)
@@ -125,7 +125,8 @@ def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, cand
         .groupBy("quote_id", "chunk_ord")
         .agg(F.count("*").alias("n"))
     )
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.desc("n"), "chunk_ord"))).where(F.col("r") <= candidates)
+    if candidates is not None:
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.desc("n"), "chunk_ord"))).where(F.col("r") <= candidates)
     scored = near.join(left.select("quote_id", F.col("k").alias("q")), "quote_id").join(hay.select("chunk_ord", F.col("k").alias("t")), "chunk_ord").withColumn("s", window_ratio("q", "t"))
     best = scored.groupBy("quote_id").agg(F.max(F.struct("s", (-F.col("chunk_ord")).alias("o"))).alias("b")).select("quote_id", F.col("b.s").alias("s"), (-F.col("b.o")).alias("chunk_ord"))
     graded = best.join(info, "chunk_ord").select("quote_id", F.when(F.col("s") >= FUZZY, "approximate").otherwise("unverified").alias("status"), F.when(F.col("s") >= FUZZY, F.col("source")).alias("source"), F.when(F.col("s") >= FUZZY, F.col("page")).alias("page"), F.round("s", 4).alias("similarity"))
