@@ -116,6 +116,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_scores": p9_scores,
 }
 
+# The look-alikes that cut think tags in the data are undone by hand here; the operator undoes all.
+CONVERSATIONS = r"""with m0 as (select id, min({'c': conversation_id, 'role': role, 'content': content, 'ts': created_at}) r from message where conversation_id is not null and id is not null group by id),
+m1 as (select id, r.c as cid, lower(trim(regexp_replace(r.role, '[\s\p{Z}\p{Cf}]+', ' ', 'g'))) as role, r.content as content, r.ts as ts from m0),
+m2 as (select id, cid, content,
+  case when role in ('user','human','usr','prompter') then 'user' when role in ('assistant','ai','bot','model','gpt') then 'assistant' when role in ('system','sys','developer') then 'system' end as role,
+  case when regexp_matches(ts, '^\s*\d{9,14}\s*$') then to_timestamp(ts::double / case when length(trim(ts)) >= 12 then 1000 else 1 end)
+       when regexp_matches(ts, '^\s*\d{4}-\d{2}-\d{2}[Tt ]+\d{1,2}:\d{2}') then try_cast(case when regexp_matches(ts, '([Zz]|[+-]\d{2}:?\d{2})\s*$') then ts else ts || '+00' end as timestamptz) end as ts,
+  regexp_matches(regexp_replace(translate(regexp_replace(nfc_normalize(content), '[\p{Cf}\x{34F}]', '', 'g'), 'тһіnkіѕ', 'thinkis'), '(?s)<think>.*?(</think>|$)', '', 'g'), '[\p{L}\p{N}]') as visible from m1),
+good as (select cid from m2 join (select distinct id as cid from conversation) using (cid) group by cid having bool_and(role is not null and ts is not null)),
+o as (select *, case role when 'system' then 0 when 'user' then 1 else 2 end as k from m2 where cid in (select cid from good)),
+l as (select *, lag(role) over w as prole, lag(content) over w as pcontent, row_number() over w as n from o window w as (partition by cid order by ts, k, id)),
+kept as (select * from l where (n = 1 or prole <> role or pcontent is distinct from content) and role <> 'system'),
+t as (select cid, id, role, coalesce(visible, false) as visible, row_number() over (partition by cid order by ts, k, id) as turn from kept),
+ok as (select cid from t group by cid having count(*) % 2 = 0 and bool_and(visible and role = case when turn % 2 = 1 then 'user' else 'assistant' end))
+select cid as conversation_id, turn::int as turn_no, id as message_id from t where cid in (select cid from ok)"""
+
 SQL: dict[str, str] = {
+    "p5_found": CONVERSATIONS,
     "p3_found": "select distinct chunk_id from chunk_result where length(text) > 2400",
 }
