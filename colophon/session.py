@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from colophon.storage import shared_dir
+
 #: Settings that every query here expects; a cluster's own values win.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,14 +39,19 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once per application, as a zip of its sources."""
+    """Give the executors this package, once per application, as a zip of its sources in the shared folder."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
-        out = Path(tempfile.mkdtemp(prefix="colophon-src-")) / "colophon.zip"
-        with zipfile.ZipFile(out, "w") as z:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(out))
+        target = f"{shared_dir(spark)}/colophon/sources-{context.applicationId}/colophon.zip"
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        context.addPyFile(target)
         _SHIPPED.add(context.applicationId)
     return spark
