@@ -86,8 +86,8 @@ class Tables:
         flat: list[int] = []
         pairs: dict[int, int] = {}
         for cp in range(0x80, size):
-            if 0x3400 <= cp <= 0x9FFF or 0x20000 <= cp <= 0xDFFFF or cp >= 0xF0000 or 0xE000 <= cp <= 0xF8FF:
-                continue
+            if 0x3400 <= cp <= 0x9FFF or 0x20000 <= cp <= 0x2F7FF or 0x30000 <= cp <= 0xDFFFF or cp >= 0xF0000 or 0xE000 <= cp <= 0xF8FF:
+                continue  # ideographs and private use: no mappings
             ch = chr(cp)
             self.mark[cp] = unicodedata.combining(ch)
             out = _expand(ch, alike)
