@@ -140,22 +140,29 @@ def places(tokens: np.ndarray, t: TestSet, share: float, content_share: float) -
         mine = strong[a:b]
         n = int(number[mine[0]])
         passage, content = t.passages[n], t.content[n]
-        length, done = len(passage), -1
-        for s in mine[np.argsort(-gain[mine], kind="stable")[:4]]:
+        length, refused = len(passage), []
+        # Of the starts on one diagonal the first has the hits of all the others and the same place.
+        mine = mine[(mine == 0) | (key[mine] != key[mine - 1])]
+        for s in mine[np.argsort(-gain[mine], kind="stable")]:
             covered = np.zeros(length + t.gram, bool)
             for j in range(t.gram):
                 covered[offset[s : reach[s]] + j] = True
             first = max(0, int(key[s] & 0xFFFFFFFF) - (1 << 20) - 2)
-            if covered.sum() < t.need[n] or first == done:
+            if covered.sum() < t.need[n]:
                 continue
-            done = first
             stop = min(len(tokens), int(key[reach[s] - 1] & 0xFFFFFFFF) - (1 << 20) + length + int(t.band[n]))
+            # A part of a place keeps no more words than the place.
+            if any(a <= first and stop <= b for a, b in refused):
+                continue
             there = np.isin(passage, tokens[first:stop])
             # No alignment keeps more than the words that occur at all: an exact upper bound.
             if there.mean() < share or (content.any() and there[content].mean() < content_share):
+                refused.append((first, stop))
                 continue
             kept = aligned(passage, tokens[first:stop])
-            if kept.mean() >= share and (not content.any() or kept[content].mean() >= content_share):
+            if kept.mean() < share:
+                refused.append((first, stop))
+            elif not content.any() or kept[content].mean() >= content_share:
                 found.append((n, first, stop, float(kept.mean())))
                 break
     return found

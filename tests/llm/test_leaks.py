@@ -46,6 +46,15 @@ def test_whole_changed_cut_and_broken(spark):
     assert leaks(spark, docs, items, max_grams=100) == got  # in slices, with the same result
 
 
+def test_every_place_of_a_document_is_tried(spark):
+    p = passage(1, 80)
+    part = " ".join(p.split()[:45])  # 0.56 of it intact: many hits, no leak
+    whole = " ".join("other" if i % 6 == 5 else w for i, w in enumerate(p.split()))
+    gap = " filler" * 200 + " "
+    docs = [(1, part), (2, part + gap + whole), (3, whole + gap + part), (4, gap.join([part] * 6 + [whole] + [part] * 6)), (5, gap.join([part] * 6))]
+    assert leaks(spark, docs, [(7, p)]) == [(2, 7), (3, 7), (4, 7)]
+
+
 def test_shared_frames_are_no_leak(spark):
     frame = "there is no {} that does not {} renew its {} because the reader who {} the {} also {} its {} in the third chapter"
     fill = lambda seed: frame.format(*[w + str(seed) for w in random.Random(seed).sample(WORDS, 7)])
