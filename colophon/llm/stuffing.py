@@ -1,8 +1,8 @@
 """Keyword-stuffed and link-list pages, by word association over the whole corpus.
 
 Pass one counts, for every word and every pair of neighbouring words of the corpus, the
-documents that hold it (so copies of a page do not vouch for it), in fixed-size count
-sketches (two rows of counters each, the least wins, less the mean
+documents that hold it, copies once (so copies of a page do not vouch for it), in
+fixed-size count sketches (two rows of counters each, the least wins, less the mean
 noise of a counter).  Their size does not grow with the corpus, so the broadcast has a
 proven bound.  Pass two scores each document against them: the pointwise mutual
 information (PMI) of neighbours, the document's own counts left out, tells running
@@ -110,6 +110,18 @@ class Sketch:
         return np.maximum(best, 0.0)
 
 
+def distinct_texts(texts: DataFrame, text: str) -> DataFrame:
+    """One row of each class of copies: texts that agree but for case, spaces, figures and punctuation.
+
+    Classes are told by 128 bits.  Each task keeps one text of a class before texts move,
+    so a class of very many rows costs no more than one of few.
+    """
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}#]+", " ")
+    # Texts without a letter are copies only if equal.
+    key = F.unhex(F.md5(F.when(F.length(F.trim(letters)) > 0, letters).otherwise(F.col(text))))
+    return texts.select(text, key.alias("copy")).groupBy("copy").agg(F.first(text).alias(text)).select(text)
+
+
 def corpus_counts(texts: DataFrame, text: str, pair_cells: int = PAIR_CELLS, word_cells: int = WORD_CELLS) -> tuple[Sketch, Sketch]:
     """Sketches of the number of documents, of all rows, that hold each word and each pair.
 
@@ -209,11 +221,12 @@ def score(texts: list[str | None], words: Sketch, pairs: Sketch) -> dict[str, np
 def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, mean_pmi, repeated, stuffed``, one row per row of ``documents``.
 
+    Copies count once in the corpus and are all scored.
     ``stuffed`` is the share of the text in stretches of stuffed collocations, links,
     tags or word salad.  Null, empty and one-word texts score 0.
     """
     slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    held = documents.sparkSession.sparkContext.broadcast(corpus_counts(slim, "text"))
+    held = documents.sparkSession.sparkContext.broadcast(corpus_counts(distinct_texts(slim, "text"), "text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

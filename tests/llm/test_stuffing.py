@@ -48,6 +48,17 @@ def test_spam_and_prose_apart(corpus):
     assert got.count(1000) == 2  # repeated rows stay
 
 
+def test_copies_do_not_vouch(spark):
+    r = random.Random(5)
+    spam = " | ".join(f"ledger {r.choice(ADS)}" for _ in range(80))
+    bag = " ".join(r.choice(["harow", "harow", *ADS]) for _ in range(200))
+    copies = [(1000 + i, spam) for i in range(40)] + [(2000 + i, bag) for i in range(40)]
+    copies += [(3000 + i, f"Page {i}\n\n{spam.upper()} {i}.00") for i in range(20)]  # but for case and figures
+    rows = [(i, prose(i)) for i in range(200)] + copies  # a third of the rows
+    got = {x["doc_id"] for x in stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i for i, _ in copies}
+
+
 def test_one_row_a_row(corpus):
     df, *_ = corpus
     scores = score_pages(df).collect()
