@@ -2,7 +2,7 @@
 
 1. Distinct stored strings are parsed to a form: characters unified, marks, case,
    titles, roles, editions, copies and subtitles set aside, reordered parts restored.
-2. Pigeonhole segment join: a key of a form (a surname, a body's rare word, a title's
+2. Pigeonhole segment join: a key of a form (a surname, each word of a body, a title's
    content words) is cut into k + 1 segments; an inverted index of segments is probed
    with the substrings that k edits can have shifted there.  A match within k edits
    must share a segment, so nothing within k edits is lost.
@@ -28,6 +28,8 @@ from colophon.storage import written
 
 #: Edits that a key may differ by, by its length; the banded check of a pair's keys.
 MAX_EDITS = 3
+#: Parts over which the forms that share a hot word spread.
+SALTS = 16
 # Strings that name nobody, compared in lower case without punctuation.
 PLACEHOLDERS = {"", "na", "n a", "anon", "anonymous", "unknown", "various", "none", "null", "unbekannt", "inconnu", "s n", "n n", "no author", "untitled", "diverse", "divers"}
 ROLES = {"ed", "eds", "editor", "hrsg", "hg", "trans", "translator", "author", "übers", "ubers", "dir", "autor", "auteur"}
@@ -285,13 +287,12 @@ def _keys(forms: DataFrame, counts: DataFrame) -> DataFrame:
     """``form, key, also``: strings to match by segments; ``also`` must be equal too.
 
     A person's words other than given names, with the initials of what stands beside;
-    a body's rarest words; a work's content words in one string, with the volume.
+    each of a body's words of four letters or more, with the number of words and
+    abbreviations; a work's content words in one string, with the volume.
     """
-    word = forms.where("kind <> 'work'").select("form", "kind", "words", "firsts", F.explode("words").alias("word")).join(counts, "word")
+    word = forms.where("kind <> 'work'").select("form", "kind", "words", "short", "firsts", F.explode("words").alias("word")).join(counts, "word")
     persons = word.where("kind = 'person' and not given and length(word) >= 4").select("form", F.col("word").alias("key"), F.explode("firsts").alias("also"))
-    bodies = word.where("kind = 'body' and length(word) >= 4")
-    least = bodies.groupBy("form").agg(F.min("n").alias("least"))
-    bodies = bodies.join(least, "form").where("n <= greatest(16, 8 * least)").select("form", F.col("word").alias("key"), F.lit("body").alias("also"))
+    bodies = word.where("kind = 'body' and length(word) >= 4").select("form", F.col("word").alias("key"), F.concat(F.lit("body"), (F.size("words") + F.size("short")).cast("string")).alias("also"))
     small = F.array(*[F.lit(w) for w in sorted(SMALL_WORDS)])
     works = forms.where("kind = 'work'").select(
         "form",
@@ -302,29 +303,42 @@ def _keys(forms: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def segment_join(keys: DataFrame) -> DataFrame:
-    """``form_a, form_b`` of keys within their edit budget, by the pigeonhole principle."""
-    k = keys.withColumn("len", F.length("key")).withColumn("budget", _budget(F.col("len")))
+    """``form_a, form_b`` of keys within their edit budget, by the pigeonhole principle.
+
+    Distinct keys meet first; forms join to the pairs of keys left, spread over ``SALTS``.
+    """
+    k = keys.select("key", "also").distinct().withColumn("len", F.length("key")).withColumn("budget", _budget(F.col("len")))
 
     def start(length: Column, parts: Column, i: Column) -> Column:  # segment i of parts, from 0
         return F.floor(length * i / parts).cast("int")
 
     seg_of = lambda length, parts, i: F.struct(start(length, parts, i).alias("at"), (start(length, parts, i + 1) - start(length, parts, i)).alias("size"))
-    index = k.select("form", "key", "also", "len", "budget", F.explode(F.sequence(F.lit(0), F.col("budget"))).alias("i"))
+    index = k.select("key", "also", "len", "budget", F.explode(F.sequence(F.lit(0), F.col("budget"))).alias("i"))
     index = index.withColumn("s", seg_of(F.col("len"), F.col("budget") + 1, F.col("i")))
-    index = index.select("form", "key", F.xxhash64("also", "len", "i", F.substring(F.col("key"), F.col("s.at") + 1, F.col("s.size"))).alias("cell"))
+    index = index.select("key", "also", F.xxhash64("also", "len", "i", F.substring(F.col("key"), F.col("s.at") + 1, F.col("s.size"))).alias("cell"))
 
-    probe = k.select("form", "key", "also", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - MAX_EDITS), F.col("len"))).alias("other"))
+    probe = k.select("key", "also", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - MAX_EDITS), F.col("len"))).alias("other"))
     probe = probe.withColumn("budget", _budget(F.col("other"))).where("len - other <= budget")
     probe = probe.select("*", F.explode(F.sequence(F.lit(0), F.col("budget"))).alias("i")).withColumn("s", seg_of(F.col("other"), F.col("budget") + 1, F.col("i")))
     more = F.col("len") - F.col("other")
     low, high = -F.floor((F.col("budget") - more) / 2).cast("int"), F.floor((F.col("budget") + more) / 2).cast("int")
     probe = probe.select("*", F.explode(F.sequence(low, high)).alias("shift")).where("s.at + shift >= 0 and s.at + shift + s.size <= len")
-    probe = probe.select("form", "key", F.xxhash64("also", "other", "i", F.substring(F.col("key"), F.col("s.at") + F.col("shift") + 1, F.col("s.size"))).alias("cell")).distinct()
+    probe = probe.select("key", "also", F.xxhash64("also", "other", "i", F.substring(F.col("key"), F.col("s.at") + F.col("shift") + 1, F.col("s.size"))).alias("cell")).distinct()
+
+    a, b = probe.select(F.col("key").alias("ka"), "also", "cell"), index.select(F.col("key").alias("kb"), "also", "cell")
+    near = a.join(b, ["cell", "also"]).where(F.levenshtein("ka", "kb", MAX_EDITS + 1) >= 0).select("ka", "kb", "also").distinct()
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = keys.select(F.col("form").alias("fa"), F.col("key").alias("ka"), "also")
+    right = keys.select(F.col("form").alias("fb"), F.col("key").alias("kb"), "also", F.pmod(F.hash("form"), F.lit(SALTS)).alias("salt"))
+    pairs = left.join(near, ["ka", "also"]).join(right, ["kb", "also", "salt"]).where("fa <> fb")
+    return pairs.select(F.least("fa", "fb").alias("form_a"), F.greatest("fa", "fb").alias("form_b")).distinct()
+
 
-    a = probe.select(F.col("form").alias("fa"), F.col("key").alias("ka"), "cell")
-    b = index.select(F.col("form").alias("fb"), F.col("key").alias("kb"), "cell")
-    near = a.join(b, "cell").where("fa <> fb").where(F.levenshtein("ka", "kb", MAX_EDITS + 1) >= 0)
-    return near.select(F.least("fa", "fb").alias("form_a"), F.greatest("fa", "fb").alias("form_b")).distinct()
+def _may_pair(a: str, b: str) -> Column:
+    """Whether each word of body ``a`` is in ``b``, near a word of it, or may be abbreviated there: needed for ``same_body``."""
+    near = lambda w: F.exists(f"words_{b}", lambda v: F.levenshtein(w, v, 4) >= 0)  # noqa: E731  two edits or swaps, a swap being two
+    cut = lambda w: F.exists(f"short_{b}", lambda s: F.substring(s, 1, 1) == F.substring(w, 1, 1))
+    return F.forall(F.array_except(f"words_{a}", f"words_{b}"), lambda w: near(w) | cut(w))
 
 
 def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> DataFrame:
@@ -364,6 +378,7 @@ def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> Da
     full = written(forms.join(per_form, "form", "left"), f"counted-{field}")
     side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("form", "kind", "words", "short", "initials", "volume", "n")])
     both = candidates.join(side("a"), "form_a").join(side("b"), "form_b").where("kind_a = kind_b")
+    both = both.where((F.col("kind_a") != "body") | (_may_pair("a", "b") & _may_pair("b", "a")))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -32,6 +32,16 @@ def test_people_and_bodies(spark):
     assert groups(spark, values, "author") == sorted(map(sorted, same))
 
 
+def test_misspelt_body_of_a_hot_place(spark):
+    topics = [a + b for a in ("bral", "fost", "grem", "kliv", "morn") for b in ("adix", "ebur", "ithon", "oquel", "uzzen")]
+    values = [f"Society of {t.title()}, {u.title()}" for i, t in enumerate(topics) for u in topics[:i]]  # 300 forms
+    values += [f"Society of {t.title()}, Nonemohaven" for t in topics] + [f"Society of Clouds, {t.title()}" for t in topics]
+    values += ["Society of Clouds, Nonemohaven", "Soceity of Clouds, Nonemohaven"]
+    got = groups(spark, values, "author")
+    assert ["Soceity of Clouds, Nonemohaven", "Society of Clouds, Nonemohaven"] in got
+    assert len(got) == len(values) - 1
+
+
 def test_initials_that_fit_two_people_join_neither(spark):
     got = groups(spark, ["William Kazakh", "Wilhelmina Kazakh", "W. Kazakh"], "author")
     assert ["W. Kazakh"] in got
