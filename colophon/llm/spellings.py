@@ -26,8 +26,8 @@ from colophon.llm.components import connected_components
 from colophon.llm.unify import canonical_text
 from colophon.storage import written
 
-#: Edits that a key may differ by, by its length; the banded check of a pair's keys.
-MAX_EDITS = 3
+#: Edits that a key may differ by from five letters on: the two that ``typo`` admits, a swap counted as two; the banded check of a pair's keys.
+MAX_EDITS = 4
 #: Parts over which the forms that share a hot word spread.
 SALTS = 16
 # Strings that name nobody, compared in lower case without punctuation.
@@ -173,7 +173,9 @@ def same_person(a: dict, b: dict, nick: Nicknames, count: dict[str, int]) -> boo
     for i, x in enumerate(aw):
         for j, y in enumerate(bw):
             if min(len(x), len(y)) < 4 or (count.get(x, 0) < 0 and count.get(y, 0) < 0):
-                continue
+                # Short surnames and those that are given names too: equal and last on both sides.
+                if x != y or i < len(aw) - 1 or j < len(bw) - 1:
+                    continue
             edits = typo(x, y, count)
             if edits > 2:
                 continue
@@ -261,7 +263,7 @@ def learned_short_names(forms: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _budget(length: Column) -> Column:
-    return F.when(length >= 8, MAX_EDITS).when(length >= 5, 1).otherwise(0)
+    return F.when(length >= 5, MAX_EDITS).otherwise(0)
 
 
 _FORM = "value string, kind string, form string, words array<string>, short array<string>, initials array<string>, volume int"
@@ -286,12 +288,14 @@ def parsed(values: DataFrame, field: str) -> DataFrame:
 def _keys(forms: DataFrame, counts: DataFrame) -> DataFrame:
     """``form, key, also``: strings to match by segments; ``also`` must be equal too.
 
-    A person's words other than given names, with the initials of what stands beside;
+    A person's words other than given names, and the last word if it is short or a given
+    name, with the initials of what stands beside;
     each of a body's words of four letters or more, with the number of words and
     abbreviations; a work's content words in one string, with the volume.
     """
     word = forms.where("kind <> 'work'").select("form", "kind", "words", "short", "firsts", F.explode("words").alias("word")).join(counts, "word")
-    persons = word.where("kind = 'person' and not given and length(word) >= 4").select("form", F.col("word").alias("key"), F.explode("firsts").alias("also"))
+    surname = "word = element_at(words, -1)"
+    persons = word.where(f"kind = 'person' and ((not given and length(word) >= 4) or {surname})").select("form", F.col("word").alias("key"), F.explode("firsts").alias("also"))
     bodies = word.where("kind = 'body' and length(word) >= 4").select("form", F.col("word").alias("key"), F.concat(F.lit("body"), (F.size("words") + F.size("short")).cast("string")).alias("also"))
     small = F.array(*[F.lit(w) for w in sorted(SMALL_WORDS)])
     works = forms.where("kind = 'work'").select(

@@ -42,6 +42,20 @@ def test_misspelt_body_of_a_hot_place(spark):
     assert len(got) == len(values) - 1
 
 
+def test_short_and_given_surnames(spark):
+    same = [["Dorothea Lee", "Lee, Dorothea", "D. Lee", "Dorothea R. Lee"], ["Valentina Alexander", "Alexander, V."], ["Alexander Vuzocumin", "A. Vuzocumin"], ["Alexander Hefebost"], ["Frederick Lee"], ["Valentina Katherine", "Katherine, Valentina"], ["Katherine Grubost"]]
+    filler = [f"Alexander {w}" for w in ("Quilbradeth", "Nostiverung", "Plemokarst")]
+    got = groups(spark, [v for g in same for v in g] + filler, "author")
+    assert sorted(map(sorted, same)) == [g for g in got if not set(g) & set(filler)]
+
+
+def test_two_edits_or_swaps_from_five_letters_on(spark):
+    keys = ["society", "soicety", "harlow", "ahrlwo", "qbrlow", "stonewall", "tsonewlal"]
+    df = spark.createDataFrame([(k, k, "s") for k in keys], "form string, key string, also string")
+    got = {tuple(x) for x in segment_join(df).collect()}
+    assert {(a, b) for a in keys for b in keys if a < b and close(a, b, 2) <= 2} <= got
+
+
 def test_initials_that_fit_two_people_join_neither(spark):
     got = groups(spark, ["William Kazakh", "Wilhelmina Kazakh", "W. Kazakh"], "author")
     assert ["W. Kazakh"] in got
