@@ -1,4 +1,4 @@
-"""Quotes checked against their sources.
+"""Quotes checked against their sources (V1-V11, V13, V14, V18, V28, M23; of V2 not the lemma tier, of V15-V17 the prefixes only, V12 not at all).
 
 Exact checks come first and are joins: a quote meets a chunk through one shared word
 n-gram (its rarest is not needed, any will do for whole-word quotes), and the substring
