@@ -4,7 +4,7 @@ Running headers, footers and page numbers are found by position on the page (iso
 blocks, number near the chunk's pages, capitals, likeness to heading and title).  Cut
 words are rejoined across line and page ends.  Misread words go to an averaged-
 perceptron character editor that labels every character keep, replace, delete or insert
-(and the line-end hyphen join or keep).  It is trained here: confusions are aligned
+(whether a line-end hyphen goes is decided by counts alone).  It is trained here: confusions are aligned
 from the corpus' own rare words, and noised lexicon words give labelled characters.
 The editor proposes; counts over the whole corpus decide.
 """
