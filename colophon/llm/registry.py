@@ -132,7 +132,27 @@ t as (select cid, id, role, coalesce(visible, false) as visible, row_number() ov
 ok as (select cid from t group by cid having count(*) % 2 = 0 and bool_and(visible and role = case when turn % 2 = 1 then 'user' else 'assistant' end))
 select cid as conversation_id, turn::int as turn_no, id as message_id from t where cid in (select cid from ok)"""
 
+# Mean PMI of neighbours in exact counts; 10 pairs on either side, 4 bits, half of the text.
+STUFFED = r"""with rep as (select row_number() over () as id, text from (select min(text) as text from documents group by case when trim(regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g')) <> '' then regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g') else text end)),
+cut as (select false as own, doc_id as id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|\p{L}+') as l from documents
+  union all select true, id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|\p{L}+') from rep),
+tok as (select own, id, i, length(t) + 1 as w, case when regexp_matches(t, '^(https?://|www\.)') then '\url' when t[1] = '#' then '\tag' else t end as t from (select own, id, generate_subscripts(l, 1) as i, unnest(l) as t from cut)),
+nx as (select *, lead(t) over (partition by own, id order by i) as u from tok),
+wd as (select t, count(distinct id) as n from nx where own group by t),
+pd as (select t, u, count(distinct id) as n from nx where own and u is not null group by t, u),
+tot as (select (select count(*) from rep) as texts, (select sum(n) from wd) as words, (select sum(n) from pd) as pairs),
+reach as (select t, max(m) as m from (select p.t, w.n as m from pd p join wd w on w.t = p.u union all select p.u, w.n from pd p join wd w on w.t = p.t) group by t),
+wr as (select t, n, greatest(n, coalesce(m, 0)) as reach from wd left join reach using (t)),
+x as (select nx.id, i, w, nx.t, u, wr.n, wr.reach, count(*) over (partition by nx.id) as size, count(*) over (partition by nx.id, nx.t) as c from nx join wr using (t) where not own),
+y as (select *, texts / max(reach) over (partition by id) as scale, words, pairs from x, tot),
+z as (select *, log2(greatest(greatest(n - 1, 1) / words * scale, (c - 1) / greatest(size - 1, 1))) as rate from y),
+q as (select z.*, lead(rate) over o as rate2, lead(w) over o as w2, pd.n as m from z left join pd on pd.t = z.t and pd.u = z.u window o as (partition by id order by i)),
+v as (select *, case when u is not null then (log2((greatest(m - 1, 0) + 0.5) / pairs * scale) - rate - rate2) * (w + w2) else 0 end as e, case when u is not null then w + w2 else 0 end as ew from q),
+s as (select id, w, sum(e) over k as e, sum(ew) over k as ew from v window k as (partition by id order by i rows between 10 preceding and 9 following))
+select id as doc_id from s group by id having sum(case when e < -4.0 * ew then w else 0 end) / sum(w) > 0.5"""
+
 SQL: dict[str, str] = {
+    "p9_found": STUFFED,
     "p5_found": CONVERSATIONS,
     "p3_found": "select distinct chunk_id from chunk_result where length(text) > 2400",
 }

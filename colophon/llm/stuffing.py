@@ -1,243 +1,412 @@
-"""Keyword-stuffed and link-list pages, by word association over the whole corpus.
-
-Pass one counts, for every word and every pair of neighbouring words of the corpus, the
-documents that hold it, copies once (so copies of a page do not vouch for it), in
-fixed-size count sketches (two rows of counters each, the least wins, less the mean
-noise of a counter).  Their size does not grow with the corpus, so the broadcast has a
-proven bound.  Pass two scores each document against them: the pointwise mutual
-information (PMI) of neighbours, the document's own counts left out, tells running
-prose from word salad; pairs that one document repeats far beyond what the corpus leads
-one to expect are stuffed collocations.  A page is flagged when stretches of either
-kind hold more than half of its text.
+"""Keyword-stuffed and link-list pages, by mean pointwise mutual information of neighbours.
+
+Pass one counts, exactly, in how many documents each word and each pair of neighbouring
+words stands, copies once (so copies of a page do not vouch for it).  Pass two scores
+each document.  The PMI of two neighbours compares how often the corpus joins them with
+how often chance would, given how frequent each word is; a word's frequency is the
+corpus's, or the page's own where the page repeats it more.  Prose has a high mean:
+its words belong together.  Word salad has a low one because the corpus does not join
+its words; a collocation repeated beyond what the corpus bears has a low one because the
+page's own repetition makes chance account for it.  A page is flagged when stretches
+of low mean PMI hold more than half of its text.
+
+Counts are taken within reach of a page's language: what is frequent is measured against
+the number of documents that hold the commonest word known beside the page's words, so
+a language with a hundredth of the corpus is judged like one with all of it.
+
+The most frequent counts, of a bounded number, are broadcast; every other count comes by
+a join on the words and pairs that a text needs, so no count is estimated.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Counters of a sketch row, for pairs and for words; two rows each, 8 bytes a counter.
-PAIR_CELLS, WORD_CELLS = 1 << 21, 1 << 18
-#: A pair is stuffed if a document has it this often, and this many times as often as its first word
-#: there and the corpus lead one to expect.
-REPEATS, EXCESS = 2, 6.0
-#: Tokens on either side that decide a token's stretch, and the share of them that must be stuffed.
-REACH, DENSE = 12, 0.5
-#: Mean PMI (bits, by documents) in a stretch below which it is salad, if few of its tokens are numbers.
-SALAD = -6.0
-#: A word bursts if a page has it this often and in this share of its words, while at most this share of
-#: pages hold it; a stretch counts if bursting words hold this share of it.
-BURST, BURST_SHARE, RARE, BURST_DENSE = 3, 0.015, 0.1, 0.65
+from colophon.storage import written
+
+#: Most words and pairs whose counts executors hold (24 and 16 bytes each); the rest is joined.
+HELD_WORDS, HELD_PAIRS = 1 << 20, 1 << 22
+#: Pairs on either side of a token that decide whether its stretch is stuffed, by their mean PMI (bits).
+REACH, STUFFED = 10, -4.0
+#: Documents counted for a pair that no other document holds.
+UNSEEN = 0.5
 #: Share of the text in such stretches from which a page is flagged.
 FLAG = 0.5
+#: Characters tokenised at a time, and distinct counts a task holds before it sends them on.
+SLICE, HOLD = 1 << 20, 2_000_000
 
-_TOKEN = re.compile(r"(?:https?://|www\.)[^\s\"'<>()\[\]]+|#\w[\w-]*|\d[\d.,]*|[^\W\d_]+")
-
-
-class _Numbers(dict):
-    """64-bit numbers of words, cached; links, tags and figures have one number each."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        c = token[0]
-        kind = "\1tag" if c == "#" else "\2num" if c.isdigit() else "\3url" if token.startswith(("http://", "https://", "www.")) else token
-        value = int.from_bytes(hashlib.blake2b(kind.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
-        self[token] = value
-        return value
-
-
-NUMBERS = _Numbers()
-URL, TAG, NUM = NUMBERS["www.x"], NUMBERS["#x"], NUMBERS["1"]
-
-
-def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token numbers, token lengths and document numbers of a batch."""
-    numbers, lengths, sizes = [], [], []
-    for text in texts:
-        tokens = _TOKEN.findall(text.lower()) if text else []
-        numbers += [NUMBERS[t] for t in tokens]
-        lengths += map(len, tokens)
-        sizes.append(len(tokens))
-    return np.array(numbers, np.uint64), np.array(lengths, np.int64), np.repeat(np.arange(len(texts)), sizes)
-
-
-def _once(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Each hash once per document, so that a page and its copies do not vouch for one another."""
-    _, first = np.unique(_mix(h, 4) + docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-    return h[first]
+_B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+_LETTER, _WORDLIKE, _OTHER, _STOP = 1, 2, 0, 3
+URL, TAG = np.uint64(1), np.uint64(2)
 
 
-def _mix(h: np.ndarray, row: int) -> np.ndarray:
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 + row)) * np.uint64(0xFF51AFD7ED558CCD)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _D
+    h = (h ^ (h >> np.uint64(29))) * _C
     return h ^ (h >> np.uint64(32))
 
 
-def _pairs(numbers: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token with the next, and whether both are in one document."""
-    if len(numbers) < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    return numbers[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + numbers[1:], docs[:-1] == docs[1:]
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, number (of the lower-case letter) of each code point."""
+    size = 0x110000
+    kind = np.zeros(size, np.uint8)
+    low = np.arange(size, dtype=np.uint64)
+    kind[0x3400:0xA000] = kind[0xAC00:0xD7A4] = kind[0x20000:0x32000] = _LETTER
+    for a, b in ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000)):
+        for cp in range(a, b):
+            c = chr(cp)
+            if c.isalpha() or 0x300 <= cp < 0x370 or 0x900 <= cp < 0xE00 and not c.isalnum() and not c.isspace():
+                kind[cp] = _LETTER
+                small = c.lower()
+                if len(small) == 1:
+                    low[cp] = ord(small)
+            elif c.isalnum() or c in "_-":
+                kind[cp] = _WORDLIKE
+            elif c.isspace() or c in "\"'<>()[]":
+                kind[cp] = _STOP
+    return kind, low, _mix(low + _B)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> list[np.ndarray]:
+    return [np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> np.ndarray:
+    """Powers of an odd number, modulo 2**64."""
+    held = _powers()
+    if len(held[0]) < n:
+        held[0] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 64), _B | np.uint64(1))])
+    return held[0]
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, lengths and text numbers of the words, links and tags of ``texts``, in order.
+
+    Words are runs of letters in lower case, numbered by a 64-bit hash; links and tags
+    have one number each; figures and signs are passed over.  No call is made per token.
+    """
+    kind, low, number = _characters()
+    joined = "\n".join(texts) + "\n"
+    points = low[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    k = kind[points]
+    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])[:-1]
+    letter = k == _LETTER
+    spans = []
+    # Links run to the next space, quote or bracket.
+    stops = np.flatnonzero(k == _STOP)
+    colon = np.flatnonzero(points == ord(":"))
+    colon = colon[(colon >= 4) & (colon + 2 < len(points))]
+    colon = colon[(points[colon + 1] == ord("/")) & (points[colon + 2] == ord("/"))]
+    starts = []
+    for word in ("http", "https"):
+        at = colon[colon >= len(word)]
+        for i, c in enumerate(reversed(word)):
+            at = at[points[at - 1 - i] == ord(c)]
+        starts.append(at - len(word))
+    dot = np.flatnonzero(points == ord("."))
+    dot = dot[dot >= 3]
+    for i in range(3):
+        dot = dot[points[dot - 1 - i] == ord("w")]
+    starts.append(dot - 3)
+    start = np.unique(np.concatenate(starts))
+    if len(start):
+        end, first = np.unique(stops[np.searchsorted(stops, start)], return_index=True)
+        spans.append((start[first], end, URL))
+    tag = np.flatnonzero(points[:-1] == ord("#"))
+    tag = tag[(k[tag + 1] == _LETTER) | (k[tag + 1] == _WORDLIKE)]
+    if len(tag):
+        apart = np.flatnonzero((k != _LETTER) & (k != _WORDLIKE))
+        end, first = np.unique(apart[np.searchsorted(apart, tag + 1)], return_index=True)
+        spans.append((tag[first], end, TAG))
+    if spans:
+        inside = np.zeros(len(points) + 1, np.int32)
+        for start, end, _ in spans:
+            np.add.at(inside, start, 1)
+            np.add.at(inside, end, -1)
+        letter &= np.cumsum(inside)[:-1] == 0
+    at = np.flatnonzero(letter)
+    head = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    length = np.diff(np.r_[head, len(at)])
+    off = np.arange(len(at)) - np.repeat(head, length)
+    power = _power(int(length.max()) if len(length) else 1)
+    numbers = _mix(np.add.reduceat(number[points[at]] * power[off], head)) if len(head) else np.zeros(0, np.uint64)
+    spot = at[head] if len(head) else np.zeros(0, np.int64)
+    if spans:
+        links = [(start, end, code) for start, end, code in spans]
+        if len(links) == 2:  # a tag inside a link is part of it
+            (a, b, _), (s, e, code) = links
+            held = np.searchsorted(a, s, side="right") - 1
+            free = (held < 0) | (s >= b[np.maximum(held, 0)])
+            links[1] = (s[free], e[free], code)
+        spot = np.concatenate([spot, *(s for s, _, _ in links)])
+        length = np.concatenate([length, *(e - s for s, e, _ in links)])
+        numbers = np.concatenate([numbers, *(np.full(len(s), code) for s, _, code in links)])
+        order = np.argsort(spot, kind="stable")
+        spot, length, numbers = spot[order], length[order], numbers[order]
+    return numbers, length, np.searchsorted(begin, spot, side="right") - 1
+
+
+def neighbours(numbers: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a token has a next one in its text, and the number of the pair."""
+    at = np.flatnonzero(docs[1:] == docs[:-1]) if len(docs) > 1 else np.zeros(0, np.int64)
+    return at, _mix(numbers[at] * _C + numbers[at + 1] + _B)
 
 
-class Sketch:
-    """Counts of hashes; two rows of counters."""
+def _once(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where each number stands first in each text."""
+    return np.unique(_mix(h) + docs.astype(np.uint64) * _B, return_index=True)[1]
 
-    def __init__(self, cells: int) -> None:
-        self.cells, self.total, self.rows = cells, 0, np.zeros((2, cells), np.int64)
-        self.texts = 0
 
-    def places(self, h: np.ndarray, row: int) -> np.ndarray:
-        return (_mix(h, row) % np.uint64(self.cells)).astype(np.int64)
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``SLICE`` characters, with the number of the first."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > SLICE:
+            yield start, [x or "" for x in texts[start:i]]
+            start, size = i, 0
+        size += len(t or "")
+    if texts:
+        yield start, [x or "" for x in texts[start:]]
 
-    def add(self, h: np.ndarray) -> None:
-        self.total += len(h)
-        for r in range(2):
-            self.rows[r] += np.bincount(self.places(h, r), minlength=self.cells)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        best = None
-        for r in range(2):
-            c = self.rows[r][self.places(h, r)].astype(np.float64)
-            c = c - (self.total - c) / max(1, self.cells - 1)
-            best = c if best is None else np.minimum(best, c)
-        return np.maximum(best, 0.0)
+# --- counts ---------------------------------------------------------------------
 
 
 def distinct_texts(texts: DataFrame, text: str) -> DataFrame:
     """One row of each class of copies: texts that agree but for case, spaces, figures and punctuation.
 
-    Classes are told by 128 bits.  Each task keeps one text of a class before texts move,
-    so a class of very many rows costs no more than one of few.
+    Classes are told by 128 bits and stand for their least text.  Each task keeps one text
+    of a class before texts move, so a class of very many rows costs no more than one of few.
     """
     letters = F.regexp_replace(F.lower(text), r"[^\p{L}#]+", " ")
     # Texts without a letter are copies only if equal.
     key = F.unhex(F.md5(F.when(F.length(F.trim(letters)) > 0, letters).otherwise(F.col(text))))
-    return texts.select(text, key.alias("copy")).groupBy("copy").agg(F.first(text).alias(text)).select(text)
+    return texts.select(text, key.alias("copy")).groupBy("copy").agg(F.min(text).alias(text)).select(text)
 
 
-def corpus_counts(texts: DataFrame, text: str, pair_cells: int = PAIR_CELLS, word_cells: int = WORD_CELLS) -> tuple[Sketch, Sketch]:
-    """Sketches of the number of documents, of all rows, that hold each word and each pair.
+def corpus_counts(texts: DataFrame, text: str) -> DataFrame:
+    """``a, b, n``: the number of rows that hold word ``a`` (``b`` null) or the neighbours ``a b``; rows in all under two nulls.
 
-    Each task counts into its own sketch and sends the counters in use; a pre-aggregated
-    sum merges them.  At most ``2 * (pair_cells + word_cells)`` rows reach the driver.
+    Each task adds up its own counts before they move.
     """
 
+    def rows(a, b, n, word: bool) -> pa.RecordBatch:
+        second = pa.nulls(len(a), pa.int64()) if word else pa.array(b.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), second, pa.array(n)], ["a", "b", "n"])
+
+    def added(parts: list) -> tuple:
+        key, a, b, n = (np.concatenate(x) for x in zip(*parts))
+        _, first, group = np.unique(key, return_index=True, return_inverse=True)
+        return key[first], a[first], b[first], np.bincount(group, weights=n).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, texts = Sketch(word_cells), Sketch(pair_cells), 0
+        held: dict[bool, list] = {True: [], False: []}
+        total = 0
+
+        def grown() -> Iterator[pa.RecordBatch]:
+            for word, parts in held.items():
+                if sum(len(p[0]) for p in parts) > HOLD:
+                    parts[:] = [added(parts)]
+                    if len(parts[0][0]) > HOLD // 2:
+                        _, a, b, n = parts.pop()
+                        yield rows(a, b, n, word)
+
+        for batch in batches:
+            total += batch.num_rows
+            for _, part in _slices(batch.column(0).to_pylist()):
+                numbers, _, docs = tokens(part)
+                one = _once(numbers, docs)
+                held[True].append((numbers[one], numbers[one], numbers[one], np.ones(len(one), np.int64)))
+                at, pair = neighbours(numbers, docs)
+                one = _once(pair, docs[at])
+                held[False].append((pair[one], numbers[at[one]], numbers[at[one] + 1], np.ones(len(one), np.int64)))
+                yield from grown()
+        for word, parts in held.items():
+            if parts:
+                _, a, b, n = added(parts)
+                yield rows(a, b, n, word)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["a", "b", "n"])
+
+    return texts.select(text).mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+class Counts:
+    """Counts that executors hold: of words with the reach of each, of pairs, and the totals."""
+
+    def __init__(self, words, reach_n, reach, pairs, pair_n, texts: int, all_words: int, all_pairs: int) -> None:
+        self.words, self.word_n, self.reach = words, reach_n, reach
+        self.pairs, self.pair_n = pairs, pair_n
+        self.texts, self.all_words, self.all_pairs = texts, max(1, all_words), max(1, all_pairs)
+
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return at, table[at] == keys
+
+    def missing(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Text numbers and numbers of the words and pairs of which no count is held."""
+        numbers, _, docs = tokens(texts)
+        at, pair = neighbours(numbers, docs)
+        out = []
+        for table, keys, where in ((self.words, numbers, docs), (self.pairs, pair, docs[at])):
+            lost = ~self._find(table, keys)[1]
+            keys, where = keys[lost], where[lost]
+            one = _once(keys, where)
+            out.append((where[one], keys[one]))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+    def with_more(self, keys: np.ndarray, n: np.ndarray, reach: np.ndarray) -> Counts:
+        """These counts and some of the others; reach is -1 for pairs."""
+        word = reach >= 0
+
+        def merged(a, b, *columns):
+            k = np.concatenate([a, b])
+            k, one = np.unique(k, return_index=True)
+            return k, *(np.concatenate(c)[one] for c in columns)
+
+        w, wn, wr = merged(self.words, keys[word], (self.word_n, n[word]), (self.reach, reach[word]))
+        p, pn = merged(self.pairs, keys[~word], (self.pair_n, n[~word]))
+        return Counts(w, wn, wr, p, pn, self.texts, self.all_words, self.all_pairs)
+
+
+def held_counts(counts: DataFrame, most_words: int = HELD_WORDS, most_pairs: int = HELD_PAIRS) -> tuple[Counts, DataFrame | None]:
+    """The counts of the most frequent words and pairs, and ``key, n, reach`` of all others above one (None if none)."""
+    words = counts.where("a is not null and b is null").select(F.col("a").alias("key"), "n")
+    pairs = counts.where("b is not null")
+    # The commonest word beside a word tells how many documents could hold it.
+    beside = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    reach = beside.join(words.select(F.col("key").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.max("m").alias("m"))
+    words = words.join(reach.withColumnRenamed("a", "key"), "key", "left").select("key", "n", F.greatest("n", F.coalesce("m", F.lit(0))).alias("reach"))
+    words = written(words, "word-counts")
+
+    def pair_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, _, docs = _flat(batch.column(0).to_pylist())
-            words.add(_once(numbers, docs))
-            h, same = _pairs(numbers, docs)
-            pairs.add(_once(h[same], docs[:-1][same] if len(docs) else docs))
-            texts += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([texts], pa.int64())], ["cell", "n"])
-        for base, sketch in ((0, words), (2 * word_cells, pairs)):
-            flat = sketch.rows.ravel()
-            used = np.flatnonzero(flat)
-            for i in range(0, len(used), 100_000):
-                part = used[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part + base, pa.int64()), pa.array(flat[part], pa.int64())], ["cell", "n"])
-
-    sums = texts.select(text).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = sums.select(F.col("cell").cast("int"), "n").toPandas()
-    words, pairs = Sketch(word_cells), Sketch(pair_cells)
-    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
-    words.texts = pairs.texts = int(n[cell < 0].sum())
-    cell, n = cell[cell >= 0], n[cell >= 0]
-    low = cell < 2 * word_cells
-    words.rows.ravel()[cell[low]] = n[low]
-    pairs.rows.ravel()[cell[~low] - 2 * word_cells] = n[~low]
-    words.total, pairs.total = int(words.rows[0].sum()), int(pairs.rows[0].sum())
-    return words, pairs
-
-
-def score(texts: list[str | None], words: Sketch, pairs: Sketch) -> dict[str, np.ndarray]:
-    """``mean_pmi, repeated, stuffed`` of each text; null PMI (NaN) without a pair."""
+            a, b = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(a * _C + b + _B).view(np.int64)), batch.column(2)], ["key", "n"])
+
+    pairs = pairs.where("n > 1").select("a", "b", "n").mapInArrow(pair_number, "key bigint, n bigint")
+
+    def floor(df: DataFrame, most: int) -> int:
+        """The least count from which on at most ``most`` rows have it."""
+        step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(8 * F.log2("n")) / 8)))
+        hist = sorted(((r[0], r[1]) for r in df.groupBy(step.alias("s")).count().collect()), reverse=True)  # a few hundred rows
+        total, least = 0, None
+        for s, c in hist:
+            if total + c > most:
+                break
+            total, least = total + c, int(s)
+        return least if least is not None else (1 << 62)
+
+    low_word, low_pair = floor(words, most_words), floor(pairs, most_pairs)
+    w = words.where(F.col("n") >= low_word).toPandas()
+    p = pairs.where(F.col("n") >= low_pair).toPandas()
+    total = {(r["w"], r["p"]): r["n"] for r in counts.groupBy(F.col("a").isNull().alias("w"), F.col("b").isNull().alias("p")).agg(F.sum("n").alias("n")).collect()}
+    w_key, p_key = w["key"].to_numpy(np.int64).view(np.uint64), p["key"].to_numpy(np.int64).view(np.uint64)
+    wo, po = np.argsort(w_key), np.argsort(p_key)
+    found = Counts(
+        w_key[wo], w["n"].to_numpy(np.int64)[wo], w["reach"].to_numpy(np.int64)[wo], p_key[po], p["n"].to_numpy(np.int64)[po],
+        total.get((True, True), 0), total.get((False, True), 0), total.get((False, False), 0),
+    )
+    more = words.where((F.col("n") < low_word) & (F.col("n") > 1)).union(pairs.where(F.col("n") < low_pair).select("key", "n", F.lit(-1).cast("bigint")))
+    return found, None if more.isEmpty() else more
+
+
+# --- scores ---------------------------------------------------------------------
+
+
+def score(texts: list[str], counts: Counts, reach: int = REACH, stuffed: float = STUFFED) -> tuple[np.ndarray, np.ndarray]:
+    """Mean PMI (NaN without neighbours) and share of the text in stretches of low mean PMI, of each text."""
     size = len(texts)
-    numbers, lengths, docs = _flat(texts)
-    out = {"mean_pmi": np.full(size, np.nan), "repeated": np.zeros(size), "stuffed": np.zeros(size)}
-    h, same = _pairs(numbers, docs)
-    if not same.any():
-        return out
-    at = np.flatnonzero(same)
-    h, doc = h[at], docs[at]
-    # Pairs and first words of each document, counted: one sort of one 64-bit key each.
-    salt = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, one, group, own_by_group = np.unique(_mix(h, 2) + salt, return_index=True, return_inverse=True, return_counts=True)
-    own = own_by_group[group]
-    _, lead, of_lead = np.unique(_mix(numbers[at], 3) + salt, return_inverse=True, return_counts=True)
-    of_lead = of_lead[lead]
-    n_doc = np.bincount(doc, minlength=size)
-    # In how many other documents: of the pair, and of its words.
-    rest = np.maximum(pairs.counts(h[one]) - 1.0, 0.0)[group]
-    unit = np.maximum(words.counts(numbers) - 1.0, 0.0)
-    a, b = unit[at], unit[at + 1]
-    pmi = np.log2(np.maximum(rest, 0.05) * max(1, words.texts) / (np.maximum(a, 1.0) * np.maximum(b, 1.0)))
-    # Of its first word's occurrences in the document, how many would the corpus follow with the second?
-    expected = of_lead * np.minimum(1.0, rest / np.maximum(a, 1.0))
-    # Page numbers and years repeat in any index: a pair with a figure must repeat more, one of two figures never counts.
-    one_figure, figures = (numbers[at] == NUM) ^ (numbers[at + 1] == NUM), (numbers[at] == NUM) & (numbers[at + 1] == NUM)
-    stuffed_pair = (own >= np.where(one_figure, 2 * REPEATS, REPEATS)) & (own >= EXCESS * expected) & ~figures
-    # Tokens of stuffed pairs, then stretches of them.
-    hot = (numbers == URL) | (numbers == TAG)
-    hot[at[stuffed_pair]] = True
-    hot[at[stuffed_pair] + 1] = True
+    numbers, lengths, docs = tokens(texts)
+    at, pair = neighbours(numbers, docs)
+    if not len(at):
+        return np.full(size, np.nan), np.zeros(size)
+    spot, known = counts._find(counts.words, numbers)
+    n = np.where(known, counts.word_n[spot], 1) if len(counts.words) else np.ones(len(numbers), np.int64)
+    near = np.where(known, counts.reach[spot], 1) if len(counts.words) else np.ones(len(numbers), np.int64)
     start = np.searchsorted(docs, np.arange(size), side="left")
     stop = np.searchsorted(docs, np.arange(size), side="right")
-    spot = np.arange(len(numbers))
-    lo, hi = np.maximum(spot - REACH, start[docs]), np.minimum(spot + REACH + 1, stop[docs])
-    weight = (lengths + 1).astype(np.float64)
-
-    def around(values: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        return sums[hi] - sums[lo]
-
-    dense = around(hot * weight) >= DENSE * around(weight)
-    pair_pmi, pair_ok = np.zeros(len(numbers)), np.zeros(len(numbers))
-    worded = ~(figures | one_figure)
-    pair_pmi[at], pair_ok[at] = np.where(worded, pmi, 0.0), worded.astype(float)
-    held = around(pair_ok)
-    salad = (around(pair_pmi) < SALAD * held) & (held >= 1.5 * REACH)
-    # Words that a page repeats and few other pages hold: lists of one shop's phrases in any order.
-    burst = np.zeros(len(numbers), bool)
-    burst[at] = (of_lead >= BURST) & (of_lead >= BURST_SHARE * n_doc[doc]) & (a < RARE * words.texts) & (numbers[at] != NUM)
-    bursting = around((burst | hot) * weight) >= BURST_DENSE * around(weight)
-    flagged = dense | salad | bursting
-    chars = np.bincount(docs, weights=weight, minlength=size)
-    out["stuffed"] = np.bincount(docs, weights=weight * flagged, minlength=size) / np.maximum(chars, 1)
-    out["repeated"] = np.bincount(doc, weights=stuffed_pair, minlength=size) / np.maximum(n_doc, 1)
+    held = stop > start
+    widest = np.ones(size)
+    widest[held] = np.maximum.reduceat(np.maximum(near, 1), start[held])
+    scale = counts.texts / widest
+    _, group, own = np.unique(_mix(numbers) + docs.astype(np.uint64) * _B, return_inverse=True, return_counts=True)
+    # How frequent a word is: in the corpus, or among the page's other words if more.
+    in_corpus = np.maximum(n - 1, 1) / counts.all_words * scale[docs]
+    on_page = (own[group] - 1) / np.maximum(stop - start - 1, 1)[docs]
+    rate = np.log2(np.maximum(in_corpus, on_page))
+    spot, known = counts._find(counts.pairs, pair)
+    joined = (np.where(known, counts.pair_n[spot], 1) if len(counts.pairs) else np.ones(len(pair))) - 1.0
+    pmi = np.log2((np.maximum(joined, 0.0) + UNSEEN) / counts.all_pairs * scale[docs[at]]) - rate[at] - rate[at + 1]
+    weight = lengths + 1.0
+    sums, over = np.zeros(len(numbers) + 1), np.zeros(len(numbers) + 1)
+    both = weight[at] + weight[at + 1]
+    sums[at + 1], over[at + 1] = pmi * both, both
+    sums, over = np.cumsum(sums), np.cumsum(over)
+    here = np.arange(len(numbers))
+    lo = np.maximum(here - reach, start[docs])
+    hi = np.maximum(np.minimum(here + reach, stop[docs] - 1), lo)
+    low = (sums[hi] - sums[lo]) < stuffed * (over[hi] - over[lo])
+    share = np.bincount(docs, weights=weight * low, minlength=size) / np.maximum(np.bincount(docs, weights=weight, minlength=size), 1)
     with np.errstate(invalid="ignore", divide="ignore"):
-        out["mean_pmi"] = np.bincount(doc, weights=pmi, minlength=size) / np.where(n_doc > 0, n_doc, np.nan)
-    return out
+        pairs_of = np.bincount(docs[at], minlength=size)
+        mean = np.bincount(docs[at], weights=pmi, minlength=size) / np.where(pairs_of > 0, pairs_of, np.nan)
+    return mean, share
 
 
-def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, mean_pmi, repeated, stuffed``, one row per row of ``documents``.
+def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most_words: int = HELD_WORDS, most_pairs: int = HELD_PAIRS) -> DataFrame:
+    """``doc_id, mean_pmi, stuffed``, one row per row of ``documents``.
 
-    Copies count once in the corpus and are all scored.
-    ``stuffed`` is the share of the text in stretches of stuffed collocations, links,
-    tags or word salad.  Null, empty and one-word texts score 0.
+    Copies count once in the corpus and are all scored.  ``stuffed`` is the share of the
+    text (words, links and tags, by length) in stretches of low mean PMI.  Null, empty
+    and one-word texts score 0 and have no mean.  ``most_words`` and ``most_pairs`` bound
+    what executors hold and do not change the result.
     """
+    spark = documents.sparkSession
     slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    held = documents.sparkSession.sparkContext.broadcast(corpus_counts(distinct_texts(slim, "text"), "text"))
-    id_type = slim.schema["doc_id"].dataType.simpleString()
+    counts = written(corpus_counts(distinct_texts(slim, "text"), "text"), "counts")
+    found, more = held_counts(counts, most_words, most_pairs)
+    held = spark.sparkContext.broadcast(found)  # at most 24 * most_words + 16 * most_pairs bytes
+    shape = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, mean_pmi double, stuffed double"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = held.value
+        known = held.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = score(batch.column(1).to_pylist(), words, pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[c], pa.float64()) for c in ("mean_pmi", "repeated", "stuffed"))], ["doc_id", "mean_pmi", "repeated", "stuffed"])
-
-    return slim.mapInArrow(scan, f"doc_id {id_type}, mean_pmi double, repeated double, stuffed double")
+            extra = batch.column(2) if batch.num_columns > 2 else None
+            for start, part in _slices(batch.column(1).to_pylist()):
+                use = known
+                if extra is not None:
+                    own = pa.array(extra.slice(start, len(part))).flatten()
+                    if len(own):
+                        key, n, reach = (np.asarray(own.field(i)) for i in range(3))
+                        use = known.with_more(key.view(np.uint64), n, reach)
+                mean, share = score(part, use)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(mean, pa.float64(), from_pandas=True), pa.array(share, pa.float64())], ["doc_id", "mean_pmi", "stuffed"])
+
+    if more is None:
+        return slim.mapInArrow(scan, shape)
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in _slices(batch.column(1).to_pylist()):
+                docs, keys = held.value.missing(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs + start)), pa.array(keys.view(np.int64))], ["print", "key"])
+
+    # What the executors do not hold comes by a join, once per text: a list no longer than its text.
+    marked = slim.withColumn("print", F.unhex(F.md5("text")))
+    wanted = marked.where("print is not null").select("print", "text").mapInArrow(lacking, "print binary, key bigint").distinct()
+    lists = wanted.join(more, "key").groupBy("print").agg(F.collect_list(F.struct("key", "n", "reach")).alias("extra"))
+    return marked.join(lists, "print", "left").select("doc_id", "text", "extra").mapInArrow(scan, shape)
 
 
 def stuffed_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", flag: float = FLAG) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 
-from colophon.llm.stuffing import Sketch, corpus_counts, score_pages, stuffed_pages
+from colophon.llm.stuffing import corpus_counts, distinct_texts, score_pages, stuffed_pages, tokens
 
 NOUNS = [a + b for a in ("riv", "ston", "lan", "har", "win", "grav", "led", "prom", "mir", "sea") for b in ("er", "ern", "our", "ow", "ity", "ger", "ise", "ror", "son", "ect")]
 
@@ -70,19 +72,60 @@ def test_empty_table(corpus):
     assert stuffed_pages(corpus[0].limit(0)).count() == 0
 
 
-def test_counts_cover_every_row(corpus):
-    df, *_ = corpus
-    words, pairs = corpus_counts(df.select("text"), "text", 1 << 16, 1 << 12)
-    more, _ = corpus_counts(df.union(df).select("text"), "text", 1 << 16, 1 << 12)
-    assert words.total > 0 and more.total == 2 * words.total
-    assert (words.rows >= 0).all() and words.rows[0].sum() == words.rows[1].sum() == words.total
+def plain_tokens(text):
+    import regex
+
+    found = regex.findall(r"(?:https?://|www\.)[^\s\"'<>()\[\]]*|#[\p{L}\p{N}_-]+|[\p{L}]+", (text or "").lower())
+    return ["\1" if t.startswith(("http://", "https://", "www.")) else "\2" if t[0] == "#" else t for t in found]
+
 
+def test_tokens_against_a_regular_expression():
+    texts = ["Éa http://a.b/#c 1,2 #x-y www.q.r end", "", "a-b  c'd (www.z) #", "https://x ab#cd 12ab", "x" * 70_000 + " y"]
+    numbers, lengths, docs = tokens(texts)
+    want = [(i, t) for i, text in enumerate(texts) for t in plain_tokens(text)]
+    assert docs.tolist() == [i for i, _ in want]
+    named = {}
+    for (_, t), n in zip(want, numbers.tolist()):
+        assert named.setdefault(t, n) == n
+    assert len(set(named.values())) == len(named)
+    assert lengths.max() == 70_000
 
-def test_sketch_counts():
-    import numpy as np
 
-    s = Sketch(1 << 14)
-    h = np.arange(500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for _ in range(10):
-        s.add(h)
-    assert abs(s.counts(h) - 10).mean() < 0.5
+def test_counts_are_exact(corpus):
+    df, *_ = corpus
+    texts = [r["text"] for r in distinct_texts(df, "text").collect()]
+    words, pairs = Counter(), Counter()
+    for t in texts:
+        w = plain_tokens(t)
+        words.update(set(w))
+        pairs.update(set(zip(w, w[1:])))
+    got = corpus_counts(distinct_texts(df, "text"), "text").collect()
+    assert sorted(r["n"] for r in got if r["a"] is not None and r["b"] is None) == sorted(words.values())
+    assert sorted(r["n"] for r in got if r["b"] is not None) == sorted(pairs.values())
+    assert [r["n"] for r in got if r["a"] is None] == [len(texts)]
+
+
+def test_bounds_of_the_broadcast_change_nothing(corpus):
+    df, *_ = corpus
+    key = lambda r: (r["doc_id"], r["mean_pmi"] is None, round(r["mean_pmi"] or 0, 9), round(r["stuffed"], 9))
+    whole = sorted(key(r) for r in score_pages(df).collect())
+    assert sorted(key(r) for r in score_pages(df, most_words=3, most_pairs=5).collect()) == whole
+    assert sorted(key(r) for r in score_pages(df, most_words=0, most_pairs=0).collect()) == whole
+
+
+def test_many_corpora_side_by_side(corpus, spark):
+    """Flags stay as they are when the corpus stands beside others in other words."""
+    df, spam, _ = corpus
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    other = lambda t, k: t and re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0] in ("https", "www") else m[0] + "abcdefghijklmnopqrst"[k] * 3, t)
+    many = [(10_000 * k + i, other(t, k)) for k in range(20) for i, t in rows]
+    got = {r["doc_id"] for r in stuffed_pages(spark.createDataFrame(many, "doc_id bigint, text string").repartition(8)).collect()}
+    assert got == {10_000 * k + i for k in range(20) for i in spam}
+
+
+def test_the_mean_pmi_decides(corpus):
+    """Without the page's own frequencies in the PMI nothing is flagged; the flags are its doing alone."""
+    df, spam, _ = corpus
+    means = {r["doc_id"]: r["mean_pmi"] for r in score_pages(df).collect() if r["mean_pmi"] is not None}
+    prose_means = [v for k, v in means.items() if k < 200]
+    assert max(means[i] for i in spam if i != 1004) < min(prose_means)
