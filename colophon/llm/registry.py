@@ -28,17 +28,37 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "loaded_chunk"), "id", "embedding", dim=64, k=5)
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.split import split_oversized
 
-    return split_oversized(table(spark, folder, "chunk_result").select("chunk_id", "text", "page_start", "page_end")).where("piece_no > 1").select("chunk_id").distinct()
+    return split_oversized(table(spark, folder, "chunk_result").select("chunk_id", "text", "page_start", "page_end"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("piece_no > 1").select("chunk_id").distinct()
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.split import split_oversized
 
-    pieces = split_oversized(table(spark, folder, "chunk_result").select("chunk_id", "text", "page_start", "page_end"))
-    return pieces.drop("text", "page_start", "page_end").dropDuplicates(["chunk_id", "piece_no"])
+    chunks = table(spark, folder, "chunk_result").select("chunk_id", "text", "page_start", "page_end").distinct()
+    return split_oversized(chunks).drop("page_start", "page_end")
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each chunk come to when put together again, and whether they keep limit and overlap."""
+    pieces = p3_pieces(spark, folder)
+    body = F.expr("substring(piece_text, piece_body_offset - piece_offset + 1)")
+    again = F.col("piece_body_offset") - F.col("piece_offset")
+    fits = (F.length("piece_text") <= 2400) & (again <= 240) & ((F.col("piece_no") == 1) == (F.col("piece_body_offset") == 0))
+    parts = F.array_sort(F.collect_list(F.struct("piece_body_offset", body.alias("body"))))
+    return pieces.groupBy("chunk_id").agg(
+        F.md5(F.array_join(F.transform(parts, lambda p: p["body"]), "")).alias("whole"),
+        F.min(fits).alias("fits"),
+        F.min("piece_page_start").alias("first_page"),
+        F.max("piece_page_end").alias("last_page"),
+        (F.count("*") > 1).alias("split"),
+    )
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +82,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.union(alike_pairs(table(spark, folder, "message"), "id", "content").select(F.lit("message").alias("table_name"), "id_a", "id_b"))
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of ``p6_found`` by its class, without pairs."""
+    from colophon.llm.unify import alike_classes
+
+    chunks = alike_classes(table(spark, folder, "chunk_result"), "chunk_id", "text").select(F.lit("chunk_result").alias("table_name"), "id", "class_id", "texts")
+    return chunks.union(alike_classes(table(spark, folder, "message"), "id", "content").select(F.lit("message").alias("table_name"), "id", "class_id", "texts"))
+
+
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.unify import unify_text
 
@@ -105,9 +133,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p6_texts": p6_texts,
     "p7_found": p7_found,
     "p8_selection": p8_selection,
@@ -151,8 +181,29 @@ v as (select *, case when u is not null then (log2((greatest(m - 1, 0) + 0.5) /
 s as (select id, w, sum(e) over k as e, sum(ew) over k as ew from v window k as (partition by id order by i rows between 10 preceding and 9 following))
 select id as doc_id from s group by id having sum(case when e < -4.0 * ew then w else 0 end) / sum(w) > 0.5"""
 
+def _form(text: str) -> str:
+    """SQL for the consistent form, by letter tables: the operator works on the whole Unicode database."""
+    from colophon.llm.unify import ARMENIAN, CHEROKEE, CYRILLIC, GREEK, OTHER
+
+    alike = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
+    out = f"regexp_replace({text}, '[\\p{{Cf}}\\x{{34F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}]', '', 'g')"
+    for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("\r\n", "\n"), ("\r", "\n"), ("\u2028", "\n"), ("\u2029", "\n"), ("\x85", "\n")):
+        out = f"replace({out}, '{joined}', '{letters}')"
+    out = f"regexp_replace({out}, '[\\p{{Zs}}\\t\\v\\f]', ' ', 'g')"
+    return f"nfc_normalize(translate(nfc_normalize({out}), '{''.join(alike)}', '{''.join(alike.values()).replace(chr(39), chr(39) * 2)}'))"
+
+
+ALIKE = f"""with t as (select distinct 'chunk_result' as table_name, chunk_id as id, text as s, {_form('text')} as form from chunk_result where text is not null and chunk_id is not null
+  union select distinct 'message', id, content, {_form('content')} from message where content is not null and id is not null),
+m as (select * from t where regexp_matches(form, '\\S'))
+"""
+
 SQL: dict[str, str] = {
+    "p6_found": ALIKE + "select distinct a.table_name, a.id as id_a, b.id as id_b from m a join m b on a.table_name = b.table_name and a.form = b.form and a.id < b.id and a.s <> b.s",
+    "p6_classes": ALIKE + ", c as (select table_name, form, min(id) as class_id, count(distinct s) as texts from m group by table_name, form having count(distinct s) > 1) select distinct table_name, id, class_id, texts from m join c using (table_name, form)",
     "p9_found": STUFFED,
     "p5_found": CONVERSATIONS,
+    "p3_restored": """select distinct chunk_id, md5(text) as whole, true as fits, case when coalesce(page_start, 0) = 0 then 0 else least(page_start, if(coalesce(page_end, 0) = 0, page_start, page_end)) end as first_page,
+  case when coalesce(page_start, 0) = 0 then 0 else greatest(page_start, if(coalesce(page_end, 0) = 0, page_start, page_end)) end as last_page, length(text) > 2400 as split from chunk_result where text is not null""",
     "p3_found": "select distinct chunk_id from chunk_result where length(text) > 2400",
 }

@@ -47,20 +47,34 @@ def _bodies(text: Column, max_chars: int, overlap: int) -> Column:
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(cut)
 
 
-def _stops(bodies: Column) -> Column:
-    """Where each body ends, in code points."""
-    total = lambda acc, body: F.concat(acc, F.array(F.length(body) + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0)))
-    return F.aggregate(bodies, F.array().cast("array<int>"), total)
+#: Lengths added up at once where the bodies before a piece are measured.
+_RUN = 128
 
 
-def _piece(text: Column, stops: Column, stop: Column, i: Column, overlap: int) -> Column:
-    """``STRUCT<start, body_start, stop, text>``; from ``start`` to ``body_start`` the end of the piece before."""
-    begin = F.when(i > 0, F.get(stops, i - 1)).otherwise(F.lit(0))
-    before = F.when(i > 1, F.get(stops, i - 2)).otherwise(F.lit(0))
-    reach = F.least(F.lit(overlap), begin - before)
-    kept = F.length(F.regexp_replace(text.substr(begin - reach + 1, reach), _SHED, ""))
-    start = F.when((i > 0) & (F.lit(overlap) > 0), begin - kept).otherwise(begin)
-    return F.struct(start.alias("start"), begin.alias("body_start"), stop.alias("stop"), text.substr(start + 1, stop - start).alias("text"))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _runs(lengths: Column) -> Column:
+    """Total length before each run of ``_RUN`` bodies."""
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda r: _sum(F.slice(lengths, r * _RUN + 1, F.lit(_RUN))))
+    return F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _pieces(bodies: Column, lengths: Column, runs: Column, overlap: int) -> Column:
+    """``STRUCT<begin, tail, body>`` a piece: where its body starts, the end of the body before, its body.
+
+    A piece takes along no more than itself, so cost grows with the text's length alone.
+    """
+
+    def piece(body: Column, i: Column) -> Column:
+        run = F.floor(i / _RUN).cast("int")
+        # The array is named twice, else the optimizer would move what computes it into this function.
+        begin = F.when(run < F.size(runs), F.get(runs, run)) + _sum(F.slice(lengths, run * _RUN + 1, i - run * _RUN))
+        tail = F.when(i > 0, F.substring(F.get(bodies, i - 1), -overlap, overlap)).otherwise("") if overlap else F.lit("")
+        return F.struct(begin.alias("begin"), tail.alias("tail"), body.alias("body"))
+
+    return F.transform(bodies, piece)
 
 
 def split_oversized(
@@ -71,15 +85,15 @@ def split_oversized(
     max_chars: int = MAX_CHARS,
     overlap: int = OVERLAP,
 ) -> DataFrame:
-    """One row per piece: the other columns, ``piece_no`` from 1, ``piece_text``, ``piece_offset``, ``piece_body_offset``, ``piece_page_start``, ``piece_page_end``.
+    """One row per piece: the columns but ``text``, ``piece_no`` from 1, ``piece_text``, ``piece_offset``, ``piece_body_offset``, ``piece_page_start``, ``piece_page_end``.
 
     A null text gives no row; an empty one gives one empty piece.  Pages are spread
-    evenly over the characters; a swapped pair is put in order, a null end equals the
+    evenly over the characters (an estimate: the text has no page breaks); a swapped pair is put in order, a null end equals the
     start, and a null or 0 start means unknown and gives 0.  Repeated rows stay
     repeated.  Columns of ``df`` that carry an output name are replaced.
     """
     out = ["piece_no", "piece_text", "piece_offset", "piece_body_offset", "piece_page_start", "piece_page_end"]
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (*out, text)]
     if not 0 <= overlap < max_chars:
         raise ValueError("overlap must be at least 0 and below max_chars")
     n = F.length(F.col(text))
@@ -87,21 +101,23 @@ def split_oversized(
     b = F.when(b == 0, a).otherwise(b)
     lo, hi = F.least(a, b), F.greatest(a, b)
     # One projection each: inside one expression the pieces would be cut again for every use.
-    rows = df.select(*kept, F.col(text).alias("_t"), n.alias("_n"), a.alias("_a"), lo.alias("_lo"), hi.alias("_hi"), _bodies(F.col(text), max_chars, overlap).alias("_b"))
-    rows = rows.withColumn("_s", _stops(F.col("_b"))).drop("_b")
-    rows = rows.select("*", F.posexplode("_s").alias("_i", "_stop"))
-    rows = rows.withColumn("_p", _piece(F.col("_t"), F.col("_s"), F.col("_stop"), F.col("_i"), overlap))
+    rows = df.where(F.col(text).isNotNull()).select(*kept, n.alias("_n"), a.alias("_a"), lo.alias("_lo"), hi.alias("_hi"), _bodies(F.col(text), max_chars, overlap).alias("_b"))
+    rows = rows.withColumn("_l", F.transform("_b", F.length)).withColumn("_r", _runs(F.col("_l")))
+    rows = rows.withColumn("_p", _pieces(F.col("_b"), F.col("_l"), F.col("_r"), overlap)).drop("_b", "_l", "_r")
+    # No array is empty here; the outer form keeps the optimizer from cutting the text once more to test that.
+    rows = rows.select("*", F.posexplode_outer("_p").alias("_i", "_q")).drop("_p")
+    rows = rows.withColumn("_o", F.regexp_replace("_q.tail", _SHED, "")).withColumn("_s", (F.col("_q.begin") - F.length("_o")).cast("int"))
 
     def page(offset: Column) -> Column:
-        at = F.col("_lo") + F.floor(offset * (F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1))).cast("int")
+        at = F.col("_lo") + F.floor(offset.cast("bigint") * (F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1))).cast("int")
         return F.when(F.col("_a") == 0, F.lit(0)).otherwise(F.least(at, F.col("_hi")))
 
     return rows.select(
         *kept,
         (F.col("_i") + 1).alias("piece_no"),
-        F.col("_p.text").alias("piece_text"),
-        F.col("_p.start").alias("piece_offset"),
-        F.col("_p.body_start").alias("piece_body_offset"),
-        page(F.col("_p.start")).alias("piece_page_start"),
-        page(F.greatest(F.col("_p.stop") - 1, F.lit(0))).alias("piece_page_end"),
+        F.concat("_o", "_q.body").alias("piece_text"),
+        F.col("_s").alias("piece_offset"),
+        F.col("_q.begin").alias("piece_body_offset"),
+        page(F.col("_s")).alias("piece_page_start"),
+        page(F.greatest(F.col("_q.begin") + F.length("_q.body") - 1, F.lit(0))).alias("piece_page_end"),
     )

@@ -6,8 +6,9 @@ expansion offsets apply it to the whole batch; combining marks are then put in o
 and composed by sorted-key lookups.  No call is made per row.
 
 The form: width and presentation variants and ligatures become plain letters, marks
-are composed, look-alike Greek and Cyrillic letters become Latin ones, every
-space but the line break becomes U+0020, invisible characters vanish.  Case, digits
+are composed, look-alike Greek, Cyrillic, Armenian and Cherokee letters become Latin
+ones, every line break becomes U+000A and every other space U+0020, invisible
+characters vanish.  Case, digits
 that a reader tells apart, superscripts, fractions, quotes, dashes and the number of
 spaces stay, so texts that can be told apart by reading stay apart.
 """
@@ -34,13 +35,19 @@ CYRILLIC = {
 }
 GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "Υ": "Y", "Χ": "X", "α": "a", "γ": "y", "ι": "i", "κ": "k", "ο": "o", "ν": "v", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
 }
-OTHER = {"ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "s"}
+ARMENIAN = {"Լ": "L", "Օ": "O", "Ս": "U", "Տ": "S", "ց": "g", "հ": "h", "յ": "j", "ո": "n", "օ": "o", "զ": "q", "ս": "u"}
+CHEROKEE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S",
+    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
+#: Others, among them the small capitals that are drawn like small letters.
+OTHER = {"ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "s", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s"}
 #: Compatibility mappings that change only width, presentation or kind of space.
 FORMS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
-#: Letters that one character writes joined: these <compat> ranges are ligatures.
-LIGATURES = ((0x0132, 0x0133), (0x01C7, 0x01CC), (0x01F1, 0x01F3), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
+#: Letters that one character writes joined: these <compat> ranges are ligatures and Roman numerals.
+LIGATURES = ((0x0132, 0x0133), (0x01C7, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
 #: Invisible though not of category Cf: joiners, fillers, variation selectors.
 INVISIBLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
 KEPT_CONTROLS = (0x0A,)
@@ -59,7 +66,7 @@ def _expand(ch: str, alike: dict[str, str]) -> str:
     if kind == "Cf" or _within(cp, INVISIBLE) or (kind == "Cc" and cp not in KEPT_CONTROLS and not ch.isspace()):
         return ""
     if cp == 13:
-        return ""
+        return "\n"
     if kind in ("Zs", "Zl", "Zp") or (ch.isspace() and cp not in KEPT_CONTROLS):
         return "\n" if cp in (0x2028, 0x2029, 0x85) else " "
     found = unicodedata.decomposition(ch)
@@ -78,7 +85,7 @@ class Tables:
     """The lookup tables, built once per process from the Unicode database."""
 
     def __init__(self) -> None:
-        alike = CYRILLIC | GREEK | OTHER
+        alike = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER
         size = sys.maxunicode + 1
         self.first = np.arange(size, dtype=np.int32)
         self.count = np.ones(size, dtype=np.uint8)
@@ -104,8 +111,8 @@ class Tables:
                 pairs.setdefault((a << 21) | b, ord(into) if len(into) == 1 else cp)
         for cp in range(0x80):
             if cp not in KEPT_CONTROLS and (cp < 32 or cp == 127):
-                self.count[cp] = 1 if chr(cp).isspace() and cp != 13 else 0
-                self.first[cp] = 32 if chr(cp).isspace() else cp
+                self.count[cp] = 1 if chr(cp).isspace() else 0
+                self.first[cp] = 10 if cp == 13 else 32 if chr(cp).isspace() else cp
         for lead in range(19):  # Hangul, by its arithmetic
             for vowel in range(21):
                 lv = 0xAC00 + (lead * 21 + vowel) * 28
@@ -129,6 +136,10 @@ def tables() -> Tables:
 
 def canonical_points(points: np.ndarray, rows: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Canonical code points and their row numbers; both inputs have equal length."""
+    pairs = (points[:-1] == 13) & (points[1:] == 10) & (rows[:-1] == rows[1:])  # two characters, one line break
+    if pairs.any():
+        kept = np.r_[~pairs, True]
+        points, rows = points[kept], rows[kept]
     # Expansion: each source character is repeated as often as it has replacements.
     count = t.count[points].astype(np.int64)
     ends = np.cumsum(count)
@@ -232,6 +243,27 @@ def unify_text(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]).mapInArrow(convert, schema)
 
 
+def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, class_id, texts``: the rows whose form has several stored texts; class_id is the class's least id, texts their number.
+
+    One row an id, no pairs: a class of a third of all rows costs what its rows cost.
+    Null and blank texts and rows without an id take no part.
+    """
+    marked = _fingerprints(df, key, text)
+    classes = marked.groupBy("form", "stored").agg(F.min("id").alias("least")).groupBy("form").agg(F.min("least").alias("class_id"), F.count("*").alias("texts"))
+    return marked.join(classes.where("texts > 1"), "form").select("id", "class_id", "texts").distinct()
+
+
+def _fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, form, stored``, distinct: 128 bits of the form and 64 of the stored text."""
+    return (
+        unify_text(df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull()), "text")
+        .where(F.col("canonical").rlike(r"\S"))
+        .select("id", F.unhex(F.md5("canonical")).alias("form"), F.xxhash64("text").alias("stored"))
+        .dropDuplicates(["id", "form", "stored"])
+    )
+
+
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``): ids whose texts share a form but differ as stored.
 
@@ -240,12 +272,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     passage copied a million times costs nothing.  Null and blank texts take no part;
     a row without an id is skipped; an id with repeated rows counts once.
     """
-    marked = (
-        unify_text(df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull()), "text")
-        .where(F.col("canonical").rlike(r"\S"))
-        .select("id", F.unhex(F.md5("canonical")).alias("form"), F.xxhash64("text").alias("stored"))
-        .dropDuplicates(["id", "form", "stored"])
-    )
+    marked = _fingerprints(df, key, text)
     mixed = marked.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     members = marked.join(mixed, "form")
     a, b = members.alias("a"), members.alias("b")

@@ -56,3 +56,19 @@ def test_any_text_comes_back(spark, texts):
     for i, t in enumerate(texts):
         assert whole(got[str(i)]) == t
         assert all(len(r["piece_text"]) <= 50 for r in got[str(i)])
+
+
+def test_cost_grows_with_the_length(spark):
+    """Eight times the text takes at most about eight times as long, in one row."""
+    import time
+
+    def seconds(n):
+        df = spark.range(1).selectExpr("'a' as chunk_id", f"repeat('Some words of a sentence. ', {n}) as text", "1 as page_start", "9 as page_end")
+        begin = time.time()
+        total = split_oversized(df).selectExpr("sum(length(piece_text) - (piece_body_offset - piece_offset)) as n", "max(piece_page_end) as p").first()
+        assert total["n"] == 26 * n and total["p"] == 9
+        return time.time() - begin
+
+    seconds(1_000)
+    small, large = seconds(20_000), seconds(160_000)
+    assert large < 8 * max(small, 0.5) * 1.6

@@ -4,14 +4,14 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colophon.llm.unify import alike_pairs, canonical_array, canonical_text, unify_text
+from colophon.llm.unify import alike_classes, alike_pairs, canonical_array, canonical_text, unify_text
 
 
 def test_forms():
-    same = [("ﬁnd", "find"), ("ＡＢＣ", "ABC"), ("t‌h­e", "the"), ("аpple", "apple"), ("a b", "a b"), ("é", "é"), ("с̧a", "ça"), ("각", "각"), ("ậ", "ậ"), ("ａ́", "á"), ("x　y", "x y")]
+    same = [("ﬁnd", "find"), ("ＡＢＣ", "ABC"), ("t‌h­e", "the"), ("аpple", "apple"), ("a b", "a b"), ("é", "é"), ("с̧a", "ça"), ("각", "각"), ("ậ", "ậ"), ("ａ́", "á"), ("x　y", "x y"), ("foo\rbar", "foo\nbar"), ("a\r\nb", "a\nb"), ("a\r\n\r\nb", "a\n\nb"), ("Տսո", "Sun"), ("ᎪᏴ", "AB"), ("Ⅳ", "IV"), ("ικο", "iko"), ("ᴄᴏw", "cow")]
     for a, b in same:
         assert canonical_text(a) == canonical_text(b), (a, b)
-    apart = [("é", "e"), ("A", "a"), ("x²", "x2"), ("½", "1/2"), ("l", "1"), ("a  b", "a b"), ("a\nb", "a b"), ("O", "0")]
+    apart = [("é", "e"), ("A", "a"), ("x²", "x2"), ("½", "1/2"), ("l", "1"), ("a  b", "a b"), ("a\nb", "a b"), ("O", "0"), ("foo\rbar", "foobar"), ("a\r\rb", "a\rb")]
     for a, b in apart:
         assert canonical_text(a) != canonical_text(b), (a, b)
     assert canonical_text(None) is None and canonical_text("") == ""
@@ -34,6 +34,8 @@ def test_pairs(spark):
     got = {(r[0], r[1]) for r in alike_pairs(df, "id", "text").collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d")}
     assert alike_pairs(df.limit(0), "id", "text").count() == 0
+    assert {tuple(r) for r in alike_classes(df, "id", "text").collect()} == {(x, "a", 3) for x in "abcd"}
+    assert alike_classes(df.limit(0), "id", "text").count() == 0
     kept = unify_text(df, "text")
     assert kept.columns == ["id", "text", "form", "canonical"] and kept.count() == len(rows)
 
