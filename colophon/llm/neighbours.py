@@ -7,9 +7,13 @@
 3. Every vector finds its nearest centroids through an in-memory graph.  It is posted
    to its nearest list and, at a boundary, replicated to those almost as near; it
    probes every list whose distance passes the ratio pruning.
-4. Lists are the shuffle key.  A list larger than a block is cut into blocks of data
-   and of queries, so no task holds more than two blocks.  Partial results (k per
-   query and block) merge by query.
+4. Lists are the shuffle key.  The driver fits a bounded number of them; where a
+   collection outgrows that, lists grow and each is divided again by the task that holds
+   it, by the same balanced lists, replication and ratio pruning.  So a vector moves as
+   often in a large collection as in a small one.  Only a list beyond ``BLOCK`` rows
+   (which no split of the sample divides, or of more than some four thousand million
+   vectors) is cut into blocks of data and of queries.  Partial results (k per query and
+   list) merge by query.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from pyspark.sql import functions as F
 from colophon.storage import written
 
 SCALE = 32767.0
-#: Bounds of the fit: vectors wanted per list, sampled vectors per list, sample rows.
-LIST_SIZE, SAMPLE_PER_LIST, SAMPLE_ROWS = 256, 24, 400_000
+#: Bounds of the fit: vectors wanted per list, sampled vectors per list (fewer from ``WIDE`` vectors a list on), sample rows.
+LIST_SIZE, SAMPLE_PER_LIST, LEAST_SAMPLE, SAMPLE_ROWS, WIDE = 256, 24, 6, 400_000, 60_000
 #: Posting and probing: distance ratio and most lists for each.
-POST_RATIO, POST_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 3, 1.25, 5
-BLOCK = 4096
+POST_RATIO, POST_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 3, 1.30, 6
+#: Posted vectors from which on a task divides its list again; rows of a list from which on it is cut.
+DIVIDE, BLOCK = 1536, 1 << 17
 
 
 def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -159,6 +164,85 @@ class CentroidGraph:
         return ids, sims
 
 
+def _chosen(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of each row's nearest lists, best first, to probe and to post to, by the ratio of distances."""
+    dist = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
+    ratio = dist / np.maximum(dist[:, :1], 1e-6)
+    spot = np.arange(sims.shape[1])
+    probe = (sims > -1.5) & (ratio <= PROBE_RATIO) & (spot < PROBE_LISTS)
+    post = probe & (ratio <= POST_RATIO) & (spot < POST_LISTS)
+    probe[:, 0] = post[:, 0] = True
+    return probe, post
+
+
+def _nearest_in(x: np.ndarray, nid: np.ndarray, data: np.ndarray, ask: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ``ask, data, cosine``: up to ``k`` of ``data`` for each of ``ask``, itself left out."""
+    outs = []
+    for i in range(0, len(ask), 1024):
+        a = ask[i : i + 1024]
+        if not len(data):
+            break
+        s = x[a] @ x[data].T
+        s[nid[a][:, None] == nid[data][None, :]] = -2.0
+        m = min(k, len(data))
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(data) else np.tile(np.arange(len(data)), (len(a), 1))
+        best = np.take_along_axis(s, top, 1)
+        r, c = np.nonzero(best > -1.5)
+        outs.append((a[r], data[top[r, c]], best[r, c]))
+    if not outs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    return tuple(np.concatenate(z) for z in zip(*outs))
+
+
+def search_list(x: np.ndarray, nid: np.ndarray, data: np.ndarray, ask: np.ndarray, k: int, divide: int = DIVIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_nearest_in``; a list of more than ``divide`` posted vectors is divided again."""
+    if len(data) <= divide:
+        return _nearest_in(x, nid, data, ask, k)
+    step = max(1, LIST_SIZE // SAMPLE_PER_LIST)
+    centroids, _ = balanced_centroids(x[data[::step]], max(2, LIST_SIZE // step))
+    if len(centroids) < 2:
+        return _nearest_in(x, nid, data, ask, k)
+    width = min(len(centroids), PROBE_LISTS + 2)
+
+    def lists(rows: np.ndarray, posting: bool) -> tuple[np.ndarray, np.ndarray]:
+        who, which = [], []
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096]
+            s = x[part] @ centroids.T
+            top = np.argpartition(-s, width - 1, axis=1)[:, :width]
+            near = np.take_along_axis(s, top, 1)
+            order = np.argsort(-near, axis=1, kind="stable")
+            r, c = np.nonzero(_chosen(np.take_along_axis(near, order, 1))[int(posting)])
+            who.append(part[r])
+            which.append(np.take_along_axis(top, order, 1)[r, c])
+        return np.concatenate(who), np.concatenate(which)
+
+    def by_list(rows: np.ndarray, posting: bool) -> tuple[np.ndarray, np.ndarray]:
+        who, which = lists(rows, posting)
+        order = np.argsort(which, kind="stable")
+        return who[order], np.searchsorted(which[order], np.arange(len(centroids) + 1))
+
+    held, held_at = by_list(data, True)
+    asked, asked_at = by_list(ask, False)
+    parts = [
+        _nearest_in(x, nid, held[held_at[j] : held_at[j + 1]], asked[asked_at[j] : asked_at[j + 1]], k)
+        for j in range(len(centroids))
+        if held_at[j + 1] > held_at[j] and asked_at[j + 1] > asked_at[j]
+    ]
+    if not parts:
+        return _nearest_in(x, nid, data[:0], ask, k)
+    a, d, s = (np.concatenate(z) for z in zip(*parts))
+    # A pair met in several lists counts once; the best k of each remain.
+    order = np.lexsort((nid[d], -s, nid[a]))
+    a, d, s = a[order], d[order], s[order]
+    first = np.r_[True, (nid[a][1:] != nid[a][:-1]) | (nid[d][1:] != nid[d][:-1])]
+    a, d, s = a[first], d[first], s[first]
+    group = np.flatnonzero(np.r_[True, nid[a][1:] != nid[a][:-1]])
+    rank = np.arange(len(a)) - np.repeat(group, np.diff(np.r_[group, len(a)]))
+    keep = rank < k
+    return a[keep], d[keep], s[keep]
+
+
 def most_similar(
     df: DataFrame,
     key: str = "id",
@@ -167,6 +251,7 @@ def most_similar(
     k: int = 5,
     list_size: int = LIST_SIZE,
     sample_rows: int = SAMPLE_ROWS,
+    wide: int = WIDE,
 ) -> DataFrame:
     """``a, b, rank_ids``-free pairs ``id, near_id``: near_id is among the k most similar of id.
 
@@ -186,14 +271,17 @@ def most_similar(
     if n == 0:
         return empty
     n_lists = max(1, min(-(-n // list_size), sample_rows // SAMPLE_PER_LIST))
-    share = min(1.0, n_lists * SAMPLE_PER_LIST / n)
+    if n > n_lists * wide:  # wide lists: more of them, from fewer sampled vectors each
+        n_lists = min(-(-n // wide), sample_rows // LEAST_SAMPLE)
+    per_list = max(LEAST_SAMPLE, min(SAMPLE_PER_LIST, sample_rows // n_lists))
+    share = min(1.0, n_lists * per_list / n)
     picked = base.where(F.pmod(F.xxhash64("q"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("q").toPandas()["q"]
     if not len(picked):
         picked = base.select("q").limit(1).toPandas()["q"]
     sample = np.frombuffer(b"".join(picked), "<i2").reshape(-1, dim).astype(np.float32) / SCALE
-    centroids, sizes = balanced_centroids(sample, SAMPLE_PER_LIST)
+    centroids, sizes = balanced_centroids(sample, per_list)
     blocks = np.maximum(1, np.ceil(sizes * (n / len(sample)) * POST_LISTS / BLOCK)).astype(np.int64)
-    graph = spark.sparkContext.broadcast((CentroidGraph(centroids), blocks))  # at most SAMPLE_ROWS / SAMPLE_PER_LIST * ~2 nodes
+    graph = spark.sparkContext.broadcast((CentroidGraph(centroids), blocks))  # at most SAMPLE_ROWS / LEAST_SAMPLE * ~2 nodes
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, cut = graph.value
@@ -205,12 +293,7 @@ def most_similar(
             nid = batch.column(0).to_numpy(zero_copy_only=False)
             held = np.asarray(batch.column(2))
             ids, sims = g.search(q, PROBE_LISTS + 2)
-            dist = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
-            ratio = dist / np.maximum(dist[:, :1], 1e-6)
-            spot = np.arange(ids.shape[1])
-            probe = (sims > -1.5) & (ratio <= PROBE_RATIO) & (spot < PROBE_LISTS)
-            post = probe & (ratio <= POST_RATIO) & (spot < POST_LISTS)
-            probe[:, 0] = post[:, 0] = True
+            probe, post = _chosen(sims)
             r, s = np.nonzero(probe)
             lists, posted = ids[r, s].astype(np.int64), post[r, s]
             many = cut[lists]
@@ -233,7 +316,7 @@ def most_similar(
             role = np.where(dat, np.where(many[back] == 1, 2, 1), 0).astype(np.int8)  # 0 query, 1 data, 2 both
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((lst << 24) | (blk << 12) | qbl, pa.int64()),
+                    pa.array((lst << 40) | (blk << 20) | qbl, pa.int64()),
                     pa.array(nid[src], pa.int64()),
                     codes.take(pa.array(src)),
                     pa.array(((held[src].astype(np.int8) << 2) | role).astype(np.int8), pa.int8()),
@@ -246,22 +329,8 @@ def most_similar(
         tag, nid = cell["tag"].to_numpy(), cell["nid"].to_numpy()
         data, ask = np.flatnonzero((tag & 3) > 0), np.flatnonzero((tag & 3) != 1)
         data = data[np.argsort(nid[data], kind="stable")]
-        outs = []
-        for i in range(0, len(ask), 1024):
-            a = ask[i : i + 1024]
-            if not len(data):
-                break
-            s = x[a] @ x[data].T
-            s[nid[a][:, None] == nid[data][None, :]] = -2.0
-            m = min(k, len(data))
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(data) else np.tile(np.arange(len(data)), (len(a), 1))
-            best = np.take_along_axis(s, top, 1)
-            r, c = np.nonzero(best > -1.5)
-            outs.append((nid[a][r], nid[data][top[r, c]], best[r, c], (tag[a][r] >> 2).astype(np.int8), (tag[data][top[r, c]] >> 2).astype(np.int8)))
-        if not outs:
-            return pd.DataFrame({"nid": np.zeros(0, np.int64), "cand": np.zeros(0, np.int64), "sim": np.zeros(0, np.float32), "n": np.zeros(0, np.int8), "m": np.zeros(0, np.int8)})
-        cols = [np.concatenate(z) for z in zip(*outs)]
-        return pd.DataFrame(dict(zip(("nid", "cand", "sim", "n", "m"), cols)))
+        a, d, sim = search_list(x, nid, data, ask, k)
+        return pd.DataFrame({"nid": nid[a], "cand": nid[d], "sim": sim.astype(np.float32), "n": (tag[a] >> 2).astype(np.int8), "m": (tag[d] >> 2).astype(np.int8)})
 
     cells = base.select("nid", "q", F.size("ids").cast("tinyint").alias("held")).mapInArrow(assign, "cell bigint, nid bigint, q binary, tag tinyint")
     part = cells.groupBy("cell").applyInPandas(scan, "nid bigint, cand bigint, sim float, n tinyint, m tinyint")
@@ -300,7 +369,7 @@ def _classes_all(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return _classes(df, key, vector, dim, 1 << 30).select("q", F.explode("ids").alias("id")).distinct()
 
 
-def similar_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``), distinct: one is among the other's k most similar."""
-    near = most_similar(df, key, vector, dim, k).where("id <> near_id")
+    near = most_similar(df, key, vector, dim, k, sample_rows=sample_rows).where("id <> near_id")
     return near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()

@@ -1,6 +1,6 @@
 import numpy as np
 
-from colophon.llm.neighbours import CentroidGraph, balanced_centroids, similar_pairs
+from colophon.llm.neighbours import CentroidGraph, balanced_centroids, search_list, similar_pairs
 
 SCHEMA = "id string, embedding array<float>, q string, nid int"
 
@@ -73,3 +73,27 @@ def test_balance_and_graph():
     assert (found[:, 0] == best).mean() >= 0.95
     same, size = balanced_centroids(np.ones((500, 16), np.float32) / 4, 32)
     assert len(same) == 1 and size[0] == 500
+
+
+def test_lists_that_outgrow_the_fit_are_divided_again(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 64))
+    x = centres[rng.choice(9, 8000, p=np.r_[0.4, np.full(8, 0.6 / 8)])] + rng.normal(scale=0.7, size=(8000, 64))
+    ids = [f"v{i:05d}" for i in range(8000)]
+    want = brute(ids, x.astype(np.float32).astype(float))
+    for sample in (24 * 4, 24):  # four lists and one, in place of 32
+        got = pairs(spark, list(zip(ids, x.tolist())), sample_rows=sample)
+        assert len(got & want) / len(want) >= 0.97
+        assert len(got & want) / len(got) >= 0.97
+
+
+def test_divided_list_against_all_pairs():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64)) + 2 * rng.normal(size=(10, 64))[rng.integers(0, 10, 3000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    nid = np.arange(3000)
+    whole = set(zip(*[v.tolist() for v in search_list(x, nid, nid, nid, 5, divide=10_000)[:2]]))
+    parts = set(zip(*[v.tolist() for v in search_list(x, nid, nid, nid, 5, divide=500)[:2]]))
+    assert len(whole) == len(parts) == 15_000 and len(whole & parts) / len(whole) >= 0.97
+    same = np.tile(x[:1], (2000, 1))
+    assert len(search_list(same, np.arange(2000), np.arange(2000), np.arange(2000), 5, divide=500)[0]) == 10_000  # undividable
