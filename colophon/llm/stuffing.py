@@ -21,13 +21,13 @@ a join on the words and pairs that a text needs, so no count is estimated.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colophon.llm.words import DIGIT, JOINT, LETTER, STOP, code_points, mix, once, pair_numbers, run_numbers, slices
 from colophon.storage import written
 
 #: Most words and pairs whose counts executors hold (24 and 16 bytes each); the rest is joined.
@@ -38,70 +38,23 @@ REACH, STUFFED = 10, -4.0
 UNSEEN = 0.5
 #: Share of the text in such stretches from which a page is flagged.
 FLAG = 0.5
-#: Characters tokenised at a time, and distinct counts a task holds before it sends them on.
-SLICE, HOLD = 1 << 20, 2_000_000
+#: Distinct counts a task holds before it sends them on.
+HOLD = 2_000_000
 
-_B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-_LETTER, _WORDLIKE, _OTHER, _STOP = 1, 2, 0, 3
 URL, TAG = np.uint64(1), np.uint64(2)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _D
-    h = (h ^ (h >> np.uint64(29))) * _C
-    return h ^ (h >> np.uint64(32))
-
-
-@lru_cache(maxsize=1)
-def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, number (of the lower-case letter) of each code point."""
-    size = 0x110000
-    kind = np.zeros(size, np.uint8)
-    low = np.arange(size, dtype=np.uint64)
-    kind[0x3400:0xA000] = kind[0xAC00:0xD7A4] = kind[0x20000:0x32000] = _LETTER
-    for a, b in ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000)):
-        for cp in range(a, b):
-            c = chr(cp)
-            if c.isalpha() or 0x300 <= cp < 0x370 or 0x900 <= cp < 0xE00 and not c.isalnum() and not c.isspace():
-                kind[cp] = _LETTER
-                small = c.lower()
-                if len(small) == 1:
-                    low[cp] = ord(small)
-            elif c.isalnum() or c in "_-":
-                kind[cp] = _WORDLIKE
-            elif c.isspace() or c in "\"'<>()[]":
-                kind[cp] = _STOP
-    return kind, low, _mix(low + _B)
-
-
-@lru_cache(maxsize=1)
-def _powers() -> list[np.ndarray]:
-    return [np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> np.ndarray:
-    """Powers of an odd number, modulo 2**64."""
-    held = _powers()
-    if len(held[0]) < n:
-        held[0] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 64), _B | np.uint64(1))])
-    return held[0]
-
-
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, lengths and text numbers of the words, links and tags of ``texts``, in order.
 
     Words are runs of letters in lower case, numbered by a 64-bit hash; links and tags
     have one number each; figures and signs are passed over.  No call is made per token.
     """
-    kind, low, number = _characters()
-    joined = "\n".join(texts) + "\n"
-    points = low[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    k = kind[points]
-    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])[:-1]
-    letter = k == _LETTER
+    points, k, begin = code_points(texts)
+    letter = k == LETTER
     spans = []
     # Links run to the next space, quote or bracket.
-    stops = np.flatnonzero(k == _STOP)
+    stops = np.flatnonzero(k == STOP)
     colon = np.flatnonzero(points == ord(":"))
     colon = colon[(colon >= 4) & (colon + 2 < len(points))]
     colon = colon[(points[colon + 1] == ord("/")) & (points[colon + 2] == ord("/"))]
@@ -121,9 +74,9 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         end, first = np.unique(stops[np.searchsorted(stops, start)], return_index=True)
         spans.append((start[first], end, URL))
     tag = np.flatnonzero(points[:-1] == ord("#"))
-    tag = tag[(k[tag + 1] == _LETTER) | (k[tag + 1] == _WORDLIKE)]
+    tag = tag[np.isin(k[tag + 1], (LETTER, DIGIT, JOINT))]
     if len(tag):
-        apart = np.flatnonzero((k != _LETTER) & (k != _WORDLIKE))
+        apart = np.flatnonzero((k != LETTER) & (k != DIGIT) & (k != JOINT))
         end, first = np.unique(apart[np.searchsorted(apart, tag + 1)], return_index=True)
         spans.append((tag[first], end, TAG))
     if spans:
@@ -132,13 +85,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.add.at(inside, start, 1)
             np.add.at(inside, end, -1)
         letter &= np.cumsum(inside)[:-1] == 0
-    at = np.flatnonzero(letter)
-    head = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    length = np.diff(np.r_[head, len(at)])
-    off = np.arange(len(at)) - np.repeat(head, length)
-    power = _power(int(length.max()) if len(length) else 1)
-    numbers = _mix(np.add.reduceat(number[points[at]] * power[off], head)) if len(head) else np.zeros(0, np.uint64)
-    spot = at[head] if len(head) else np.zeros(0, np.int64)
+    spot, length, numbers = run_numbers(points, letter)
     if spans:
         links = [(start, end, code) for start, end, code in spans]
         if len(links) == 2:  # a tag inside a link is part of it
@@ -157,24 +104,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def neighbours(numbers: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a token has a next one in its text, and the number of the pair."""
     at = np.flatnonzero(docs[1:] == docs[:-1]) if len(docs) > 1 else np.zeros(0, np.int64)
-    return at, _mix(numbers[at] * _C + numbers[at + 1] + _B)
-
-
-def _once(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Where each number stands first in each text."""
-    return np.unique(_mix(h) + docs.astype(np.uint64) * _B, return_index=True)[1]
-
-
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``SLICE`` characters, with the number of the first."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > SLICE:
-            yield start, [x or "" for x in texts[start:i]]
-            start, size = i, 0
-        size += len(t or "")
-    if texts:
-        yield start, [x or "" for x in texts[start:]]
+    return at, pair_numbers(numbers[at], numbers[at + 1])
 
 
 # --- counts ---------------------------------------------------------------------
@@ -221,12 +151,12 @@ def corpus_counts(texts: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             total += batch.num_rows
-            for _, part in _slices(batch.column(0).to_pylist()):
+            for _, part in slices(batch.column(0).to_pylist()):
                 numbers, _, docs = tokens(part)
-                one = _once(numbers, docs)
+                one = once(numbers, docs)
                 held[True].append((numbers[one], numbers[one], numbers[one], np.ones(len(one), np.int64)))
                 at, pair = neighbours(numbers, docs)
-                one = _once(pair, docs[at])
+                one = once(pair, docs[at])
                 held[False].append((pair[one], numbers[at[one]], numbers[at[one] + 1], np.ones(len(one), np.int64)))
                 yield from grown()
         for word, parts in held.items():
@@ -261,7 +191,7 @@ class Counts:
         for table, keys, where in ((self.words, numbers, docs), (self.pairs, pair, docs[at])):
             lost = ~self._find(table, keys)[1]
             keys, where = keys[lost], where[lost]
-            one = _once(keys, where)
+            one = once(keys, where)
             out.append((where[one], keys[one]))
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
@@ -292,7 +222,7 @@ def held_counts(counts: DataFrame, most_words: int = HELD_WORDS, most_pairs: int
     def pair_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(a * _C + b + _B).view(np.int64)), batch.column(2)], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_numbers(a, b).view(np.int64)), batch.column(2)], ["key", "n"])
 
     pairs = pairs.where("n > 1").select("a", "b", "n").mapInArrow(pair_number, "key bigint, n bigint")
 
@@ -340,7 +270,7 @@ def score(texts: list[str], counts: Counts, reach: int = REACH, stuffed: float =
     widest = np.ones(size)
     widest[held] = np.maximum.reduceat(np.maximum(near, 1), start[held])
     scale = counts.texts / widest
-    _, group, own = np.unique(_mix(numbers) + docs.astype(np.uint64) * _B, return_inverse=True, return_counts=True)
+    _, group, own = np.unique(mix(numbers) + mix(docs.astype(np.uint64)), return_inverse=True, return_counts=True)
     # How frequent a word is: in the corpus, or among the page's other words if more.
     in_corpus = np.maximum(n - 1, 1) / counts.all_words * scale[docs]
     on_page = (own[group] - 1) / np.maximum(stop - start - 1, 1)[docs]
@@ -383,7 +313,7 @@ def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         known = held.value
         for batch in batches:
             extra = batch.column(2) if batch.num_columns > 2 else None
-            for start, part in _slices(batch.column(1).to_pylist()):
+            for start, part in slices(batch.column(1).to_pylist()):
                 use = known
                 if extra is not None:
                     own = pa.array(extra.slice(start, len(part))).flatten()
@@ -398,7 +328,7 @@ def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part in _slices(batch.column(1).to_pylist()):
+            for start, part in slices(batch.column(1).to_pylist()):
                 docs, keys = held.value.missing(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs + start)), pa.array(keys.view(np.int64))], ["print", "key"])
 
