@@ -103,6 +103,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id").distinct()
 
 
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of every document that holds a passage."""
+    from colophon.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"), every=True)
+
+
+def p7_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, without the places that hold a passage."""
+    from colophon.llm.leaks import cut_leaks
+
+    return cut_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_item"))
+
+
 def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.mixing import mix_sources
 
@@ -140,6 +154,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_classes": p6_classes,
     "p6_texts": p6_texts,
     "p7_found": p7_found,
+    "p7_spans": p7_spans,
+    "p7_cut": p7_cut,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
     "p9_found": p9_found,

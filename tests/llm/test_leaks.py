@@ -1,6 +1,6 @@
 import random
 
-from colophon.llm.leaks import find_leaks, remove_leaks
+from colophon.llm.leaks import cut_leaks, find_leaks, remove_leaks
 
 WORDS = "river stone lantern harbour window gravity ledger promise mirror season village thread copper meadow signal anchor velvet canyon ember willow saddle pepper marble hollow cinder basket turnip walnut".split()
 
@@ -80,3 +80,33 @@ def test_ids_of_other_types(spark):
     docs = spark.createDataFrame([("a", "nothing here"), ("b", passage(1))], "doc_id string, text string").repartition(2)
     items = spark.createDataFrame([("x", passage(1))], "item_id string, ground_truth string")
     assert [tuple(r)[:2] for r in find_leaks(docs, items).collect()] == [("b", "x")]
+
+
+def test_every_third_word_replaced(spark):
+    p = passage(1, 60)
+    third = " ".join("other" if i % 3 == 2 else w for i, w in enumerate(p.split()))  # no three words in a row are intact
+    fifth = " ".join("other" if i % 5 in (2, 4) else w for i, w in enumerate(p.split()))  # six tenths, scattered
+    half = " ".join("other" if i % 2 else w for i, w in enumerate(p.split()))
+    assert leaks(spark, [(1, third), (2, fifth), (3, half)], [(7, p)]) == [(1, 7), (2, 7)]
+
+
+def test_partial_decoys_do_not_hide_a_copy(spark):
+    p = passage(2, 80).split()
+    decoy = " ".join(p[:40]) + " filler" * 100 + " "
+    real = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(p))
+    assert leaks(spark, [(1, decoy * 5 + real), (2, decoy * 5)], [(7, " ".join(p))]) == [(1, 7)]
+
+
+def test_places_and_cuts(spark):
+    p, q = passage(3), passage(4)
+    broken = q.replace("e", "\u0435", 3).replace("a", "a-\na", 1)
+    text = "Before it. " + p + " Between \u200bthem. " + broken + " After. " + p + " End."
+    docs = spark.createDataFrame([(1, text, 9), (2, "clean text", 9), (3, None, 9), (1, text, 9)], "doc_id bigint, text string, cut_chars int")
+    items = spark.createDataFrame([(7, p), (8, q)], "item_id bigint, ground_truth string")
+    rows = find_leaks(docs.limit(1), items, every=True).collect()
+    assert sorted((r["item_id"], text[r["first_char"] : r["last_char"]]) for r in rows) == [(7, p), (7, p), (8, broken)]
+    cut = sorted((r["doc_id"], r["text"] or "", r["cut_chars"]) for r in cut_leaks(docs, items).collect())
+    rest = "Before it.   Between \u200bthem.   After.   End."
+    assert cut == [(1, rest, len(p) * 2 + len(broken))] * 2 + [(2, "clean text", 0), (3, "", 0)]
+    assert cut_leaks(docs, items, max_grams=30).collect()[0]["text"] == rest  # in slices
+    assert cut_leaks(docs.limit(0), items).count() == 0
