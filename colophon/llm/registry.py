@@ -68,6 +68,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return variant_pairs(documents, "author", short).union(variant_pairs(documents, "title"))
 
 
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with its entity, without pairs."""
+    from colophon.llm.spellings import spelling_entities
+
+    documents, short = table(spark, folder, "catalog_document"), table(spark, folder, "given_name_short")
+    return spelling_entities(documents, "author", short).union(spelling_entities(documents, "title"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.conversations import rebuild_conversations
 
@@ -149,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_classes": p6_classes,

@@ -36,13 +36,22 @@ ROLES = {"ed", "eds", "editor", "hrsg", "hg", "trans", "translator", "author", "
 TITLES = {"prof", "dr", "mr", "mrs", "ms", "sir", "professor", "doctor", "rev", "hon", "herr", "frau"}
 BODY_WORDS = {"academy", "institute", "society", "college", "foundation", "university", "department", "circle", "press", "association", "school", "centre", "center", "group", "museum", "library"}
 SMALL_WORDS = {"the", "a", "an", "of", "and", "at", "for", "in", "on", "to", "und", "der", "die", "das", "et", "de", "la", "le", "les", "des", "du"}
-ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
+#: Most pairs of a given name and a short form, given or learnt; more raise an error.
+MOST_SHORT_NAMES = 100_000
 
 _EDITION = re.compile(r"\[[^\]]*\]|\s--\s.*$|[,;(]?\s*\b(?:rev(?:ised)?\.?|\d+(?:st|nd|rd|th)|new)\s+ed(?:ition|n)?\b\.?\)?|\((?:copy|scan|duplicate)[^)]*\)", re.I)
-_VOLUME = re.compile(r"[,;(]?\s*\b(?:vol(?:ume)?|band|bd|tome|part)\b\.?\s+(\d+|[ivx]+)\b\s*\)?", re.I)
+_VOLUME = re.compile(r"[,;(]?\s*\b(?:vol(?:ume)?|band|bd|tome|part)\b\.?\s+(\d+|[ivxlcdm]+)\b\s*\)?", re.I)
 _SUBTITLE = re.compile(r"(?::\s+|\s+[-–—]\s+|\.\s+)(?=\S).*$", re.S)
 
 
+def number(text: str) -> int:
+    """A number in figures or Roman numerals; 0 if it is neither."""
+    if text.isdigit():
+        return int(text)
+    values = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.get(c, 0) for c in text.lower()]
+    return 0 if 0 in values else sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0]))
+
+
 def plain(text: str) -> str:
     """Unified characters, no marks, lower case."""
     if not text.isascii():
@@ -79,7 +88,7 @@ def parse_title(text: str) -> tuple[str, list[str], list[str], list[str], int]:
     s = _EDITION.sub(" ", s)
     volume = 0
     if m := _VOLUME.search(s):
-        volume = int(m[1]) if m[1].isdigit() else ROMAN.get(m[1].lower(), 0)
+        volume = number(m[1])
         s = s[: m.start()] + " " + s[m.end() :]
     s = s.strip(" .,;")
     main = _SUBTITLE.sub("", s)
@@ -262,6 +271,14 @@ def learned_short_names(forms: DataFrame, counts: DataFrame) -> DataFrame:
     return pair.where("ns < n and 2 * c >= ns").select(F.col("given").alias("given_name"), F.col("short").alias("short_name"))
 
 
+def _name_pairs(pairs: DataFrame) -> list[tuple[str, str]]:
+    """The pairs of a table of names, whose number is bounded."""
+    rows = pairs.limit(MOST_SHORT_NAMES + 1).collect()
+    if len(rows) > MOST_SHORT_NAMES:
+        raise ValueError(f"more than {MOST_SHORT_NAMES} pairs of given names and short forms")
+    return sorted((r[0], r[1]) for r in rows)
+
+
 def _budget(length: Column) -> Column:
     return F.when(length >= 5, MAX_EDITS).otherwise(0)
 
@@ -288,7 +305,7 @@ def parsed(values: DataFrame, field: str) -> DataFrame:
 def _keys(forms: DataFrame, counts: DataFrame) -> DataFrame:
     """``form, key, also``: strings to match by segments; ``also`` must be equal too.
 
-    A person's words other than given names, and the last word if it is short or a given
+    A person's words other than given names, those of two words each beside the other, and the last word if it is short or a given
     name, with the initials of what stands beside;
     each of a body's words of four letters or more, with the number of words and
     abbreviations; a work's content words in one string, with the volume.
@@ -303,7 +320,10 @@ def _keys(forms: DataFrame, counts: DataFrame) -> DataFrame:
         F.array_join(F.when(F.size(F.array_except("words", small)) > 0, F.filter("words", lambda w: ~F.array_contains(small, w))).otherwise(F.col("words")), " ").alias("key"),
         F.concat(F.lit("v"), F.col("volume").cast("string")).alias("also"),
     )
-    return persons.union(bodies).union(works).distinct()
+    # A given name misspelt from its first letter on: by its own segments, beside the same surname.
+    two = forms.where("kind = 'person' and size(words) = 2")
+    given = two.select("form", F.explode(F.array(*[F.struct(F.get("words", i).alias("key"), F.concat(F.lit("beside "), F.get("words", 1 - i)).alias("also")) for i in (0, 1)])).alias("k")).select("form", "k.key", "k.also")
+    return persons.union(given.where("length(key) >= 5")).union(bodies).union(works).distinct()
 
 
 def segment_join(keys: DataFrame) -> DataFrame:
@@ -348,7 +368,7 @@ def _may_pair(a: str, b: str) -> Column:
 def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> DataFrame:
     """``value, entity`` of the distinct strings of one field (column ``value``)."""
     spark = values.sparkSession
-    pairs = [] if short_names is None else [(r[0], r[1]) for r in short_names.where("given_name is not null and short_name is not null").select("given_name", "short_name").distinct().limit(100_000).collect()]
+    pairs = [] if short_names is None else _name_pairs(short_names.where("given_name is not null and short_name is not null").select("given_name", "short_name").distinct())
     nick = Nicknames(pairs)
     known = sorted({plain(x) for p in pairs for x in p})
     rows = written(parsed(values, field), f"forms-{field}")
@@ -359,7 +379,7 @@ def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> Da
     counts = written(counts.select("word", "n", (is_known | ((F.col("n") >= 3) & (F.col("first") >= 0.7 * F.col("n")))).alias("given")), f"words-{field}")
 
     if field == "author":
-        nick.learn([(r[0], r[1]) for r in learned_short_names(forms, counts).limit(100_000).collect()])
+        nick.learn(_name_pairs(learned_short_names(forms, counts)))
 
     def beside(kind: pd.Series, words: pd.Series, initials: pd.Series) -> pd.Series:
         out = []
@@ -415,6 +435,16 @@ def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> Da
     return rows.select("value", "form").join(names, "form", "left").select("value", F.coalesce("component", "form").alias("entity"))
 
 
+def spelling_entities(df: DataFrame, field: str, short_names: DataFrame | None = None) -> DataFrame:
+    """``field_name, value, entity``: each distinct stored string that names somebody, once, with its entity.
+
+    The entity is named by its least form.  No pairs: an entity of very many spellings
+    costs one row each.  Nulls, blanks and placeholders name nobody.
+    """
+    values = df.select(F.col(field).cast("string").alias("value")).where("value is not null").distinct()
+    return entities(values, short_names, field).select(F.lit(field).alias("field_name"), "value", "entity")
+
+
 def variant_pairs(df: DataFrame, field: str, short_names: DataFrame | None = None) -> DataFrame:
     """``field_name, value_a, value_b`` (``value_a < value_b``): stored strings of one entity.
 
@@ -422,7 +452,6 @@ def variant_pairs(df: DataFrame, field: str, short_names: DataFrame | None = Non
     often a string is stored costs nothing.  Nulls, blanks and placeholders name
     nobody.  An empty table gives an empty result.
     """
-    values = df.select(F.col(field).cast("string").alias("value")).where("value is not null").distinct()
-    named = entities(values, short_names, field)
+    named = spelling_entities(df, field, short_names)
     a, b = named.select(F.col("value").alias("value_a"), "entity"), named.select(F.col("value").alias("value_b"), "entity")
     return a.join(b, "entity").where("value_a < value_b").select(F.lit(field).alias("field_name"), "value_a", "value_b")

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colophon.llm.spellings import Nicknames, close, entities, parse_author, parse_title, segment_join, variant_pairs
+from colophon.llm.spellings import Nicknames, close, entities, number, parse_author, parse_title, segment_join, spelling_entities, variant_pairs
 from pyspark.sql import functions as F
 
 SHORT = [("Katherine", "Kate"), ("William", "Bill"), ("Christopher", "Kit")]
@@ -20,7 +20,7 @@ def groups(spark, values, field):
 
 def test_people_and_bodies(spark):
     same = [
-        ["Katherine Brelefizaki", "Brelefizaki, Kate", "BRELEFIZAKI, Katherine", "katherine  brelefizaki ", "Prof. Dr. Katherine R. Brelefizaki", "Katherine Brelefzaki (ed.)", "K. Brelefizaki", "Brelefizaki, K. R.", "Katherine Brelefiazki"],
+        ["Katherine Brelefizaki", "Brelefizaki, Kate", "BRELEFIZAKI, Katherine", "katherine  brelefizaki ", "Prof. Dr. Katherine R. Brelefizaki", "Katherine Brelefzaki (ed.)", "K. Brelefizaki", "Brelefizaki, K. R.", "Katherine Brelefiazki", "Hatherine Brelefizaki"],
         ["William Griragukh", "Bill Griragukh", "Willima Griragukh", "W. Griragukh"],
         ["Valentina Griragukh", "Griragukh, Valentina A."],
         ["Academy of Moral Weather, Vuzocuminster", "Acad. of Moral Weather, Vuzocuminster", "The Academy of Moral Weather at Vuzocuminster", "Moral Weather, Academy of, Vuzocuminster", "Academy of Moral Weather (Vuzocumisnter)"],
@@ -66,6 +66,8 @@ def test_titles(spark):
         ["The Silent Witness & the Emblem", "the silent witness and the emblem", "The_Silent_Witness_and_the_Emblem: Essays on Debt", "Silent Witness and the Emblem, The (2nd ed.)", "The Silent Witnes and the Emblem -- copy", "  The Silent Witness and The Emblem [scan]"],
         ["The Murmur of Solemn Village, Volume I", "Murmur of Solemn Village, The, Vol. 1", "The Murmur of Solemn Village (vol. I)"],
         ["The Murmur of Solemn Village, Volume II"],
+        ["The Murmur of Solemn Village, Vol. XIII", "The Murmur of Solemn Village, Volume 13"],
+        ["The Murmur of Solemn Village, Vol. XIV"], ["The Murmur of Solemn Village, Vol. XL"], ["The Murmur of Solemn Village"],
         ["On Durable Matter and Habit"], ["On Durable Letter and Habit"],
     ]
     filler = [f"On {a} {b} and Proof" for a in ("Quiet", "Late", "Bitter") for b in ("Matter", "Letter")]
@@ -77,6 +79,12 @@ def test_pairs_shape_and_empty_table(spark):
     df = spark.createDataFrame([("A. Brelefizaki", 1), ("a. brelefizaki", 2), ("A. Brelefizaki", 3), (None, 4)], "author string, value string")
     assert [tuple(r) for r in variant_pairs(df, "author").collect()] == [("author", "A. Brelefizaki", "a. brelefizaki")]
     assert variant_pairs(df.limit(0), "author").count() == 0
+    named = spelling_entities(df, "author").collect()
+    assert {r["value"] for r in named} == {"A. Brelefizaki", "a. brelefizaki"} and len({r["entity"] for r in named}) == 1
+
+
+def test_roman_numerals():
+    assert [number(x) for x in ("i", "IV", "xiv", "XL", "MCMXC", "12", "q", "")] == [1, 4, 14, 40, 1990, 12, 0, 0]
 
 
 def levenshtein(a, b):
