@@ -78,6 +78,7 @@ class TestSet:
             self.masks.append(both[0])
             self.content_masks.append(both[1])
         lengths = np.array([len(p) for p in self.passages] or [0], np.int64)
+        self.lengths = lengths
         self.band = np.maximum(4, lengths // 5)
         self.need = np.maximum(gram, SEED * lengths)
         where: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -143,64 +144,81 @@ def aligned(passage: np.ndarray, place: np.ndarray) -> np.ndarray:
     return kept
 
 
-def places(tokens: np.ndarray, t: TestSet, share: float, content_share: float, every: bool = False) -> list[tuple[int, int, int, float]]:
-    """``passage number, first token, last token, share`` of a verified place of each passage of a document, or of all its places."""
+def places(tokens: np.ndarray, docs: np.ndarray, t: TestSet, share: float, content_share: float, every: bool = False) -> Iterator[tuple[int, int, int, int, float]]:
+    """``document, passage number, first token, last token, share`` of a verified place of each passage of each document, or of all its places.
+
+    ``tokens`` are those of all documents in order, ``docs`` their documents; places count
+    from the document's first token.
+    """
     h = t.hashes(tokens)
     if not len(h) or not len(t.keys):
-        return []
-    live = np.flatnonzero(tokens[: len(h)] > 0)
+        return
+    live = np.flatnonzero((tokens[: len(h)] > 0) & (docs[: len(h)] == docs[t.gram - 1 :]))
     if not len(live):
-        return []
+        return
     spot = np.minimum(np.searchsorted(t.keys, h[live]), len(t.keys) - 1)
     hit = t.keys[spot] == h[live]
     pos, spot = live[hit], spot[hit]
     if not len(pos):
-        return []
+        return
     count = t.starts[spot + 1] - t.starts[spot]
     back = np.repeat(np.arange(len(pos)), count)
     index = np.arange(len(back)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(t.starts[spot], count)
     number, offset, pos = t.at[index, 0], t.at[index, 1], pos[back]
     # Hits of one passage on nearly one diagonal, within a fifth of its length, form a candidate.
-    key = (number << 32) + (pos - offset) + (1 << 20)
+    group = docs[pos] * len(t.passages) + number
+    key = (group << 32) + (pos - offset) + (1 << 20)
     order = np.argsort(key, kind="stable")
-    key, number, offset = key[order], number[order], offset[order]
+    key, group, number, offset = key[order], group[order], number[order], offset[order]
     reach = np.searchsorted(key, key + t.band[number], side="right")
     gain = reach - np.arange(len(key))
-    strong = np.flatnonzero(gain * t.gram >= t.need[number])
+    # Of the starts on one diagonal the first has the hits of all the others and the same place.
+    strong = np.flatnonzero((gain * t.gram >= t.need[number]) & np.r_[True, key[1:] != key[:-1]])
     if not len(strong):
-        return []
-    found = []
-    cuts = np.flatnonzero(np.r_[True, number[strong][1:] != number[strong][:-1], True])
+        return
+    begin = np.searchsorted(docs, np.arange(docs[-1] + 2))
+    line = lambda at: (key[at] & 0xFFFFFFFF) - (1 << 20)
+    doc = group[strong] // len(t.passages)
+    first = np.maximum(begin[doc], line(strong) - 2)
+    stop = np.minimum(begin[doc + 1], line(reach[strong] - 1) + t.lengths[number[strong]] + t.band[number[strong]])
+    # Overlapping candidates of one passage lie in one span; what the span keeps bounds what each keeps.
+    fresh = np.r_[True, (group[strong][1:] != group[strong][:-1]) | (first[1:] >= np.maximum.accumulate(stop)[:-1])]
+    span = np.cumsum(fresh) - 1
+    heads = np.flatnonzero(fresh)
+    widest = np.maximum.reduceat(stop, heads)
+    able = np.zeros(len(heads), bool)
+    for i, (a, b, n) in enumerate(zip(first[heads].tolist(), widest.tolist(), number[strong[heads]].tolist())):
+        able[i] = common_length(t.masks[n], len(t.passages[n]), tokens[a:b].tolist()) >= share * len(t.passages[n])
+    kept_starts = np.flatnonzero(able[span])
+    cuts = np.flatnonzero(np.r_[True, group[strong[kept_starts]][1:] != group[strong[kept_starts]][:-1], True]) if len(kept_starts) else []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        mine = strong[a:b]
-        n = int(number[mine[0]])
+        mine = kept_starts[a:b]
+        n, d = int(number[strong[mine[0]]]), int(doc[mine[0]])
         passage, content = t.passages[n], t.content[n]
         length, refused = len(passage), []
-        # Of the starts on one diagonal the first has the hits of all the others and the same place.
-        mine = mine[(mine == 0) | (key[mine] != key[mine - 1])]
-        for s in mine[np.argsort(-gain[mine], kind="stable")]:
+        for c in mine[np.argsort(-gain[strong[mine]], kind="stable")]:
+            s, lo, hi = strong[c], int(first[c]), int(stop[c])
+            # A part of a place keeps no more words than the place.
+            if any(x <= lo and hi <= y for x, y in refused):
+                continue
             covered = np.zeros(length + t.gram, bool)
             for j in range(t.gram):
                 covered[offset[s : reach[s]] + j] = True
-            first = max(0, int(key[s] & 0xFFFFFFFF) - (1 << 20) - 2)
             if covered.sum() < t.need[n]:
                 continue
-            stop = min(len(tokens), int(key[reach[s] - 1] & 0xFFFFFFFF) - (1 << 20) + length + int(t.band[n]))
-            # A part of a place keeps no more words than the place.
-            if any(a <= first and stop <= b for a, b in refused):
-                continue
-            place = tokens[first:stop].tolist()
+            place = tokens[lo:hi].tolist()
+            # The exact number of words kept, and a bound of the content words kept.
             if common_length(t.masks[n], length, place) < share * length or common_length(t.content_masks[n], length, place) < content_share * content.sum():
-                refused.append((first, stop))
+                refused.append((lo, hi))
                 continue
-            where = aligned(passage, tokens[first:stop])
+            where = aligned(passage, tokens[lo:hi])
             kept = where >= 0
             if not content.any() or kept[content].mean() >= content_share:
-                found.append((n, first + int(where[kept].min()), first + int(where[kept].max()) + 1, float(kept.mean())))
+                at = lo - int(begin[d])
+                yield d, n, at + int(where[kept].min()), at + int(where[kept].max()) + 1, float(kept.mean())
                 if not every:
                     break
-                refused.append((first, stop))
-    return found
+                refused.append((lo, hi))
 
 
 def _test_sets(items: DataFrame, item_id: str, passage: str, gram: int, max_grams: int) -> Iterator[TestSet]:
@@ -282,12 +300,10 @@ def find_leaks(
 def _found(texts: list[str], t: TestSet, share: float, content_share: float, every: bool) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
     """The number of each text that holds a passage, and its places."""
     words, docs = word_arrays(texts)
-    numbers = t.numbered(words)
-    cuts = np.searchsorted(docs, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        found = places(numbers[cuts[i] : cuts[i + 1]], t, share, content_share, every)
-        if found:
-            yield i, found
+    found: dict[int, list] = {}
+    for d, *place in places(t.numbered(words), docs, t, share, content_share, every):
+        found.setdefault(d, []).append(tuple(place))
+    yield from found.items()
 
 
 def _characters_of(text: str, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int]]:
