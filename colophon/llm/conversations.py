@@ -60,7 +60,10 @@ def visible(content: Column) -> Column:
 
 
 def _links(messages: DataFrame) -> DataFrame:
-    """``src, dst``: message ids tied by a reply key, a quote key or a quoted passage."""
+    """``src, dst``: message ids tied by a reply key, a quote key or a quoted passage.
+
+    A quoted passage ties only where it was said in one place, not after the quoting row.
+    """
     meta = F.col("metadata_json")
     named = messages.where(meta.isNotNull() & meta.rlike("|".join(REPLY_KEYS + QUOTE_KEYS))).select(
         F.col("id").alias("src"), F.explode(F.array(*[F.get_json_object(meta, f"$.{k}") for k in REPLY_KEYS + QUOTE_KEYS])).alias("dst")
@@ -70,20 +73,25 @@ def _links(messages: DataFrame) -> DataFrame:
     body = strip(F.col("content"))
     quoting = messages.where(F.col("content").startswith(">")).select(
         F.col("id").alias("src"),
+        instant(F.col("created_at")).alias("at"),
         F.xxhash64(strip(F.regexp_replace(F.regexp_extract("content", r"\A((?:>[^\n]*(?:\n|\z))+)", 1), r"(?m)^>[^\S\n]?", ""))).alias("print"),
     )
-    quoted = messages.where(body != "").select(F.col("id").alias("dst"), F.xxhash64(body).alias("print"))
-    # One source per quoted text: its least id, so a text said a million times gives one link.
-    quoted = quoted.groupBy("print").agg(F.min("dst").alias("dst"))
-    return named.select("src", "dst").union(quoting.join(quoted, "print").select("src", "dst"))
+    # Where a text was said: its conversation, or the row itself where that has none.  One row a text, so a
+    # text said a million times gives one link, and none if it was said in several places.
+    place = F.coalesce("conversation_id", F.concat(F.lit("\0"), "id"))
+    at = instant(F.col("created_at"))
+    quoted = messages.where(body != "").select("id", place.alias("place"), F.xxhash64(body).alias("print"), at.alias("at"))
+    quoted = quoted.groupBy("print").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("at").alias("said"), F.min("id").alias("dst")).where("lo = hi")
+    earlier = F.coalesce(F.col("said") <= F.col("at"), F.lit(True))
+    return named.select("src", "dst").union(quoting.join(quoted, "print").where(earlier).select("src", "dst"))
 
 
 def with_conversation_ids(messages: DataFrame) -> DataFrame:
     """``conversation_id`` filled for rows that lack one.
 
-    A component over reply and quote links takes the least identifier that a linked
-    message has, or else ``linked:`` and its least message id.  A row without an
-    identifier and without links stays null.
+    A component over reply and quote links takes the identifier that its messages have,
+    or else ``linked:`` and its least message id.  A row without an identifier stays null
+    without links, or where they lead to several identifiers.
     """
     lost = messages.where("conversation_id is null").select("id").distinct()
     links = _links(messages)
@@ -92,9 +100,9 @@ def with_conversation_ids(messages: DataFrame) -> DataFrame:
     known = (
         nodes.join(messages.select(F.col("id").alias("node"), F.col("conversation_id").alias("known")).where("known is not null"), "node")
         .groupBy("component")
-        .agg(F.min("known").alias("known"))
+        .agg(F.min("known").alias("known"), F.max("known").alias("other"))
     )
-    given = nodes.join(known, "component", "left").select(F.col("node").alias("id"), F.coalesce("known", F.concat(F.lit("linked:"), "component")).alias("_given")).distinct()
+    given = nodes.join(known, "component", "left").where("known is null or known = other").select(F.col("node").alias("id"), F.coalesce("known", F.concat(F.lit("linked:"), "component")).alias("_given")).distinct()
     found = messages.where("conversation_id is null").join(given, "id", "left").withColumn("conversation_id", F.col("_given")).drop("_given")
     return messages.where("conversation_id is not null").unionByName(found.select(messages.columns))
 

@@ -83,6 +83,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("conversation_id", "turn_no", "message_id")
 
 
+def p5_relinked(spark: SparkSession, folder: str) -> DataFrame:
+    """The same conversations when only the first row of each keeps its identifier and every other names the row before it."""
+    from pyspark.sql import Window
+
+    from colophon.llm.conversations import rebuild_conversations
+
+    columns = ["conversation_id", "role", "content", "metadata_json", "created_at"]
+    rows = table(spark, folder, "message").where("conversation_id is not null and id is not null").groupBy("id").agg(F.min(F.struct(*columns)).alias("r")).select("id", "r.*")
+    before = F.lag("id").over(Window.partitionBy("conversation_id").orderBy("id"))
+    linked = rows.withColumn("_before", before).withColumn("metadata_json", F.when(F.col("_before").isNotNull(), F.to_json(F.struct(F.col("_before").alias("reply_to")))))
+    lost = linked.withColumn("conversation_id", F.when(F.col("_before").isNull(), F.col("conversation_id"))).drop("_before")
+    return rebuild_conversations(lost, table(spark, folder, "conversation")).select("conversation_id", "turn_no", "message_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.unify import alike_pairs
 
@@ -159,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_entities": p4_entities,
     "p5_found": p5_found,
+    "p5_relinked": p5_relinked,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p6_texts": p6_texts,
@@ -228,6 +243,7 @@ SQL: dict[str, str] = {
     "p6_classes": ALIKE + ", c as (select table_name, form, min(id) as class_id, count(distinct s) as texts from m group by table_name, form having count(distinct s) > 1) select distinct table_name, id, class_id, texts from m join c using (table_name, form)",
     "p9_found": STUFFED,
     "p5_found": CONVERSATIONS,
+    "p5_relinked": CONVERSATIONS,
     "p3_restored": """select distinct chunk_id, md5(text) as whole, true as fits, case when coalesce(page_start, 0) = 0 then 0 else least(page_start, if(coalesce(page_end, 0) = 0, page_start, page_end)) end as first_page,
   case when coalesce(page_start, 0) = 0 then 0 else greatest(page_start, if(coalesce(page_end, 0) = 0, page_start, page_end)) end as last_page, length(text) > 2400 as split from chunk_result where text is not null""",
     "p3_found": "select distinct chunk_id from chunk_result where length(text) > 2400",

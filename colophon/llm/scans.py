@@ -16,17 +16,23 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.llm.spellings import close
 from colophon.llm.unify import canonical_text
 from colophon.storage import written
 
 #: Words the executors hold (the most frequent of clean chunks), words and noised copies for training.
 LEXICON, TRAIN_WORDS, NOISED = 200_000, 12_000, 4
+#: Rare words that the editor's fit looks at, and lexicon words of like ends that it compares each with.
+FIT_WORDS, FIT_NEAR = 8_000, 400
+#: The editor's beam: readings of a part, of a word, labels tried a character, edits a reading.
+PART_READINGS, WORD_READINGS, LABELS, EDITS = 24, 48, 6, 4
 #: How many times as often a repair must occur as the stored word.
 GAIN = 8.0
 #: A word unknown to clean chunks counts as known from this many scanned occurrences.
@@ -38,6 +44,8 @@ PAGE_SLACK = 20
 CUT = "\x01"
 #: A longer run of letters and digits is no word (a key, an encoded file) and stays as stored.
 LONGEST = 64
+#: A longer line is no running header.
+LONGEST_LINE = 200
 
 _HARD = re.compile(r"[^\n]\n[^\n]")
 _WORD = re.compile(r"(?:!(?=[^\W\d_]))?[^\W_]+(?:[-'’!\x01‐]+[^\W_]+)*!?")
@@ -49,11 +57,15 @@ _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff
 _SPACES = re.compile("[^\\S\n ]")
 _ODD_WORD = re.compile("\\S*[^\\x00-\\x7fÀ-ÖØ-öø-ÿŒœŸ‐‑–—‘’“”„…«»¬°§\\s]\\S*")
 _CUT_BREAK = re.compile(r"[-‐\u00ad¬][^\S\n]*\n\s*")
-#: A word that no running header has: furniture needs no closer look at such a line.
-_BODY = re.compile(r"(?<![^\W_])(?!aga|with|from|into|about|über|gegen|avec|contre|sans)[a-zß-öø-ÿ]{4,}")
+_LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ][0-9a-zß-öø-ÿ]{3,}")
 _NUMBER_LINE = re.compile(r"^\W*(?:p\.|pp\.|page|seite|s\.)?\W*(\d{1,4})\W*$", re.I)
 _SIDE_NUMBER = re.compile(r"^\W*(\d{1,4})\s*[\s|/·•–—-]\s*(\D.*)$|^(.*\D)[\s|/·•–—-]\s*(\d{1,4})\W*$")
-_SMALL = {"of", "the", "and", "against", "on", "in", "a", "an", "to", "for", "de", "la", "le", "et", "des", "du", "der", "die", "das", "und", "von", "with", "at", "by"}
+# Words that titles write small, in three languages.
+_SMALL = {
+    "of", "the", "and", "against", "on", "in", "a", "an", "to", "for", "with", "at", "by", "from", "into", "about", "without", "between",
+    "de", "la", "le", "et", "des", "du", "avec", "contre", "sans", "entre", "pour", "dans", "sous", "vers",
+    "der", "die", "das", "und", "von", "über", "gegen", "ohne", "zwischen", "nach", "eine", "einer",
+}
 _DIGIT_LETTER = str.maketrans("01568", "olsbb")
 
 
@@ -67,6 +79,18 @@ def _bare(text: str | None) -> str:
     return re.sub(r"[\W_]+", "", (text or "").lower().translate(_DIGIT_LETTER))
 
 
+@lru_cache(maxsize=100_000)
+def _small(word: str) -> bool:
+    """Whether a lower-case word is one that titles write small, perhaps misread in one place."""
+    word = word.translate(_DIGIT_LETTER)
+    return word in _SMALL or (len(word) > 5 and any(len(w) > 5 and close(word, w, 1) <= 1 for w in _SMALL))
+
+
+def _body(line: str) -> bool:
+    """Whether a line has a word that no title writes in lower case."""
+    return any(not _small(w) for w in _LOWER.findall(line))
+
+
 def _titled(text: str) -> bool:
     """Capitals where a running header has them: all, or every word but small ones."""
     words = re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", text)
@@ -75,7 +99,7 @@ def _titled(text: str) -> bool:
         return False
     if sum(c.isupper() for c in text) > 0.6 * sum(c.isalpha() for c in text):
         return True
-    large = [w for w in letters if len(w) > 3 and w.lower().translate(_DIGIT_LETTER) not in _SMALL and not w.startswith("aga")]
+    large = [w for w in letters if len(w) > 3 and not _small(w.lower())]
     return bool(large) and all(w[0].isupper() or w[0].isdigit() for w in large) and (letters[0][0].isupper() or letters[0][0].isdigit())
 
 
@@ -93,7 +117,7 @@ def furniture(lines: list[str], first_page: int | None, last_page: int | None, h
     scores = []
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 100 or _BODY.search(s):
+        if not s or len(s) > LONGEST_LINE or _body(s):
             scores.append(0)
             continue
         alone = (i == 0 or not lines[i - 1].strip()) and (i == n - 1 or not lines[i + 1].strip())
@@ -298,7 +322,7 @@ class Editor:
             if mean := {k: v for k, v in mean.items() if abs(v) > 1e-3}:
                 self.weights[f] = mean
 
-    def proposals(self, word: str, most: int = 48) -> list[tuple[str, float]]:
+    def proposals(self, word: str, most: int = WORD_READINGS) -> list[tuple[str, float]]:
         """Readings of a word and how much less likely than the greedy one, best first."""
         options = [self.scores(word, i) for i in range(len(word))]
         beam: list[tuple[float, int, str]] = [(0.0, 0, "")]
@@ -307,12 +331,12 @@ class Editor:
             keep = next((v for v, k in scored if k == word[i]), top)
             grown = []
             for loss, edits, text in beam:
-                for v, k in scored[:6]:
+                for v, k in scored[:LABELS]:
                     changed = k != word[i]
-                    if edits + changed > 4:
+                    if edits + changed > EDITS:
                         continue
                     grown.append((loss + top - v, edits + changed, text + k))
-                if keep < scored[min(5, len(scored) - 1)][0]:
+                if keep < scored[min(LABELS, len(scored)) - 1][0]:
                     grown.append((loss + top - keep, edits, text + word[i]))
             beam = sorted(grown)[:most]
         out: dict[str, float] = {}
@@ -340,7 +364,7 @@ def confusions(rare: list[str], lexicon: dict[str, int], least: int = 3) -> tupl
             continue
         best, near = None, (9, 0)
         for key in ((len(word), word[:2], "s"), (len(word), word[-2:], "e")):
-            for w in by.get(key, ())[:400]:
+            for w in by.get(key, ())[:FIT_NEAR]:
                 a = 0
                 while a < min(len(w), len(word)) and w[a] == word[a]:
                     a += 1
@@ -448,10 +472,10 @@ def readings(raw: str, editor: Editor, lexicon: dict[str, int]) -> list[tuple[st
             if len(part) < 2 or part in lexicon:
                 options.append([(part, 0.0)])
             else:
-                options.append([(part, 0.0), *editor.proposals(part)[:24]])
+                options.append([(part, 0.0), *editor.proposals(part)[:PART_READINGS]])
         beam = [("", 0.0)]
         for option in options:
-            beam = sorted(((text + o, loss + d) for text, loss in beam for o, d in option), key=lambda x: x[1])[:48]
+            beam = sorted(((text + o, loss + d) for text, loss in beam for o, d in option), key=lambda x: x[1])[:WORD_READINGS]
         for text, loss in beam:
             text = text.strip("!")
             if text and (text not in out or (loss < out[text][0] and not out[text][1])):
@@ -473,7 +497,7 @@ def repair_scans(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "tex
     top = counts.where("clean >= 2").orderBy(F.desc("clean"), "word").limit(LEXICON).select("word", "clean").toPandas()
     lexicon = dict(zip(top["word"], top["clean"]))
     rare = counts.where("clean < 2 and scan > 0").orderBy(F.desc("scan"), "word").limit(LEXICON // 10).select("word").toPandas()["word"].tolist()
-    model = train_editor([w for w in rare if w not in lexicon][:8000], lexicon)
+    model = train_editor([w for w in rare if w not in lexicon][:FIT_WORDS], lexicon)
     held = spark.sparkContext.broadcast((lexicon, model))  # at most LEXICON words
 
     slim = chunks.select(F.col(chunk_id).cast("string").alias("chunk_id"), F.col(text).alias("t"), F.col(page_start).cast("int").alias("a"), F.col(page_end).cast("int").alias("b"), F.col(heading).alias("h"), F.col(source).alias("s"))
@@ -502,6 +526,8 @@ def repair_scans(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "tex
             rows = [(raw, reading, loss, base) for raw in batch["raw"] for reading, loss, base in readings(raw, editor, known)]
             yield pd.DataFrame(rows, columns=["raw", "word", "loss", "base"])
 
+    # Few bytes but much work a word: one task a core whatever the size.
+    raws = raws.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     options = raws.mapInPandas(propose, "raw string, word string, loss double, base boolean")
     counted = options.join(counts, "word", "left").na.fill(0, ["clean", "scan"]).withColumn("n", F.col("clean") + F.col("scan"))
     counted = counted.withColumn("known", (F.col("clean") >= 1) | (F.col("scan") >= SCAN_KNOWN))

@@ -68,3 +68,21 @@ def test_components(spark):
     assert got["c"] == got["b"] == "a" and got["y"] == "x" and "q" not in got
     assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"} and len({got[f"leaf{i}"] for i in range(200)}) == 1
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_quotes_said_in_several_places_and_replies_to_two_conversations_tie_nothing(spark):
+    t = "2024-01-01 10:00:0"
+    rows = [
+        ("1", "c", "user", "Yes.", None, t + "0"), ("2", "c", "assistant", "Fine.", None, t + "1"),
+        ("3", "d", "user", "Yes.", None, t + "0"), ("4", "d", "assistant", "Only here.", None, t + "1"),
+        ("5", None, "user", "> Yes.\nWhich?", None, t + "2"),  # said in two conversations
+        ("6", None, "user", "x", '{"reply_to": "2", "quote_of": "4"}', t + "3"),  # two conversations
+        ("7", None, "user", "> Only here.\nSure?", None, "2023-01-01 10:00:00"),  # before it was said
+        ("8", None, "user", "> Only here.\nSure?", None, t + "4"), ("9", None, "assistant", "Sure.", '{"in_reply_to": "8"}', t + "5"),
+    ]
+    assert run(spark, rows, ("c", "d")) == [("c", 1, "1"), ("c", 2, "2"), ("d", 1, "3"), ("d", 2, "4"), ("d", 3, "8"), ("d", 4, "9")]
+
+
+def test_a_text_quoted_by_very_many_rows(spark):
+    rows = [(f"u{i}", f"c{i % 50}", "user", "Yes.", None, "2024-01-01 10:00:00") for i in range(1500)] + [(f"q{i}", None, "user", "> Yes.", None, "2024-01-01 10:00:01") for i in range(1500)]
+    assert run(spark, rows, ("c1",)) == []
