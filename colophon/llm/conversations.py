@@ -89,20 +89,21 @@ def _links(messages: DataFrame) -> DataFrame:
 def with_conversation_ids(messages: DataFrame) -> DataFrame:
     """``conversation_id`` filled for rows that lack one.
 
-    A component over reply and quote links takes the identifier that its messages have,
-    or else ``linked:`` and its least message id.  A row without an identifier stays null
-    without links, or where they lead to several identifiers.
+    Rows without an identifier are components over their reply and quote links to one
+    another.  A component takes the identifier of the rows with one that it links to, or
+    else ``linked:`` and its least message id.  A row stays null without links, or where
+    its component links to several identifiers.
     """
-    lost = messages.where("conversation_id is null").select("id").distinct()
+    lost = messages.where("conversation_id is null and id is not null").select("id").distinct()
+    known = messages.where("conversation_id is not null and id is not null").groupBy("id").agg(F.min("conversation_id").alias("known"))
     links = _links(messages)
-    links = links.join(lost.select(F.col("id").alias("src")), "src", "left_semi").union(links.join(lost.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    nodes = connected_components(links)
-    known = (
-        nodes.join(messages.select(F.col("id").alias("node"), F.col("conversation_id").alias("known")).where("known is not null"), "node")
-        .groupBy("component")
-        .agg(F.min("known").alias("known"), F.max("known").alias("other"))
-    )
-    given = nodes.join(known, "component", "left").where("known is null or known = other").select(F.col("node").alias("id"), F.coalesce("known", F.concat(F.lit("linked:"), "component")).alias("_given")).distinct()
+    both = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).join(lost.select(F.col("id").alias("src")), "src", "left_semi")
+    nodes = connected_components(both.join(lost.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    told = both.join(known.select(F.col("id").alias("dst"), "known"), "dst").select(F.col("src").alias("node"), "known")
+    at = told.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(F.min("known").alias("known"), F.max("known").alias("other"))
+    alone = told.select("node", F.col("node").alias("component")).join(nodes.select("node"), "node", "left_anti").distinct()
+    given = nodes.select("node", "component").union(alone).join(at, "component", "left").where("known is null or known = other")
+    given = given.select(F.col("node").alias("id"), F.coalesce("known", F.concat(F.lit("linked:"), "component")).alias("_given"))
     found = messages.where("conversation_id is null").join(given, "id", "left").withColumn("conversation_id", F.col("_given")).drop("_given")
     return messages.where("conversation_id is not null").unionByName(found.select(messages.columns))
 
