@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from colophon.operators.contain import contained
+from colophon.storage import written
+
 #: Bounds of what an executor holds of a set of queries, and of a block of documents.
 MAX_CELLS, MAX_TERMS, ROW_CELLS = 20_000_000, 200_000, 4_000_000
 K1, B, NEGATIVE_SHARE = 1.5, 0.75, 0.25
@@ -43,18 +46,30 @@ def doc_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.size(tokenize(F.col(text))), F.lit(0)).alias("dl"))
 
 
-def term_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``term, df, idf``: the negative idf of a term in most documents becomes a quarter of the mean.
+def _counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``term, df, total``: documents of each term; under the empty term all documents and all tokens.
 
-    Distinct terms of a document are taken inside its row, so only partial counts move.
+    One pass: distinct terms of a document are taken inside its row, its length rides
+    along, and only partial counts move.
     """
-    df = docs.select(F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    w = docs.select(tokenize(F.col(text)).alias("w"))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.coalesce(F.size("w"), F.lit(0)).alias("n")))
+    rows = w.select(F.explode(F.concat(whole, F.coalesce(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))), F.array().cast("array<struct<term:string,n:int>>")))).alias("x"))
+    return rows.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.n").alias("total"))
+
+
+def _idf(counts: DataFrame) -> DataFrame:
+    n = counts.where("term = ''").select(F.col("df").alias("n"))
+    raw = counts.where("term <> ''").select("term", "df").crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, NEGATIVE_SHARE * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``term, df, idf``: the negative idf of a term in most documents becomes a quarter of the mean."""
+    return _idf(written(_counts(docs, doc, text), "terms"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """``query_id, doc_id, score`` of every document that shares a term with a query; repeated query words count."""
     wanted = queries.select(F.col(query).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -93,8 +108,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_
     size = wanted.agg(F.countDistinct("query_id").alias("q"), F.countDistinct("term").alias("t")).first()
     if size["q"] * size["t"] > MAX_CELLS or size["t"] > MAX_TERMS or not size["q"]:
         return top_per_query(bm25_scores(docs, queries, doc, text, query, query_text), k)
-    stats = wanted.join(term_stats(docs, doc, text), "term").select("query_id", "term", "qtf", "idf").toPandas()
-    average = doc_lengths(docs, doc, text).agg(F.avg("dl")).first()[0] or 1.0
+    counts = written(_counts(docs, doc, text), "terms")
+    stats = wanted.join(_idf(counts), "term").select("query_id", "term", "qtf", "idf").toPandas()
+    average = (counts.where("term = ''").select(F.col("total") / F.col("df")).first() or (None,))[0] or 1.0
     terms = sorted(set(stats["term"]))
     asked = sorted(set(stats["query_id"]))
     weights = np.zeros((len(terms), len(asked)))
@@ -149,11 +165,11 @@ def longest_word(query: Column) -> Column:
 def keyword_fallback(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that contain the query's longest word, case kept, score 1.
 
-    The words are grouped first, so a word asked by many queries is looked up once.
+    The words are grouped first, so a word asked by many queries is looked up once, and
+    of a word in very many documents each task sends on its first ``k``.
     """
     asked = queries.select("query_id", longest_word(F.col("query")).alias("word")).where("word is not null")
-    words = asked.select("word").distinct()
-    hits = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_t")).join(words, F.col("_t").contains(F.col("word"))).select("doc_id", "word")
+    hits = contained(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_t")), asked, "doc_id", "_t", "word", first=k)
     order = Window.partitionBy("word").orderBy("doc_id")
     first = hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
     return asked.join(first, "word").select("query_id", "doc_id", F.lit(1.0).alias("score"), "rank")

@@ -128,16 +128,37 @@ def overlap_entailment(premise: Column, sentence: Column) -> Column:
     return F.when(F.size(words(sentence)) > 0, F.size(F.array_intersect(words(premise), words(sentence))) / F.size(words(sentence))).otherwise(F.lit(0.0))
 
 
+#: Parts of a group's range of values; ranks are sought inside one part only.
+PARTS = 4096
+
+
 def nearest_rank(values: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles ``sorted[int(n * p)]``, with min, max, mean and n.
 
-    Ranks come from a window over the group sorted by value, which spills; nothing is
-    collected into an array.
+    Few groups may hold very many rows, so no window runs over a group: a pre-aggregated
+    histogram of ``PARTS`` parts tells which part holds the rank, and only the distinct
+    values of that part are put in order.  Groups may be null; null values do not count.
     """
-    w = Window.partitionBy(*by).orderBy(value)
-    r = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.row_number().over(w) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    picks = [F.round(F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col("_v"))), 2).alias(name) for name, p in shares.items()]
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.min("_v"), 2).alias("min"), F.round(F.max("_v"), 2).alias("max"), F.round(F.avg("_v"), 2).alias("mean"), *picks)
+    v = values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    total = v.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.avg("_v").alias("_mean"))
+    null_safe = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    t = total.alias("t")
+    spread = F.greatest(F.col("t._hi") - F.col("t._lo"), F.lit(1e-300))
+    part = F.least(F.floor((F.col("v._v") - F.col("t._lo")) / spread * PARTS), F.lit(PARTS - 1)).cast("int")
+    rows = v.alias("v").join(t, null_safe("v", "t")).select(*[F.col(f"v.{c}").alias(c) for c in by], "_v", part.alias("_p"))
+    rows = rows.groupBy(*by, "_p", "_v").agg(F.count("*").alias("_c"))  # distinct values, counted before they move
+    order = Window.partitionBy(*by).orderBy("_p")
+    hist = rows.groupBy(*by, "_p").agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
+    picks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("t.n") * p), F.col("t.n") - 1).alias("r")) for name, p in shares.items()])).alias("pick")
+    wanted = t.select(*[F.col(f"t.{c}").alias(c) for c in by], picks).select(*by, "pick.*").alias("w")
+    found = hist.alias("h").join(wanted, null_safe("h", "w")).where("h._upto - h._c <= w.r and w.r < h._upto")
+    found = found.select(*[F.col(f"h.{c}").alias(c) for c in by], F.col("h._p").alias("_p"), "name", (F.col("r") - F.col("_upto") + F.col("_c")).alias("r")).alias("f")
+    inside = rows.alias("x").join(found, [*null_safe("x", "f"), F.col("x._p") == F.col("f._p")]).select(*[F.col(f"x.{c}").alias(c) for c in by], "_v", "_c", "name", "r")
+    upto = F.sum("_c").over(Window.partitionBy(*by, "name").orderBy("_v"))
+    hit = inside.withColumn("_upto", upto).where("_upto - _c <= r and r < _upto")
+    wide = hit.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("name") == name, F.col("_v"))), 2).alias(name) for name in shares]).alias("p")
+    out = total.alias("t").join(wide, null_safe("t", "p"))
+    return out.select(*[F.col(f"t.{c}").alias(c) for c in by], F.col("t.n"), F.round("t._lo", 2).alias("min"), F.round("t._hi", 2).alias("max"), F.round("t._mean", 2).alias("mean"), *[F.col(f"p.{name}") for name in shares])
 
 
 def term_report(quotes: DataFrame, expected: DataFrame) -> DataFrame:
@@ -166,10 +187,26 @@ def named_share(text: Column, names: Column) -> Column:
 
 def citation_outcome(n_quotes: Column, text: Column) -> Column:
     """QUOTED with quotes, ABSTAINED for a stated refusal, else NO_QUOTES."""
-    refusal = F.lower(text).rlike(r"could not find|no (?:confident )?match|not (?:found|present) in the (?:provided|retrieved)")
-    return F.when(n_quotes > 0, "QUOTED").when(refusal, "ABSTAINED").otherwise("NO_QUOTES")
+    return F.when(n_quotes > 0, "QUOTED").when(F.lower(text).contains("could not find"), "ABSTAINED").otherwise("NO_QUOTES")
+
+
+# Words that mark a change from work to work.
+DRIFT = ("shift", "contrast", "earlier", "later", "transform", "develop", "evolve", "change", "building on", "unlike", "whereas", "moved from", "marks a", "depart", "extend", "expand", "narrow", "different")
 
 
 def drift_markers(text: Column) -> Column:
-    """How many words of change over time a text uses."""
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:later|earlier|develops?|shifts?|evolves?|becomes|by contrast|initially|ultimately|transforms?)\b"), F.lit(0))))
+    """How many of the fixed words of change a text contains; two or more make a drift."""
+    low = F.lower(text)
+    return sum((low.contains(w).cast("int") for w in DRIFT), F.lit(0))
+
+
+def stage_coverage(text: Column, stages: Column) -> Column:
+    """Share of stages of which at least half of the comma-separated terms of over three characters, one at least, stand in a text."""
+    low = F.lower(text)
+
+    def met(stage: Column) -> Column:
+        terms = F.filter(F.transform(F.split(stage, ","), lambda t: F.lower(F.trim(t))), lambda t: F.length(t) > 3)
+        held = F.size(F.filter(terms, lambda t: low.contains(t)))
+        return (F.size(terms) > 0) & (held >= F.greatest(F.lit(1), F.floor(F.size(terms) / 2)))
+
+    return F.round(F.size(F.filter(stages, met)) / F.greatest(F.size(stages), F.lit(1)), 3)

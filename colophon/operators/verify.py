@@ -1,8 +1,7 @@
 """Quotes checked against their sources (V1-V11, V13, V14, V18, V28, M23; of V2 not the lemma tier, of V15-V17 the prefixes only, V12 not at all).
 
-Exact checks come first and are joins: a quote meets a chunk through one shared word
-n-gram (its rarest is not needed, any will do for whole-word quotes), and the substring
-test runs on those pairs only.  Quotes left over meet, through single rare words, the
+Exact checks come first and are joins: a quote meets a chunk through its rarest word
+n-gram, and the substring test runs on those pairs only.  Quotes left over meet, through single rare words, the
 chunks most like them for the fuzzy tier.
 """
 
@@ -18,6 +17,8 @@ from pyspark.sql import types as T
 
 from colophon.functions.anchors import CITATION_TAG, citation_tags, nearest_quote
 from colophon.functions.text import normalize_for_matching, strip_for_comparison
+from colophon.operators.contain import contained
+from colophon.storage import written
 
 MIN_QUOTE, FUZZY, SHINGLE = 20, 0.85, 3
 
@@ -56,20 +57,23 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
 def containment_pairs(needles: DataFrame, hay: DataFrame, needle_key: str, hay_key: str) -> DataFrame:
     """``needle_key, hay_key`` where a needle's ``k`` is a substring of a hay's ``k``.
 
-    Blocks on one whole-word shingle from the inside of the needle (its first and last
-    word may be cut), so no nested loop runs; needles of fewer than five words block on
-    what inner words they have, and those without any meet every row.
+    Of the whole-word shingles inside a needle (its first and last word may be cut) the
+    one in fewest hays leads to its candidates, so a common turn of phrase leads
+    nowhere.  Needles of fewer than five words are sought by one automaton.
     """
-    inner = needles.select(needle_key, "k", words_in(F.col("k")).alias("w"))
-    inner = inner.withColumn("gram", F.when(F.size("w") >= SHINGLE + 2, F.array_join(F.slice("w", 2, SHINGLE), " ")))
-    big = inner.where("gram is not null").select(needle_key, F.col("k").alias("nk"), "gram")
-    small = inner.where("gram is null").select(needle_key, F.col("k").alias("nk"))
+    w = written(needles.select(needle_key, "k", words_in(F.col("k")).alias("w")), "needles")
+    big, small = w.where(F.size("w") >= SHINGLE + 2), w.where(F.size("w") < SHINGLE + 2)
+    inner = big.select(needle_key, F.slice("w", F.lit(2), F.size("w") - 2).alias("w")).select(needle_key, F.explode(shingles(F.col("w"))).alias("gram"))
     # Keys move with the shingles, texts only to the candidates left.
-    grams = hay.select(hay_key, words_in(F.col("k")).alias("w")).select(hay_key, F.explode(shingles(F.col("w"))).alias("gram")).join(big.select("gram").distinct(), "gram", "left_semi")
-    near = grams.join(big, "gram").select(needle_key, "nk", hay_key).distinct()
+    hay_words = hay.select(hay_key, words_in(F.col("k")).alias("w"))
+    grams = written(hay_words.select(hay_key, F.explode(shingles(F.col("w"))).alias("gram")).join(inner.select("gram").distinct(), "gram", "left_semi"), "shingles")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # A needle with a shingle that no hay has is contained in none.
+    rarest = inner.join(counts, "gram", "left").groupBy(needle_key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select(needle_key, F.col("r.gram").alias("gram"))
+    near = grams.join(rarest, "gram").join(big.select(needle_key, F.col("k").alias("nk")), needle_key).select(needle_key, "nk", hay_key)
     found = near.join(hay.select(hay_key, F.col("k").alias("hk")), hay_key).where(F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
-    rest = hay.select(hay_key, F.col("k").alias("hk")).join(small, F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
-    return found.union(rest).distinct()
+    short = contained(hay.select(hay_key, F.col("k").alias("hk")), small, hay_key, "hk", "k")
+    return found.union(small.join(short, "k").select(needle_key, hay_key)).distinct()
 
 
 @F.pandas_udf(returnType=T.DoubleType())

@@ -1,7 +1,8 @@
 """Tables written between stages, in the folder that all executors share.
 
 A cluster names that folder in ``spark.checkpoint.dir``.  Only where the setting is
-missing (tests, a laptop) a temporary folder of this machine is used instead.
+missing and the master is local (tests, a laptop) a temporary folder of this machine is
+used instead; on a cluster without the setting it is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="colophon-")
