@@ -43,6 +43,17 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame) -> DataFr
     return conversations.join(m, conversations["id"] == m["conversation_id"], "left").select(conversations["id"], "title", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "first_at", "last_at")
 
 
+def conversation_messages(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Q5: each conversation's messages in order of time, then id: ``id, title, position, message_id, role, content, at``.
+
+    ``messages``: ``id, conversation_id, role, content, at``.  Conversations without
+    messages give no row here (see :func:`conversation_detail`).
+    """
+    order = Window.partitionBy("conversation_id").orderBy(F.asc_nulls_first("at"), "message_id")
+    m = messages.select(F.col("id").alias("message_id"), "conversation_id", "role", "content", "at").withColumn("position", F.row_number().over(order))
+    return m.join(conversations.select(F.col("id").alias("conversation_id"), "title"), "conversation_id").select(F.col("conversation_id").alias("id"), "title", "position", "message_id", "role", "content", "at")
+
+
 def default_title(text: Column) -> Column:
     """Q7: the first 80 characters, with ``...`` if there are more."""
     return F.when(F.length(text) > 80, F.concat(F.substring(text, 1, 80), F.lit("..."))).otherwise(text)

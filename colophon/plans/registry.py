@@ -250,11 +250,6 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
-def scan_quality(spark, d):
-    return _chunks(spark, d).select("chunk_id", F.round(text.garbled_ratio(F.col("text")), 4).alias("garbled"))
-
-
 # --- chunking --------------------------------------------------------------------------
 
 WORDS = rf"list_filter(string_split_regex(trim(text), '{SPACE}+'), lambda w: w <> '')"
@@ -303,17 +298,6 @@ def markdown_paragraphs(spark, d):
     return chunking.markdown_paragraphs(table(spark, d, "documents")).select("doc_id", "paragraph_no", "heading", F.md5("text").alias("key"))
 
 
-@query()
-def header_sections(spark, d):
-    return chunking.split_by_headers(table(spark, d, "documents").where("text is not null"))
-
-
-@query()
-def repeated_headers(spark, d):
-    pages = table(spark, d, "documents").where("source is not null and text is not null").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
-    return chunking.strip_headers_footers(pages).select("doc_id", "page", F.length("text").alias("n"))
-
-
 @query("""with i as (select source, chunk_id, row_number() over (partition by source order by chunk_id) as chunk_index from (select distinct source, chunk_id from chunk_result where source is not null)),
 w as (select source, chunk_index as centre, unnest([chunk_index - 1, chunk_index, chunk_index + 1]) as chunk_index from i where chunk_index % 50 = 0)
 select source, chunk_index::int as chunk_index, chunk_id, centre::int as centre from i join w using (source, chunk_index)""")
@@ -360,11 +344,6 @@ def concept_sources(spark, d):
     return entities.concept_source_counts(entities.resolve(docs, _gazetteer(spark, d)).join(docs.select("doc_id", "source"), "doc_id"))
 
 
-@query()
-def query_signals(spark, d):
-    return _asked(spark, d).select("query_id", F.array_join(entities.query_entities(F.col("query")), "|").alias("entities"))
-
-
 # --- anchors, quotes, citations --------------------------------------------------------
 
 
@@ -609,3 +588,7 @@ def page_metadata(spark, d):
 @query()
 def best_passages(spark, d):
     return mining.best_passage(_documents(spark, d), "doc_id")
+
+
+# The other queries register themselves when their modules are imported.
+from colophon.plans import text_queries  # noqa: E402, F401
