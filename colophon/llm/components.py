@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before = None
     for _ in range(max_rounds):
         now = written(_small_star(_large_star(now)), "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             labels = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return labels.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -65,7 +65,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.spellings import variant_pairs
 
     documents, short = table(spark, folder, "catalog_document"), table(spark, folder, "given_name_short")
-    return variant_pairs(documents, "author", short).union(variant_pairs(documents, "title"))
+    return variant_pairs(documents, ("author", "title"), short)
 
 
 def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +73,7 @@ def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.spellings import spelling_entities
 
     documents, short = table(spark, folder, "catalog_document"), table(spark, folder, "given_name_short")
-    return spelling_entities(documents, "author", short).union(spelling_entities(documents, "title"))
+    return spelling_entities(documents, ("author", "title"), short)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

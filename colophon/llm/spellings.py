@@ -283,21 +283,20 @@ def _budget(length: Column) -> Column:
     return F.when(length >= 5, MAX_EDITS).otherwise(0)
 
 
-_FORM = "value string, kind string, form string, words array<string>, short array<string>, initials array<string>, volume int"
+_FORM = "field string, value string, kind string, form string, words array<string>, short array<string>, initials array<string>, volume int"
 
 
-def parsed(values: DataFrame, field: str) -> DataFrame:
-    """Distinct stored strings with their form; placeholders are left out."""
-    parse = parse_author if field == "author" else parse_title
+def parsed(values: DataFrame) -> DataFrame:
+    """Distinct stored strings (``field, value``) with their form; placeholders are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for value in batch["value"]:
-                kind, words, short, initials, volume = parse(value)
+            for field, value in zip(batch["field"], batch["value"]):
+                kind, words, short, initials, volume = (parse_author if field == "author" else parse_title)(value)
                 if kind != "none" and (words or short):
-                    rows.append((value, kind, f"{kind}|{' '.join(words)}|{' '.join(short)}|{' '.join(initials)}|{volume}", words, short, initials, volume))
-            yield pd.DataFrame(rows, columns=["value", "kind", "form", "words", "short", "initials", "volume"])
+                    rows.append((field, value, kind, f"{kind}|{' '.join(words)}|{' '.join(short)}|{' '.join(initials)}|{volume}", words, short, initials, volume))
+            yield pd.DataFrame(rows, columns=["field", "value", "kind", "form", "words", "short", "initials", "volume"])
 
     return values.mapInPandas(run, _FORM)
 
@@ -310,7 +309,7 @@ def _keys(forms: DataFrame, counts: DataFrame) -> DataFrame:
     each of a body's words of four letters or more, with the number of words and
     abbreviations; a work's content words in one string, with the volume.
     """
-    word = forms.where("kind <> 'work'").select("form", "kind", "words", "short", "firsts", F.explode("words").alias("word")).join(counts, "word")
+    word = forms.where("kind <> 'work'").select("form", "kind", "words", "short", "firsts", F.explode("words").alias("word")).join(counts.where("field = 'author'"), "word")
     surname = "word = element_at(words, -1)"
     persons = word.where(f"kind = 'person' and ((not given and length(word) >= 4) or {surname})").select("form", F.col("word").alias("key"), F.explode("firsts").alias("also"))
     bodies = word.where("kind = 'body' and length(word) >= 4").select("form", F.col("word").alias("key"), F.concat(F.lit("body"), (F.size("words") + F.size("short")).cast("string")).alias("also"))
@@ -365,21 +364,24 @@ def _may_pair(a: str, b: str) -> Column:
     return F.forall(F.array_except(f"words_{a}", f"words_{b}"), lambda w: near(w) | cut(w))
 
 
-def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> DataFrame:
-    """``value, entity`` of the distinct strings of one field (column ``value``)."""
+def entities(values: DataFrame, short_names: DataFrame | None, field: str | None = None) -> DataFrame:
+    """``field, value, entity`` of distinct strings (``field, value``; or ``value`` of one ``field``), all fields in one run.
+
+    The kind of a string stands in its form, so strings of different fields never meet.
+    """
     spark = values.sparkSession
+    if field is not None:
+        values = values.select(F.lit(field).alias("field"), "value")
     pairs = [] if short_names is None else _name_pairs(short_names.where("given_name is not null and short_name is not null").select("given_name", "short_name").distinct())
     nick = Nicknames(pairs)
     known = sorted({plain(x) for p in pairs for x in p})
-    rows = written(parsed(values, field), f"forms-{field}")
-    forms = rows.groupBy("form").agg(*[F.first(c).alias(c) for c in ("kind", "words", "short", "initials", "volume")])
-    words = forms.select("form", "kind", F.size("words").alias("size"), F.posexplode("words").alias("spot", "word"))
-    counts = words.groupBy("word").agg(F.countDistinct("form").alias("n"), F.sum(F.when((F.col("spot") == 0) & (F.col("size") > 1), 1).otherwise(0)).alias("first"))
+    rows = written(parsed(values), "forms")
+    forms = rows.groupBy("field", "form").agg(*[F.first(c).alias(c) for c in ("kind", "words", "short", "initials", "volume")])
+    words = forms.select("field", "form", "kind", F.size("words").alias("size"), F.posexplode("words").alias("spot", "word"))
+    counts = words.groupBy("field", "word").agg(F.countDistinct("form").alias("n"), F.sum(F.when((F.col("spot") == 0) & (F.col("size") > 1), 1).otherwise(0)).alias("first"))
     is_known = F.col("word").isin(known) if known else F.lit(False)
-    counts = written(counts.select("word", "n", (is_known | ((F.col("n") >= 3) & (F.col("first") >= 0.7 * F.col("n")))).alias("given")), f"words-{field}")
-
-    if field == "author":
-        nick.learn(_name_pairs(learned_short_names(forms, counts)))
+    counts = written(counts.select("field", "word", "n", (is_known | ((F.col("n") >= 3) & (F.col("first") >= 0.7 * F.col("n")))).alias("given")), "words")
+    nick.learn(_name_pairs(learned_short_names(forms, counts.where("field = 'author'"))))
 
     def beside(kind: pd.Series, words: pd.Series, initials: pd.Series) -> pd.Series:
         out = []
@@ -398,8 +400,8 @@ def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> Da
     with_firsts = forms.withColumn("firsts", beside_udf("kind", "words", "initials"))
     candidates = segment_join(_keys(with_firsts, counts))
 
-    per_form = words.join(counts.select("word", F.when(F.col("given"), -F.col("n")).otherwise(F.col("n")).alias("n")), "word").groupBy("form").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("n"))
-    full = written(forms.join(per_form, "form", "left"), f"counted-{field}")
+    per_form = words.join(counts.select("field", "word", F.when(F.col("given"), -F.col("n")).otherwise(F.col("n")).alias("n")), ["field", "word"]).groupBy("form").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("n"))
+    full = written(forms.join(per_form, "form", "left"), "counted")
     side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("form", "kind", "words", "short", "initials", "volume", "n")])
     both = candidates.join(side("a"), "form_a").join(side("b"), "form_b").where("kind_a = kind_b")
     both = both.where((F.col("kind_a") != "body") | (_may_pair("a", "b") & _may_pair("b", "a")))
@@ -422,36 +424,44 @@ def entities(values: DataFrame, short_names: DataFrame | None, field: str) -> Da
                     out.append((r["form_a"], r["form_b"], *letters))
             yield pd.DataFrame(out, columns=["form_a", "form_b", "only_a", "only_b"])
 
-    links = written(both.mapInPandas(check, "form_a string, form_b string, only_a boolean, only_b boolean"), f"links-{field}")
-    sure = links.where("not only_a and not only_b").select(F.col("form_a").alias("src"), F.col("form_b").alias("dst"))
-    first = connected_components(sure)
+    links = written(both.mapInPandas(check, "form_a string, form_b string, only_a boolean, only_b boolean"), "links")
+    sure = links.where("not only_a and not only_b").select("form_a", "form_b")
     # Initials only: to the one entity they fit, else to each other if they fit none.
     half = links.where("only_a <> only_b").select(F.when(F.col("only_a"), F.col("form_a")).otherwise(F.col("form_b")).alias("src"), F.when(F.col("only_a"), F.col("form_b")).otherwise(F.col("form_a")).alias("dst"))
-    placed = half.join(first.withColumnRenamed("node", "dst"), "dst", "left").select("src", F.coalesce("component", "dst").alias("entity"))
-    fit = placed.groupBy("src").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("dst"))
-    lone = links.where("only_a and only_b").join(fit.select(F.col("src").alias("form_a")), "form_a", "left_anti").join(fit.select(F.col("src").alias("form_b")), "form_b", "left_anti")
-    edges = sure.union(fit.where("n = 1").select("src", "dst")).union(lone.select("form_a", "form_b"))
-    names = connected_components(edges).withColumnRenamed("node", "form")
-    return rows.select("value", "form").join(names, "form", "left").select("value", F.coalesce("component", "form").alias("entity"))
+    fitting = half.select("src").distinct()
+    lone = links.where("only_a and only_b").join(fitting.select(F.col("src").alias("form_a")), "form_a", "left_anti").join(fitting.select(F.col("src").alias("form_b")), "form_b", "left_anti")
+    names = connected_components(sure.union(lone.select("form_a", "form_b")), "form_a", "form_b")
+    placed = half.join(names.withColumnRenamed("node", "dst"), "dst", "left").select("src", F.coalesce("component", "dst").alias("entity"))
+    fit = placed.groupBy("src").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1").select(F.col("src").alias("node"), F.col("entity").alias("component"))
+    named = names.union(fit).withColumnRenamed("node", "form")
+    return rows.select("field", "value", "form").join(named, "form", "left").select("field", "value", F.coalesce("component", "form").alias("entity"))
+
+
+def _values(df: DataFrame, field: str) -> DataFrame:
+    return df.select(F.lit(field).alias("field"), F.col(field).cast("string").alias("value")).where("value is not null").distinct()
 
 
-def spelling_entities(df: DataFrame, field: str, short_names: DataFrame | None = None) -> DataFrame:
+def spelling_entities(df: DataFrame, field: str | tuple[str, ...], short_names: DataFrame | None = None) -> DataFrame:
     """``field_name, value, entity``: each distinct stored string that names somebody, once, with its entity.
 
-    The entity is named by its least form.  No pairs: an entity of very many spellings
-    costs one row each.  Nulls, blanks and placeholders name nobody.
+    ``field`` is ``author``, ``title`` or both; both cost about as much as one.  The
+    entity is named by its least form.  No pairs: an entity of very many spellings costs
+    one row each.  Nulls, blanks and placeholders name nobody.
     """
-    values = df.select(F.col(field).cast("string").alias("value")).where("value is not null").distinct()
-    return entities(values, short_names, field).select(F.lit(field).alias("field_name"), "value", "entity")
+    fields = (field,) if isinstance(field, str) else field
+    values = _values(df, fields[0])
+    for f in fields[1:]:
+        values = values.union(_values(df, f))
+    return entities(values, short_names).select(F.col("field").alias("field_name"), "value", "entity")
 
 
-def variant_pairs(df: DataFrame, field: str, short_names: DataFrame | None = None) -> DataFrame:
+def variant_pairs(df: DataFrame, field: str | tuple[str, ...], short_names: DataFrame | None = None) -> DataFrame:
     """``field_name, value_a, value_b`` (``value_a < value_b``): stored strings of one entity.
 
-    ``field`` is ``author`` or ``title``.  Only distinct strings are compared, so how
+    ``field`` is ``author``, ``title`` or both.  Only distinct strings are compared, so how
     often a string is stored costs nothing.  Nulls, blanks and placeholders name
     nobody.  An empty table gives an empty result.
     """
     named = spelling_entities(df, field, short_names)
-    a, b = named.select(F.col("value").alias("value_a"), "entity"), named.select(F.col("value").alias("value_b"), "entity")
-    return a.join(b, "entity").where("value_a < value_b").select(F.lit(field).alias("field_name"), "value_a", "value_b")
+    a, b = named.select("field_name", F.col("value").alias("value_a"), "entity"), named.select("field_name", F.col("value").alias("value_b"), "entity")
+    return a.join(b, ["field_name", "entity"]).where("value_a < value_b").select("field_name", "value_a", "value_b")
