@@ -133,26 +133,6 @@ def rrf_hybrid(spark, d):
     return retrieve.fuse([(index.bm25_topk(docs, asked, 50), 0.6), (index.keyword_fallback(docs, asked, 50), 0.4)]).where("rank < 20")
 
 
-@query()
-def passage_scores(spark, d):
-    docs, asked = _documents(spark, d), _asked(spark, d)
-    top = index.bm25_topk(docs, asked, 10).join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
-    return retrieve.with_passage_score(top).select("query_id", "doc_id", F.round("passage_score", 6).alias("passage_score"))
-
-
-@query()
-def phrase_search(spark, d):
-    # Each gold's opening words as a quoted phrase.
-    asked = table(spark, d, "eval_item").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), F.regexp_replace(F.substring("ground_truth", 1, 60), '"', ""), F.lit('"')).alias("query"))
-    return retrieve.phrase_search(_documents(spark, d), asked, 10)
-
-
-@query()
-def source_mentions(spark, d):
-    titles = table(spark, d, "catalog_document").select(F.concat_ws(" ", F.col("year").cast("string"), F.col("title")).alias("source"))
-    return retrieve.source_mentions(_asked(spark, d), titles)
-
-
 @query(f"""with {BY_HEADING}, m as (select *, coalesce(starts_with(source, '19'), false) m from by_heading), a as (select *, max(m) over (partition by query_id) any_m from m)
 select query_id, doc_id, rank from a where m or not any_m""")
 def source_filter(spark, d):
@@ -190,14 +170,6 @@ def context_labels(spark, d):
     return top.select("query_id", retrieve.context_label(F.col("rank") + 1, F.col("source"), none, none, F.lit("")).alias("label"), "doc_id")
 
 
-@query()
-def full_search(spark, d):
-    from colophon.plans.search import search
-
-    docs = _documents(spark, d).select("doc_id", "text", "source")
-    return search(docs, _asked(spark, d)).select("query_id", "doc_id", "rank", "rerank_score", "source")
-
-
 # --- text ------------------------------------------------------------------------------
 
 MATCH = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[–—―−]', '-', 'g'), '-{{2,}}', '-', 'g'), '[\"''“”‘’«»]', '', 'g'), '{SPACE}+', ' ', 'g'))"
@@ -425,12 +397,6 @@ def history_budget(spark, d):
     return answers.history_budget(m, 200).select("conversation_id", "id")
 
 
-@query()
-def term_sentences(spark, d):
-    terms = table(spark, d, "given_name_short").select(F.col("given_name").alias("term")).distinct()
-    return answers.term_sentences(_chunks(spark, d), terms)
-
-
 @query()
 def chunks_per_work(spark, d):
     works = table(spark, d, "eval_item").select(F.lit("q").alias("query_id"), "source").where("source is not null").distinct()
@@ -591,4 +557,4 @@ def best_passages(spark, d):
 
 
 # The other queries register themselves when their modules are imported.
-from colophon.plans import text_queries  # noqa: E402, F401
+from colophon.plans import ranking_queries, text_queries  # noqa: E402, F401
