@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colophon.functions.text import estimate_tokens, normalize_for_matching, short_title
+from colophon.operators.verify import window_ratio
 
 ANSWER_SCHEMA = "synthesis string, per_work array<struct<work:string,quote:string,page:string,gloss:string>>"
 
@@ -107,16 +108,44 @@ def coverage(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", F.size(req).alias("n_required"), share(has).alias("per_work_coverage"), share(named).alias("synthesis_coverage"), F.array_except(req, has).alias("missing_in_per_work"), F.array_except(req, named).alias("missing_in_synthesis"))
 
 
-def enforce_verbatim(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Quotes of 12 characters or more that no chunk of the query holds lose quote and page.
+def enforce_verbatim(entries: DataFrame, chunks: DataFrame, least: float = 0.85) -> DataFrame:
+    """Quotes of 12 characters or more that no chunk of the query has, nor anything at least ``least`` alike, lose quote and page.
 
-    ``entries``: ``query_id, work_no, quote, page``.  Adds ``dropped``.
+    ``entries``: ``query_id, work_no, quote, page``; ``chunks``: ``query_id, text``, the
+    few retrieved for it.  Case and outer spaces aside.  A query without chunks keeps
+    all.  Adds ``dropped``.  Equal texts and quotes are compared once.
     """
     key = F.lower(F.trim("quote"))
-    hit = entries.where(F.length(key) >= 12).alias("e").join(chunks.alias("c"), "query_id").where(normalize_for_matching(F.col("c.text")).contains(normalize_for_matching(F.col("e.quote")))).select("query_id", "work_no").distinct().withColumn("_ok", F.lit(True))
-    j = entries.join(hit, ["query_id", "work_no"], "left")
-    drop = (F.length(key) >= 12) & F.col("_ok").isNull()
-    return j.withColumn("dropped", F.coalesce(drop, F.lit(False))).withColumn("quote", F.when(drop, "").otherwise(F.col("quote"))).withColumn("page", F.when(drop, "").otherwise(F.col("page"))).drop("_ok")
+    asked = entries.where(F.length(key) >= 12).select("query_id", "work_no", key.alias("q"))
+    texts = chunks.where(F.length("text") > 0).select("query_id", F.lower("text").alias("t")).distinct()
+    pairs = asked.join(texts, "query_id").select("query_id", "work_no", "q", "t", F.col("t").contains(F.col("q")).alias("held"))
+    whole = pairs.groupBy("query_id", "work_no").agg(F.max("held").alias("held"))
+    left = pairs.join(whole.where("not held").select("query_id", "work_no"), ["query_id", "work_no"], "left_semi").withColumn("s", window_ratio("q", "t"))
+    alike = left.groupBy("query_id", "work_no").agg(F.max("s").alias("s"))
+    bad = alike.where(F.col("s") < least).select("query_id", "work_no", F.lit(True).alias("_bad")).distinct()
+    j = entries.join(bad, ["query_id", "work_no"], "left").withColumn("dropped", F.coalesce("_bad", F.lit(False)))
+    drop = F.col("dropped") & (F.length(key) >= 12)
+    return j.withColumn("dropped", F.coalesce(drop, F.lit(False))).withColumn("quote", F.when(F.col("dropped"), "").otherwise(F.col("quote"))).withColumn("page", F.when(F.col("dropped"), "").otherwise(F.col("page"))).drop("_bad")
+
+
+def answer_structured(answers: DataFrame, chunks: DataFrame, enforce: bool = True, least: float = 0.85) -> DataFrame:
+    """``query_id, markdown, n_dropped, per_work_coverage, synthesis_coverage, missing_works`` of replies to structured questions.
+
+    ``answers``: ``query_id, reply, required ARRAY<STRING>``; ``chunks``: ``query_id,
+    source, text``.  Parse, count the chunks of each required work, keep verbatim quotes,
+    render with the works that had no chunk, report coverage.
+    """
+    parsed = answers.select("query_id", parse_answer(F.col("reply")).alias("answer"), F.coalesce("required", F.array().cast("array<string>")).alias("required"))
+    works = parsed.select("query_id", F.posexplode("required").alias("work_no", "work"))
+    missing = chunks_per_work(chunks, works).where("n_chunks = 0").groupBy("query_id").agg(F.array_sort(F.collect_set("work")).alias("missing_works"))
+    entries = parsed.select("query_id", F.posexplode("answer.per_work").alias("work_no", "e")).select("query_id", "work_no", "e.*")
+    kept = enforce_verbatim(entries, chunks, least) if enforce else entries.withColumn("dropped", F.lit(False))
+    again = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("work_no", "work", "quote", "page", "gloss"))), lambda x: F.struct(x["work"].alias("work"), x["quote"].alias("quote"), x["page"].alias("page"), x["gloss"].alias("gloss"))).alias("per_work"), F.count_if("dropped").alias("n_dropped"))
+    whole = parsed.join(again, "query_id", "left").join(missing, "query_id", "left")
+    empty = F.array().cast("array<struct<work:string,quote:string,page:string,gloss:string>>")
+    whole = whole.select("query_id", F.struct(F.col("answer.synthesis").alias("synthesis"), F.coalesce("per_work", empty).alias("per_work")).alias("answer"), "required", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("missing_works", F.array().cast("array<string>")).alias("missing_works"))
+    shares = coverage(whole).select("query_id", "per_work_coverage", "synthesis_coverage")
+    return render_answers(whole).join(whole.select("query_id", "n_dropped", "missing_works"), "query_id").join(shares, "query_id").select("query_id", "markdown", "n_dropped", "per_work_coverage", "synthesis_coverage", "missing_works")
 
 
 def coverage_block(missing: Column, n_dropped: Column) -> Column:

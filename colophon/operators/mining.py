@@ -1,4 +1,4 @@
-"""Gold sets and page metadata by mining."""
+"""Gold sets and page metadata by mining."""
 
 from __future__ import annotations
 
@@ -24,17 +24,42 @@ def sample_by_hash(rows: DataFrame, key: str, n: int = 50, seed: int = 42) -> Da
     return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
 
 
+# Patterns and names by which a title page is read.
+ISBN = r"\bISBN[\s:]*([\d][\d\s\-Xx]{8,})"
+COPYRIGHT_YEAR = r"©\s*(?:[^\d\n]*?)(\d{4})"
+BARE_YEAR = r"\b(19[5-9]\d|20[0-2]\d)\b"
+TRANSLATED = r"[Tt]ranslated\s+(?:from\s+the\s+\w+\s+)?(?:and\s+edited\s+)?by\s+([A-Z][\w.\-]*(?:\s+(?:[A-Z][\w.\-]*|and|&|,))*\s*[A-Z][\w.\-]*)"
+PUBLISHERS = (
+    "Columbia University Press", "University of Minnesota Press", "Presses Universitaires de France", "Zone Books", "The Athlone Press",
+    "Athlone Press", "Continuum", "City Lights Books", "Les Editions de Minuit",
+)
+NO_TITLE = ("translated", "edited", "press", "by ", "copyright", "deleuze", "guattari")
+AUTHORS = ((("Deleuze", "Guattari"), "Gilles Deleuze and Felix Guattari"), (("Deleuze", "Parnet"), "Gilles Deleuze and Claire Parnet"), (("Deleuze",), "Gilles Deleuze"))
+
+
 def page_metadata(text: Column) -> Column:
-    """``STRUCT<isbn, year, publisher, translator, title>`` by patterns; empty where none fits."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 3) & ~x.rlike(r"\d"))
-    longest = F.aggregate(lines, F.lit(""), lambda b, x: F.when(F.length(x) > F.length(b), x).otherwise(b))
+    """``STRUCT<isbn, year, publisher, translator, author, title>`` of a title page by patterns; null where none fits.
+
+    A copyright year goes before a bare one; the title is the first of the longest lines
+    of 4 to 80 characters without figures or words of an imprint in the first 600.
+    """
+    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    low = F.lower(text)
+    publisher, author = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name in reversed(PUBLISHERS):
+        publisher = F.when(low.contains(name.lower()), name).otherwise(publisher)
+    for names, whole in reversed(AUTHORS):
+        held = F.lit(True)
+        for n in names:
+            held = held & text.contains(n)
+        author = F.when(held, whole).otherwise(author)
+    lines = F.transform(F.split(F.substring(text, 1, 600), "\n"), lambda x: F.trim(x))
+    fits = lambda x: (F.length(x) >= 4) & (F.length(x) <= 80) & ~x.rlike(r"\d") & ~F.lower(x).rlike("|".join(NO_TITLE))
+    title = F.aggregate(F.filter(lines, fits), F.lit(None).cast("string"), lambda b, x: F.when(b.isNull() | (F.length(x) > F.length(b)), x).otherwise(b))
     return F.struct(
-        F.regexp_replace(F.regexp_extract(text, r"(?i)ISBN(?:-1[03])?:?\s*([0-9Xx][0-9Xx\- ]{8,16}[0-9Xx])", 1), r"[\- ]", "").alias("isbn"),
-        F.regexp_extract(text, r"\b(1[5-9]\d{2}|20\d{2})\b", 1).alias("year"),
-        F.trim(F.regexp_extract(text, r"(?m)((?:[A-Z][\w&.' ]+ )?(?:University Press|Press|Verlag|Éditions|Editions|Books|Publishers?)(?: [A-Z]\w+)?)", 1)).alias("publisher"),
-        F.trim(F.regexp_extract(text, r"(?i)translat(?:ed|ion) by\s+([^\n,.;]+)", 1)).alias("translator"),
-        longest.alias("title"),
-    )
+        F.trim(found(ISBN)).alias("isbn"), F.coalesce(found(COPYRIGHT_YEAR), found(BARE_YEAR)).alias("year"), publisher.alias("publisher"),
+        F.regexp_replace(F.trim(F.regexp_replace(found(TRANSLATED), r"\s+", " ")), ",+$", "").alias("translator"), author.alias("author"), title.alias("title"),
+    )
 
 
 def enumerate_golds(spread: DataFrame, pairs: int = 4) -> DataFrame:
@@ -75,6 +100,20 @@ def verify_golds(golds: DataFrame, pages: DataFrame) -> DataFrame:
     return g.select("item_id").join(hit, "item_id", "left").select("item_id", F.when(F.col("whole"), "whole").when(F.col("head"), "head").otherwise("missing").alias("found"))
 
 
+def refresh_golds(golds: DataFrame, pages: DataFrame, head: int = 50) -> DataFrame:
+    """``item_id, page, pdf_page``: where a gold's first characters stand now in its source: its page, else the nearest page that has them, else null."""
+    g = golds.select("item_id", "source", F.col("pdf_page").alias("page"), F.substring(normalize_for_matching(F.col("ground_truth")), 1, head).alias("g")).where(F.length("g") > 0)
+    p = pages.select("source", F.col("page").alias("at"), normalize_for_matching(F.col("text")).alias("t"))
+    hit = g.join(p, "source").where(F.col("t").contains(F.col("g"))).groupBy("item_id").agg(F.min(F.struct(F.coalesce(F.abs(F.col("at") - F.col("page")), F.lit(1 << 30)).alias("far"), "at"))["at"].alias("pdf_page"))
+    return golds.select("item_id", F.col("pdf_page").alias("page")).join(hit, "item_id", "left")
+
+
+def spans_of(text: Column, most: int = 5) -> Column:
+    """The longest runs of two to five words of four letters or more in a gold, up to ``most``, longest first: the spans an answer must hold."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}(?: \p{L}{4,}){1,4}"), F.lit(0)))
+    return F.transform(F.slice(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r")))), 1, most), lambda x: x["r"])
+
+
 def passage_around(text: Column, marker: Column, before: int = 100, after: int = 400) -> Column:
     """The text from ``before`` characters ahead of a marker's first occurrence to ``after`` behind it, null without one."""
     at = F.position(marker, text)

@@ -1,4 +1,4 @@
-"""Quotes checked against their sources (V1-V11, V13, V14, V18, V28, M23; of V2 not the lemma tier, of V15-V17 the prefixes only, V12 not at all).
+"""Quotes checked against their sources (V1-V18, V28, M23; of V2 not the lemma tier).
 
 Exact checks come first and are joins: a quote meets a chunk through its rarest word
 n-gram, and the substring test runs on those pairs only.  Quotes left over meet, through single rare words, the
@@ -234,6 +234,38 @@ def prefix_tier(quote: Column, text: Column, sizes: tuple[int, ...] = (80, 50, 4
     return out
 
 
+@F.pandas_udf(returnType=T.DoubleType())
+def page_ratio(quote: pd.Series, page: pd.Series) -> pd.Series:
+    """How much of a quote a page has: 1 if it contains it, else the best ratio of windows of its length, every sixth of it; stops at .98."""
+    out = []
+    for q, t in zip(quote, page):
+        if not q or not t:
+            out.append(0.0)
+        elif q in t:
+            out.append(1.0)
+        else:
+            best = 0.0
+            for start in range(0, max(1, len(t) - len(q) + 1), max(1, len(q) // 6)):
+                window = t[start : start + len(q)]
+                if _most(q, window) <= best:
+                    continue
+                best = max(best, SequenceMatcher(None, q, window).ratio())
+                if best >= 0.98:
+                    break
+            out.append(best)
+    return pd.Series(out)
+
+
+def _most(a: str, b: str) -> float:
+    """A bound of the matcher's ratio: the letters shared."""
+    return 2.0 * (Counter(a) & Counter(b)).total() / max(1, len(a) + len(b))
+
+
+def quote_in_text(quote: Column, text: Column, sizes: tuple[int, ...], least: float) -> Column:
+    """Whether a text holds one of a quote's prefixes or, failing that, a passage at least ``least`` alike."""
+    return (prefix_tier(quote, text, sizes) > 0) | (window_ratio(normalize_for_matching(quote), normalize_for_matching(text)) >= least)
+
+
 def quote_citation_pairs(text: Column) -> Column:
     """``ARRAY<STRUCT<quote, page>>``: quotes of 15 characters or more with a page within 300 characters after."""
     both = r'(?s)["“]([^"”]{15,})["”](?:(?!["“]).){0,300}?\bpp?\.\s*(\d+)'

@@ -336,12 +336,6 @@ def cited_pages(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(anchors.cited_pages(F.col("text")), ",").alias("pages"))
 
 
-@query(r"""with q as (select distinct id, unnest(list_concat(regexp_extract_all(content, '"([^"]{10,})"', 1), regexp_extract_all(content, '“([^”]{10,})”', 1))) as quote from (select id, content from message where content is not null and not starts_with(content, '>') and not contains(content, chr(10) || '>'))) select * from q""")
-def quote_extract(spark, d):
-    m = table(spark, d, "message").where("content is not null and not startswith(content, '>') and not contains(content, '\\n>')").select("id", "content").distinct()
-    return m.select("id", F.explode(verify.extract_quotes(F.col("content"))).alias("quote")).distinct()
-
-
 def _stripped(column: str) -> str:
     md = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\*{3}([^*]+)\\*{3}', '\\1', 'g'), '_{3}([^_]+)_{3}', '\\1', 'g'), '\\*{2}([^*]+)\\*{2}', '\\1', 'g'), '_{2}([^_]+)_{2}', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g')"
     key = MATCH.replace("lower(text)", f"lower({md})").replace("text", column)
@@ -373,18 +367,6 @@ def citation_repair(spark, d):
     return verify.repair_citations(answers_, chunks.withColumn("chunk_ord", F.col("chunk_id")).drop("chunk_id"))
 
 
-@query()
-def citation_styles(spark, d):
-    c = table(spark, d, "catalog_document").where("author is not null and author <> '' and title is not null")
-    c = c.withColumn("names", citations.author_list(F.col("author")))
-    col = F.col
-    return c.select(
-        "id",
-        *[citations.inline(s, col("author"), col("title"), col("year"), F.lit("1"), col("names")).alias(f"{s}_inline") for s in citations.STYLES],
-        *[citations.bibliography(s, col("author"), col("title"), col("year"), F.coalesce("publisher", F.lit("")), F.lit(""), names=col("names")).alias(f"{s}_bibliography") for s in citations.STYLES],
-    )
-
-
 # --- answers ---------------------------------------------------------------------------
 
 
@@ -397,13 +379,6 @@ def history_budget(spark, d):
     return answers.history_budget(m, 200).select("conversation_id", "id")
 
 
-@query()
-def chunks_per_work(spark, d):
-    works = table(spark, d, "eval_item").select(F.lit("q").alias("query_id"), "source").where("source is not null").distinct()
-    works = works.select("query_id", F.col("source").alias("work"), F.row_number().over(Window.partitionBy("query_id").orderBy("source")).alias("work_no"))
-    return answers.chunks_per_work(_chunks(spark, d).withColumn("query_id", F.lit("q")), works)
-
-
 # --- metrics ---------------------------------------------------------------------------
 
 JUDGED = "j as (select query_id, rank, case when contains(text, left(ground_truth, 30)) then 1.0 else 0.0 end rel from bm25 join documents using (doc_id) join eval_item on item_id = query_id where rank < 20)"
@@ -419,14 +394,6 @@ def ranking_metrics(spark, d):
     return metrics.ranking_metrics(j.select("query_id", "rank", "relevant"))
 
 
-@query(f"""with {BY_HEADING} select query_id, max(case when rank < 1 and page_start > 0 and 100 - 1 <= page_start and 100 + 1 >= page_start then 1.0 else 0.0 end)::double as page_hit_1,
-max(case when rank < 10 and page_start > 0 and 100 - 1 <= page_start and 100 + 1 >= page_start then 1.0 else 0.0 end)::double as page_hit_10,
-coalesce(round(1 / (min(case when page_start > 0 and 100 - 1 <= page_start and 100 + 1 >= page_start then rank end) + 1), 6), 0.0)::double as mrr from by_heading group by query_id""")
-def sample_scores(spark, d):
-    r = _by_heading(spark, d).select("query_id", "rank", "source", F.lit("").alias("text"), "page_start", F.lit(0).alias("page_end"), F.lit("x").alias("gold_source"), F.lit(100).alias("gold_page"), F.lit("").alias("gold_quote"))
-    return metrics.sample_scores(r).select("query_id", "page_hit_1", "page_hit_10", "mrr")
-
-
 @query("""with r as (select event_type, value v, row_number() over (partition by event_type order by value) - 1 r, count(*) over (partition by event_type) n from events where value is not null)
 select event_type, count(*) as n, round(min(v), 2) as min, round(max(v), 2) as max, round(avg(v), 2) as mean, round(max(case when r = least(floor(n * 0.5), n - 1) then v end), 2) as p50, round(max(case when r = least(floor(n * 0.95), n - 1) then v end), 2) as p95 from r group by event_type""")
 def latency_percentiles(spark, d):
@@ -546,15 +513,5 @@ def span_frequency(spark, d):
     return mining.document_frequency(s)
 
 
-@query()
-def page_metadata(spark, d):
-    return _documents(spark, d).where("text is not null").select("doc_id", F.inline(F.array(mining.page_metadata(F.col("text")))))
-
-
-@query()
-def best_passages(spark, d):
-    return mining.best_passage(_documents(spark, d), "doc_id")
-
-
 # The other queries register themselves when their modules are imported.
-from colophon.plans import ranking_queries, text_queries  # noqa: E402, F401
+from colophon.plans import check_queries, ranking_queries, text_queries  # noqa: E402, F401
