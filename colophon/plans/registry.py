@@ -514,4 +514,4 @@ def span_frequency(spark, d):
 
 
 # The other queries register themselves when their modules are imported.
-from colophon.plans import check_queries, ranking_queries, text_queries  # noqa: E402, F401
+from colophon.plans import check_queries, ranking_queries, store_queries, text_queries  # noqa: E402, F401

@@ -76,9 +76,9 @@ def validate_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, valid boolean, errors array<string>, warnings array<string>")
 
 
-def ocr_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, text`` of Markdown files without image links."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder)
+def ocr_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """``path, text`` of Markdown files, one row a file, without image links."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"!\[[^\]]*\]\([^)]*\)", "").alias("text"))
 
 
