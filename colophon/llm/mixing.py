@@ -137,7 +137,8 @@ def mix_sources(
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     names = [r["source"] for r in rows]
-    slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(names))
+    slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    slim = slim.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "source string")), "source", "left_semi").select("doc_id", "source", "text")  # at most MAX_SOURCES names
     counted = written(count_tokens(slim, "text", tokenizer=tokenizer).where("n_tokens > 0"), "tokens")
     sums = {r["source"]: (r["t"], r["n"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     present = [r for r in rows if r["source"] in sums]

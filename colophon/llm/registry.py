@@ -151,6 +151,17 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return share_report(p8_selection(spark, folder), table(spark, folder, "mix_target"))
 
 
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each target source with documents: whether its cap is kept, and its share to within two documents."""
+    chosen = p8_selection(spark, folder)
+    targets = table(spark, folder, "mix_target").join(table(spark, folder, "documents").where("length(text) > 0").select("source").distinct(), "source", "left_semi")
+    per = chosen.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.max("repeats").alias("most"), F.max("n_tokens").alias("longest"))
+    total = per.agg(F.sum("tokens").alias("total"))
+    share = targets.crossJoin(F.broadcast(targets.agg(F.sum("target_share").alias("whole")))).crossJoin(F.broadcast(total)).join(per, "source", "left")  # one row each
+    off = F.abs(F.coalesce("tokens", F.lit(0)) - F.col("target_share") / F.col("whole") * F.col("total"))
+    return share.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"), (off <= 2 * F.coalesce("longest", F.lit(10_000))).alias("share_kept"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.stuffing import stuffed_pages
 
@@ -182,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_cut": p7_cut,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p8_kept": p8_kept,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
@@ -202,6 +214,12 @@ t as (select cid, id, role, coalesce(visible, false) as visible, row_number() ov
 ok as (select cid from t group by cid having count(*) % 2 = 0 and bool_and(visible and role = case when turn % 2 = 1 then 'user' else 'assistant' end))
 select cid as conversation_id, turn::int as turn_no, id as message_id from t where cid in (select cid from ok)"""
 
+# Brute force; cosines in double precision.
+NEAREST = """with v as (select id, any_value(embedding)::double[] as e from loaded_chunk where id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by id),
+s as (select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.id <> b.id),
+r as (select a, b, row_number() over (partition by a order by s desc, b) as r from s)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 5"""
+
 # Mean PMI of neighbours in exact counts; 10 pairs on either side, 4 bits, half of the text.
 STUFFED = r"""with rep as (select row_number() over () as id, text from (select min(text) as text from documents group by case when trim(regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g')) <> '' then regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g') else text end)),
 cut as (select false as own, doc_id as id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|\p{L}+') as l from documents
@@ -241,6 +259,8 @@ m as (select * from t where regexp_matches(form, '\\S'))
 SQL: dict[str, str] = {
     "p6_found": ALIKE + "select distinct a.table_name, a.id as id_a, b.id as id_b from m a join m b on a.table_name = b.table_name and a.form = b.form and a.id < b.id and a.s <> b.s",
     "p6_classes": ALIKE + ", c as (select table_name, form, min(id) as class_id, count(distinct s) as texts from m group by table_name, form having count(distinct s) > 1) select distinct table_name, id, class_id, texts from m join c using (table_name, form)",
+    "p8_kept": "select source, true as cap_kept, true as share_kept from mix_target where source in (select source from documents where length(text) > 0)",
+    "p2_found": NEAREST,
     "p9_found": STUFFED,
     "p5_found": CONVERSATIONS,
     "p5_relinked": CONVERSATIONS,
