@@ -3,10 +3,11 @@
 Running headers, footers and page numbers are found by position on the page (isolated
 blocks, number near the chunk's pages, capitals, likeness to heading and title).  Cut
 words are rejoined across line and page ends.  Misread words go to an averaged-
-perceptron character editor that labels every character keep, replace, delete or insert
-(whether a line-end hyphen goes is decided by counts alone).  It is trained here: confusions are aligned
-from the corpus' own rare words, and noised lexicon words give labelled characters.
-The editor proposes; counts over the whole corpus decide.
+perceptron character editor that labels every character keep, replace, delete or insert,
+and every line end inside a word join or hyphen.  It is trained here: confusions are
+aligned from the corpus' own rare words; noised lexicon words and lexicon words cut at
+random places, or at their own hyphens, give labelled characters.  The editor proposes;
+its loss against counts over the whole corpus decides.
 """
 
 from __future__ import annotations
@@ -282,7 +283,7 @@ class Editor:
                     totals[label] += v
         return sorted(((v, k) for k, v in totals.items()), reverse=True)
 
-    def train(self, pairs: list[tuple[str, list[str]]], rounds: int = 4, seed: int = 5) -> None:
+    def train(self, pairs: list[tuple[str, list[str]]], rounds: int = 6, seed: int = 5) -> None:
         rng = random.Random(seed)
         seen: dict[str, Counter] = defaultdict(Counter)
         for word, labels in pairs:
@@ -396,7 +397,7 @@ def confusions(rare: list[str], lexicon: dict[str, int], least: int = 3) -> tupl
 
 def train_editor(rare: list[str], lexicon: dict[str, int], seed: int = 3) -> Editor:
     """An editor from a corpus' rare words of scanned chunks and its lexicon of clean words."""
-    rng = random.Random(seed)
+    rng, cuts = random.Random(seed), random.Random(seed + 1)
     pairs, counts = confusions(rare, lexicon)
     labelled = [(a, labels) for a, b in pairs if (labels := align(a, b))]
     words = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]]
@@ -413,11 +414,27 @@ def train_editor(rare: list[str], lexicon: dict[str, int], seed: int = 3) -> Edi
             noised = w[:at] + wrong + w[at + len(right) :]
             labels = list(w[:at]) + _spread(wrong, right) + list(w[at + len(right) :])
             labelled.append((noised, labels))
+        labelled += _cut_words(w, cuts)
+    # Compounds are rare among the frequent words, so all that the lexicon has take part.
+    compounds = sorted((w for w in lexicon if "-" in w[2:-2]), key=lambda w: (-lexicon[w], w))[:TRAIN_WORDS]
+    for w in compounds:
+        labelled += _cut_words(w, cuts)
     editor = Editor()
     editor.train(labelled)
     return editor
 
 
+def _cut_words(word: str, rng: random.Random) -> list[tuple[str, list[str]]]:
+    """A word cut at a line end, labelled: join at a random place, hyphen at each hyphen of its own."""
+    out = []
+    for at in [i for i in range(2, len(word) - 2) if word[i] == "-"]:
+        out.append((word[:at] + CUT + word[at + 1 :], list(word[:at]) + ["-"] + list(word[at + 1 :])))
+    if len(word) >= 5 and "-" not in word:
+        at = rng.randrange(2, len(word) - 1)
+        out.append((word[:at] + CUT + word[at:], [*word[:at], "", *word[at:]]))
+    return out
+
+
 def _spread(wrong: str, right: str) -> list[str]:
     """Labels that turn ``wrong`` into ``right``, character for character, the rest on the last."""
     if len(wrong) >= len(right):
@@ -459,13 +476,26 @@ def vocabulary(chunks: DataFrame, text: str = "text") -> DataFrame:
     return found.where("word <> ''").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"))
 
 
+def joins(raw: str, editor: Editor) -> list[tuple[str, float]]:
+    """The word with its line ends joined, and with hyphens there, each with the editor's loss; the word itself without one."""
+    at = [i for i, c in enumerate(raw) if c == CUT]
+    if not at:
+        return [(raw, 0.0)]
+    loss = {"": 0.0, "-": 0.0}
+    for i in at:
+        scored = {k: v for v, k in editor.scores(raw, i)}
+        top = max(scored.get("", 0.0), scored.get("-", 0.0))
+        for k in loss:
+            loss[k] += top - scored.get(k, 0.0)
+    return [(raw.replace(CUT, k), v) for k, v in loss.items()]
+
+
 def readings(raw: str, editor: Editor, lexicon: dict[str, int]) -> list[tuple[str, float, bool]]:
     """``reading, loss, is_base`` of a stored word; the base readings are the word as stored or rejoined."""
-    cut = CUT in raw
-    bases = [raw.replace(CUT, ""), raw.replace(CUT, "-")] if cut else [raw]
+    bases = joins(raw, editor)
     out: dict[str, tuple[float, bool]] = {}
-    for base in bases:
-        out.setdefault(base.strip("!"), (0.0, True))
+    for base, cost in bases:
+        out.setdefault(base.strip("!"), (cost, True))
         parts = re.split(r"([-'’])", base)
         options: list[list[tuple[str, float]]] = []
         for part in parts:
@@ -473,7 +503,7 @@ def readings(raw: str, editor: Editor, lexicon: dict[str, int]) -> list[tuple[st
                 options.append([(part, 0.0)])
             else:
                 options.append([(part, 0.0), *editor.proposals(part)[:PART_READINGS]])
-        beam = [("", 0.0)]
+        beam = [("", cost)]
         for option in options:
             beam = sorted(((text + o, loss + d) for text, loss in beam for o, d in option), key=lambda x: x[1])[:WORD_READINGS]
         for text, loss in beam:

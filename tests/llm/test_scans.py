@@ -110,3 +110,17 @@ def test_labels_rebuild_the_word():
     for wrong, right in (("prornise", "promise"), ("thmk", "think"), ("clomain", "domain"), ("abc", "abc")):
         assert "".join(align(wrong, right)) == right
     assert align("abc", "vwxyz") is None
+
+
+def test_line_ends_are_joined_by_the_editor():
+    """The editor is trained on words cut at random and on compounds cut at their hyphens; neither test word is known."""
+    from colophon.llm.scans import CUT, joins, train_editor
+
+    firsts, lasts = ("counter", "self", "anti", "half"), ("memory", "image", "sense", "matter", "weight", "force", "truth", "light")
+    plain = [a + b for a in ("sur", "mar", "con", "per", "dis", "tran") for b in ("face", "gins", "duct", "form", "turb", "mission", "sition")]
+    lexicon = {f"{a}-{b}": 9 for a in firsts for b in lasts[:-1]} | dict.fromkeys(plain, 20)
+    editor = train_editor([], lexicon)
+    best = lambda raw: min(joins(raw, editor), key=lambda x: x[1])[0]
+    assert best(f"counter{CUT}light") == "counter-light" and best(f"self{CUT}light") == "self-light"
+    assert best(f"surd{CUT}uct") == "surduct" and best(f"mar{CUT}form") == "marform"
+    assert joins("whole", editor) == [("whole", 0.0)]
