@@ -13,6 +13,8 @@ from colophon.storage import written
 
 #: Floats of centroids that an executor may hold.
 MAX_FLOATS = 16_000_000
+#: Nodes of a source that one task clusters, and directions whose signs cut larger sources.
+CELL, BITS = 4096, 24
 
 
 def assign_centroids(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -91,16 +93,77 @@ def summary_level(nodes: DataFrame, clusters: DataFrame, level: int, summarize:
     return info.join(mean, ["source", "cluster"]).select(F.concat(F.lit(f"L{level}-"), F.substring(F.sha2(F.concat_ws("|", "source", F.array_join(ids, ",")), 256), 1, 16)).alias("id"), "source", F.lit(level).alias("level"), text.alias("text"), ids.alias("children_ids"), "page_start", "page_end", "embedding").where("length(text) > 0")
 
 
+def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Cluster numbers of rows; an empty cluster keeps its centroid, ties go to the lower one."""
+    c = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
+    label = np.full(len(x), -1)
+    for _ in range(rounds):
+        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
+        now = np.argmin(np.round(d, 9), axis=1)
+        if (now == label).all():
+            break
+        label = now
+        n = np.bincount(label, minlength=k)
+        sums = np.zeros_like(c)
+        np.add.at(sums, label, x)
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+    return label
+
+
+def clusters_within(nodes: DataFrame, size: int = 5, rounds: int = 20, seed: int = 42, cell: int = CELL) -> DataFrame:
+    """R40 inside each source: ``id, cluster`` with about ``size`` nodes a cluster.
+
+    ``nodes``: ``id, source, embedding``.  A source of more than ``cell`` nodes is cut by
+    the signs of fixed random directions into cells of near vectors, and a cell that
+    stays larger (near-equal vectors) by a hash of the id, so no task holds more than
+    about two cells and work grows with the number of nodes, not its square.  Nodes
+    without an embedding are in no cluster.
+    """
+    v = nodes.where(F.size("embedding") > 0).select("id", "source", F.col("embedding").cast("array<double>").alias("e"))
+    kind = v.schema["id"].dataType.simpleString()
+
+    def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            code = np.zeros(len(batch), np.int64)
+            for i, e in enumerate(batch["e"]):
+                if len(e) not in planes:
+                    planes[len(e)] = np.random.default_rng([seed, len(e)]).normal(size=(len(e), BITS))
+                code[i] = int("".join("1" if b else "0" for b in np.asarray(e) @ planes[len(e)] > 0), 2)
+            yield batch.assign(code=code)
+
+    marked = written(v.mapInPandas(signs, f"id {kind}, source string, e array<double>, code bigint"), "cells")
+    bits = F.least(F.lit(BITS), F.ceil(F.log2(F.ceil(F.count("*") / cell))).cast("int"))
+    per = marked.groupBy("source").agg(bits.alias("bits"))
+    celled = marked.join(per, "source").withColumn("cell", F.expr(f"shiftright(code, {BITS} - bits)"))
+    parts = celled.groupBy("source", "cell").agg(F.ceil(F.count("*") / (2 * cell)).alias("parts"))
+    ready = celled.join(parts, ["source", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
+        dims = rows["e"].map(len)
+        out = []
+        for dim, same in rows.groupby(dims, sort=True):
+            x = np.array(same["e"].tolist(), np.float64)
+            k = max(1, -(-len(x) // size)) if len(x) <= size else max(2, -(-len(x) // size))
+            label = _lloyd(x, k, rounds, np.random.default_rng(seed))
+            out.append(pd.DataFrame({"id": same["id"], "cluster": [f"{key[1]}.{key[2]}.{dim}.{j}" for j in label]}))
+        return pd.concat(out)
+
+    return ready.groupBy("source", "cell", "part").applyInPandas(run, f"id {kind}, cluster string")
+
+
 def summary_tree(leaves: DataFrame, levels: int = 3, least: int = 5) -> DataFrame:
-    """Leaves and up to three levels of parents; stops at ``least`` nodes; ceil(n / 5) clusters, two at least."""
+    """Leaves and up to three levels of parents, a tree for each source; a source stops at ``least`` nodes."""
     now, out = leaves, leaves.withColumn("level", F.lit(0)).withColumn("children_ids", F.array().cast("array<string>"))
     cols = ["id", "source", "level", "text", "children_ids", "page_start", "page_end", "embedding"]
     out = out.select(*cols[:-1], F.col("embedding").cast("array<double>").alias("embedding"))
     for level in range(1, levels + 1):
-        n = now.count()
-        if n <= least:
+        large = now.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > least).select("source")
+        going = now.join(large, "source", "left_semi")
+        if going.isEmpty():
             break
-        now = written(summary_level(now, kmeans(now, max(2, -(-n // 5))), level), f"tree{level}")
+        now = written(summary_level(going, clusters_within(going), level), f"tree{level}")
         out = out.unionByName(now.select(cols))
     return out
 

@@ -510,3 +510,20 @@ def summary_nodes(spark, d):
 @query(f"with {NODES} select source, count(*) as n from nd group by source having count(*) >= 20")
 def tree_sources(spark, d):
     return tree.sources_for_trees(_nodes(spark, d))
+
+
+@query(f"with {NODES} select source, count(*) as n, count(*) as clustered, true as small from nd group by source")
+def clustered_nodes(spark, d):
+    """Every node in one cluster inside its source; clusters of five on average."""
+    n = _nodes(spark, d).drop("cluster")
+    got = n.select("id", "source").join(tree.clusters_within(n), "id", "left")
+    per = got.groupBy("source").agg(F.count("*").alias("n"), F.count("cluster").alias("clustered"), F.countDistinct("cluster").alias("k"))
+    return per.select("source", "n", "clustered", (F.col("k") <= F.ceil(F.col("n") / 5)).alias("small"))
+
+
+@query(f"with {NODES} select source, count(*) as leaves, count(*) as children from nd group by source having count(*) > 5")
+def tree_coverage(spark, d):
+    """The leaves of each source's tree and the children of its first level."""
+    t = tree.summary_tree(_nodes(spark, d).drop("cluster"))
+    per = t.groupBy("source").agg(F.count_if(F.col("level") == 0).alias("leaves"), F.sum(F.when(F.col("level") == 1, F.size("children_ids"))).alias("children"))
+    return per.where("children is not null")
