@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,21 +30,27 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
     is bounded; each Arrow batch of rows is scored against a slice in one matrix product
     and sends on its own top k only.  Rows of another length or length 0 are no hits.
     """
-    asked = queries.select("query_id", "vector").where(F.size("vector") > 0).orderBy("query_id").toPandas()
-    if asked.empty:
+    asked = queries.select("query_id", "vector").where(F.size("vector") > 0)
+    first = asked.select(F.size("vector")).first()
+    if first is None:
         kind = queries.schema["query_id"].dataType.simpleString()
         return vectors.select(F.lit(None).cast(kind).alias("query_id"), F.col(key).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    dim = len(asked["vector"].iloc[0])
-    matrix = np.array(asked["vector"].tolist(), np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    ids = asked["query_id"].to_numpy()
+    dim = first[0]
     width = max(1, MAX_QUERY_FLOATS // dim)
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and unit vectors of at most ``width`` queries; the driver holds one slice at a time."""
+        rows = asked.orderBy("query_id").toLocalIterator()
+        while held := list(itertools.islice(rows, width)):
+            matrix = np.array([r["vector"] for r in held], np.float64)
+            yield np.array([r["query_id"] for r in held]), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
     key_type = vectors.schema[key].dataType.simpleString()
     id_type = queries.schema["query_id"].dataType.simpleString()
     slim = vectors.select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).where(F.size("v") == dim)
     parts = None
-    for i in range(0, len(ids), width):
-        held = vectors.sparkSession.sparkContext.broadcast((ids[i : i + width], matrix[i : i + width]))
+    for part in slices():
+        held = vectors.sparkSession.sparkContext.broadcast(part)
 
         def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             names, q = held.value

@@ -61,19 +61,21 @@ def containment_pairs(needles: DataFrame, hay: DataFrame, needle_key: str, hay_k
     one in fewest hays leads to its candidates, so a common turn of phrase leads
     nowhere.  Needles of fewer than five words are sought by one automaton.
     """
-    w = written(needles.select(needle_key, "k", words_in(F.col("k")).alias("w")), "needles")
-    big, small = w.where(F.size("w") >= SHINGLE + 2), w.where(F.size("w") < SHINGLE + 2)
-    inner = big.select(needle_key, F.slice("w", F.lit(2), F.size("w") - 2).alias("w")).select(needle_key, F.explode(shingles(F.col("w"))).alias("gram"))
+    # Keys get names of their own, so that a key may be called anything.
+    needles, hay = needles.select(F.col(needle_key).alias("_a"), F.col("k").alias("_nk")), hay.select(F.col(hay_key).alias("_b"), F.col("k").alias("_hk"))
+    w = written(needles.withColumn("_w", words_in(F.col("_nk"))), "needles")
+    big, small = w.where(F.size("_w") >= SHINGLE + 2), w.where(F.size("_w") < SHINGLE + 2)
+    inner = big.select("_a", F.slice("_w", F.lit(2), F.size("_w") - 2).alias("_w")).select("_a", F.explode(shingles(F.col("_w"))).alias("_gram"))
     # Keys move with the shingles, texts only to the candidates left.
-    hay_words = hay.select(hay_key, words_in(F.col("k")).alias("w"))
-    grams = written(hay_words.select(hay_key, F.explode(shingles(F.col("w"))).alias("gram")).join(inner.select("gram").distinct(), "gram", "left_semi"), "shingles")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = hay.select("_b", words_in(F.col("_hk")).alias("_w")).select("_b", F.explode(shingles(F.col("_w"))).alias("_gram")).join(inner.select("_gram").distinct(), "_gram", "left_semi")
+    grams = written(grams, "shingles")
+    counts = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
     # A needle with a shingle that no hay has is contained in none.
-    rarest = inner.join(counts, "gram", "left").groupBy(needle_key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select(needle_key, F.col("r.gram").alias("gram"))
-    near = grams.join(rarest, "gram").join(big.select(needle_key, F.col("k").alias("nk")), needle_key).select(needle_key, "nk", hay_key)
-    found = near.join(hay.select(hay_key, F.col("k").alias("hk")), hay_key).where(F.col("hk").contains(F.col("nk"))).select(needle_key, hay_key)
-    short = contained(hay.select(hay_key, F.col("k").alias("hk")), small, hay_key, "hk", "k")
-    return found.union(small.join(short, "k").select(needle_key, hay_key)).distinct()
+    rarest = inner.join(counts, "_gram", "left").groupBy("_a").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r")).where("_r.n > 0").select("_a", F.col("_r.gram").alias("_gram"))
+    near = grams.join(rarest, "_gram").join(big.select("_a", "_nk"), "_a").select("_a", "_nk", "_b")
+    found = near.join(hay, "_b").where(F.col("_hk").contains(F.col("_nk"))).select("_a", "_b")
+    short = contained(hay, small, "_b", "_hk", "_nk").join(small.select("_a", "_nk"), "_nk").select("_a", "_b")
+    return found.union(short).distinct().select(F.col("_a").alias(needle_key), F.col("_b").alias(hay_key))
 
 
 @F.pandas_udf(returnType=T.DoubleType())

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colophon.functions.text import unsafe_path
+from colophon.functions.text import clean_query, unsafe_path
 from colophon.operators import catalog, chunking, embed, telemetry, verify
+from colophon.operators.retrieve import quoted_phrase
 from colophon.plans.search import Settings, search
 from colophon.sources import collections
 
 
+#: Most sources that a question may ask to cover.
+MOST_SOURCES = 10_000
+
+
 def search_corpus(spark: SparkSession, store: str, collection: str, queries: DataFrame, source: str | None = None, top_k: int = 10, settings: Settings | None = None) -> DataFrame:
     """Search a collection; ``source`` filters afterwards, case aside (J6), as the reference does: fewer than k rows may remain."""
     chunks = collections.read(spark, store, collection).withColumnRenamed("id", "doc_id")
@@ -76,7 +81,10 @@ def cover_sources(find: Callable[[DataFrame, int], DataFrame], queries: DataFram
     ``find(queries_with_source, round)`` returns ``query_id, doc_id, source, ...``.
     """
     found = None
-    left = queries.crossJoin(F.broadcast(sources.select("source").distinct().limit(10_000)))  # the few works a question names
+    named = sources.select("source").distinct()
+    if named.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to cover")
+    left = queries.crossJoin(F.broadcast(named))  # the few works a question names
     for i in range(rounds):
         got = find(left, i)
         new = got if found is None else got.join(found.select("query_id", key), ["query_id", key], "left_anti")
@@ -109,6 +117,58 @@ def rename_conversations(conversations: DataFrame, changes: DataFrame) -> DataFr
     return catalog.merge(conversations, known, ["id"])
 
 
+def create_conversations(conversations: DataFrame, corpora: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q12: ``(conversations, refused)``: new rows (``id, corpus_id, title``) whose corpus exists are added; others, and ids that are taken, are refused."""
+    fits = new.join(corpora.select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi").join(conversations.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    refused = new.join(fits.select("id"), "id", "left_anti")
+    return conversations.unionByName(fits.select(*[c for c in conversations.columns if c in fits.columns]), allowMissingColumns=True), refused
+
+
+def delete_conversations(conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Q12, Q9: ``(conversations, messages, unknown)`` after deletion by ``id``; messages go with their conversation."""
+    unknown = gone.join(conversations.select("id"), "id", "left_anti")
+    kept = catalog.cascade_delete(messages, gone, "conversation_id")
+    return conversations.join(gone.select("id"), "id", "left_anti"), kept, unknown
+
+
+def reingest(documents: DataFrame, jobs: DataFrame, corpora: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Q13: ``(documents, jobs)``: the documents of the given corpora (``id``) are pending again, and each corpus gets a new pending job."""
+    hit = documents.join(corpora.select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi").select("id", F.lit("pending").alias("status"))
+    counts = documents.join(corpora.select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi").groupBy("corpus_id").agg(F.count("*").alias("total_files"))
+    new = corpora.select(F.col("id").alias("corpus_id")).distinct().join(counts, "corpus_id", "left").select(
+        collections.stable_id("corpus_id", now.cast("string")).alias("id"), "corpus_id", F.lit("pending").alias("status"), F.coalesce("total_files", F.lit(0)).alias("total_files"), F.lit(0).cast("long").alias("completed_files"), now.alias("created_at")
+    )
+    return catalog.merge(documents, hit, ["id"]), jobs.unionByName(new)
+
+
+def resume_job(jobs: DataFrame, log: DataFrame) -> DataFrame:
+    """The job to take up with ``completed_files`` as the log of finished files (``corpus_id, path``) has it."""
+    done = log.groupBy("corpus_id").agg(F.countDistinct("path").alias("_done"))
+    return catalog.claim_oldest(jobs).join(done, "corpus_id", "left").withColumn("completed_files", F.coalesce("_done", F.lit(0))).withColumn("status", F.lit("running")).drop("_done")
+
+
+def cached_answers(queries: DataFrame, cache: DataFrame, now, seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """``(answered, left)``: queries with the stored result of the same cleaned query, not older than ``seconds``; quoted phrases are always asked anew.
+
+    ``queries``: ``query_id, query``; ``cache``: ``key, result, at``; the newest entry of a key counts.
+    """
+    key = clean_query(F.col("query"))
+    fresh = cache.where(F.unix_timestamp(now) - F.unix_timestamp("at") <= seconds)
+    fresh = fresh.groupBy("key").agg(F.max(F.struct("at", "result"))["result"].alias("result"))
+    keyed = queries.withColumn("key", F.when(quoted_phrase(F.col("query")).isNull(), key))
+    return keyed.join(fresh, "key").select("query_id", "query", "result"), keyed.join(fresh.select("key"), "key", "left_anti").select("query_id", "query")
+
+
+def filter_by_metadata(rows: DataFrame, needle: DataFrame, column: str = "source") -> DataFrame:
+    """Rows whose column contains its query's string, case aside; all rows of a query where none does.
+
+    ``rows``: ``query_id, ...``; ``needle``: ``query_id, wanted``.
+    """
+    held = rows.join(needle, "query_id", "left").withColumn("_hit", F.coalesce(F.lower(column).contains(F.lower("wanted")), F.lit(False)))
+    any_hit = F.max("_hit").over(Window.partitionBy("query_id"))
+    return held.withColumn("_any", any_hit).where("_hit or not _any").drop("_hit", "_any", "wanted")
+
+
 def newest_jobs(jobs: DataFrame) -> DataFrame:
     """Q6: each corpus' latest job."""
     order = Window.partitionBy("corpus_id").orderBy(F.desc("created_at"), F.desc("id"))

@@ -222,6 +222,54 @@ def golden_changes(spark, d):
     return api.golden_diff(c.select(F.col("id").alias("k"), F.lower("filename").alias("v")), c.where("chunks > 50").select(F.col("id").alias("k"), F.col("filename").alias("v")), ["k"], "v")
 
 
+@query("with n as (select 'new' || id as id, corpus_id, title from conversation union all select 'lost' || id, 'nowhere', title from conversation union all select id, corpus_id, title from conversation) select id, title from conversation union all select id, title from n where starts_with(id, 'new') and corpus_id in (select id from corpus)")
+def created_conversations(spark, d):
+    c = table(spark, d, "conversation").select("id", "corpus_id", "title")
+    new = c.withColumn("id", F.concat(F.lit("new"), "id")).union(c.select(F.concat(F.lit("lost"), "id"), F.lit("nowhere"), "title")).union(c)
+    return api.create_conversations(c, table(spark, d, "corpus"), new)[0].select("id", "title")
+
+
+@query("select id, conversation_id from message where conversation_id is null or conversation_id not in (select id from conversation where mode = 'general')")
+def deleted_conversations(spark, d):
+    c = table(spark, d, "conversation")
+    gone = c.where("mode = 'general'").select("id").union(spark.createDataFrame([("nobody",)], "id string"))
+    return api.delete_conversations(c, table(spark, d, "message").select("id", "conversation_id"), gone)[1]
+
+
+@query("select c.id as corpus_id, count(d.id) as total_files, 'pending' as status from corpus c left join catalog_document d on d.corpus_id = c.id where c.status <> 'ready' group by c.id")
+def reingested_corpora(spark, d):
+    empty = spark.createDataFrame([], "id string, corpus_id string, status string, total_files bigint, completed_files bigint, created_at timestamp")
+    docs, jobs = api.reingest(table(spark, d, "catalog_document").select("id", "corpus_id", "status"), empty, table(spark, d, "corpus").where("status <> 'ready'"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    n = docs.where("status = 'pending'").groupBy("corpus_id").agg(F.count("*").alias("n"))
+    return jobs.join(n, "corpus_id", "left").select("corpus_id", F.coalesce("n", F.lit(0)).alias("total_files"), "status")
+
+
+@query("with j as (select id, corpus_id, created_at, case when chunks % 5 = 0 then 'running' else 'done' end as status from catalog_document where chunks is not null), k as (select id, corpus_id from j where status = 'running' order by created_at, id limit 1) select k.id, k.corpus_id, (select count(distinct filename) from catalog_document d where d.corpus_id = k.corpus_id) as completed_files from k")
+def resumed_job(spark, d):
+    c = table(spark, d, "catalog_document")
+    jobs = c.where("chunks is not null").select("id", "corpus_id", "created_at", F.when(F.col("chunks") % 5 == 0, "running").otherwise("done").alias("status"))
+    return api.resume_job(jobs, c.select("corpus_id", F.col("filename").alias("path"))).select("id", "corpus_id", "completed_files")
+
+
+@query("select item_id as query_id, source as result from eval_item where item_id % 3 = 0 and not regexp_matches(query, '\"[^\"]{10,}\"') and not regexp_matches(query, '“[^”]{10,}”') and source is not null")
+def cached_results(spark, d):
+    """Results stored for every third question, ten minutes ago; older ones for all count no more."""
+    from colophon.functions.text import clean_query
+
+    e = table(spark, d, "eval_item").where("source is not null")
+    now = F.lit("2024-01-01 02:00:00").cast("timestamp")
+    entry = lambda x, at, r: x.select(clean_query(F.concat(F.col("query"), F.lit(" #"), F.col("item_id").cast("string"))).alias("key"), r.alias("result"), F.lit(at).cast("timestamp").alias("at"))
+    cache = entry(e.where("item_id % 3 = 0"), "2024-01-01 01:50:00", F.col("source")).union(entry(e, "2023-12-31 00:00:00", F.lit("stale")))
+    asked = e.select(F.col("item_id").alias("query_id"), F.concat(F.col("query"), F.lit(" #"), F.col("item_id").cast("string")).alias("query"))
+    return api.cached_answers(asked, cache, now)[0].select("query_id", "result")
+
+
+@query("with r as (select heading as query_id, chunk_id, min(source) as source from chunk_result where heading is not null group by all), m as (select *, coalesce(contains(lower(source), lower(split_part(query_id, ' ', 1))), false) as hit from r), a as (select *, max(hit) over (partition by query_id) as any_hit from m) select query_id, chunk_id from a where hit or not any_hit")
+def metadata_filter(spark, d):
+    r = table(spark, d, "chunk_result").where("heading is not null").groupBy(F.col("heading").alias("query_id"), "chunk_id").agg(F.min("source").alias("source"))
+    return api.filter_by_metadata(r, r.select("query_id", F.substring_index("query_id", " ", 1).alias("wanted")).distinct()).select("query_id", "chunk_id")
+
+
 # --- streams ---------------------------------------------------------------------------
 
 

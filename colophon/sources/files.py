@@ -11,7 +11,6 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -219,12 +218,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def yaml_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    """``canonical_id, label, type, aliases, load_order`` of all ``*.yml`` in order of name; entries without id are left out."""
+    """``canonical_id, label, type, aliases, load_order`` of all ``*.yml`` in order of name; entries without id are left out.
+
+    The folder may be on any file system that Spark reads; a gazetteer's files are few and small.
+    """
     import yaml
 
     rows = []
-    for path in sorted(Path(folder).glob("*.yml")):
-        for section in (yaml.safe_load(path.read_text("utf-8")) or {}).values():
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.yml").select(F.col("_metadata.file_name").alias("name"), "value")
+    for _, content in sorted((r["name"], r["value"]) for r in found.collect()):
+        for section in (yaml.safe_load(content) or {}).values():
             for e in section if isinstance(section, list) else []:
                 if isinstance(e, dict) and e.get("canonical_id"):
                     rows.append((e["canonical_id"], e.get("label", e["canonical_id"]), e.get("type", "TERM"), list(e.get("aliases") or []), len(rows)))
