@@ -190,11 +190,6 @@ def text_strip_markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.strip_markdown(F.col("text"))).alias("key"))
 
 
-@query()
-def text_clean(spark, d):
-    return _documents(spark, d).select("doc_id", text.clean_for_ingestion(F.col("text")).alias("clean"))
-
-
 @query(r"""select id, regexp_replace(content, '(?s)<think>.*?</think>\s*', '', 'g') as content from message""")
 def message_without_think(spark, d):
     return table(spark, d, "message").select("id", text.drop_think(F.col("content")).alias("content"))

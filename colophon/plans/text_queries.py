@@ -31,6 +31,50 @@ HYPHENS = (
 )
 
 
+def _unicode(column: str) -> str:
+    """T1 in SQL: compatibility forms of widths, ligatures, spaces and the ellipsis by table; the operator maps all of Unicode."""
+    wide = {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)} | {chr(0x3000): " "}
+    out = f"nfc_normalize({column})"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."), ("²", "2"), ("³", "3"), ("¹", "1"), ("ª", "a"), ("º", "o")):
+        out = f"replace({out}, '{a}', '{b}')"
+    out = f"translate({out}, '{''.join(wide)}', '{''.join(wide.values()).replace(chr(39), chr(39) * 2)}')"
+    out = f"regexp_replace({out}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}]', ' ', 'g')"
+    out = f"translate({out}, '{text.SINGLE_QUOTES}{text.DOUBLE_QUOTES}', '{chr(39) * 2 * len(text.SINGLE_QUOTES)}{chr(34) * len(text.DOUBLE_QUOTES)}')"
+    out = f"regexp_replace({out}, '[—–]', '--', 'g')"
+    return f"regexp_replace({out}, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{200E}}\\x{{200F}}\\x{{FEFF}}\\x{{AD}}]', '', 'g')"
+
+
+def _ocr(column: str) -> str:
+    """T2 in SQL; RE2 has no lookahead, so what follows is taken along."""
+    edge = "(^|[^" + WORD[1:-1] + "])"
+    out = column
+    for followers in text.RN_FOLLOWERS:
+        out = f"regexp_replace({out}, '{edge}rn({followers})', '\\1m\\2', 'g')"
+    out = f"regexp_replace({out}, '{edge}cl({text.CL_FOLLOWERS})', '\\1d\\2', 'g')"
+    out = f"regexp_replace({out}, 'tli({text.LI_FOLLOWERS})', 'th\\1', 'g')"
+    out = f"regexp_replace({out}, '({SPACE})~({SPACE})', '\\1\\2', 'g')"
+    for broken, whole in text.BROKEN_WORDS.items():
+        out = f"replace({out}, '{broken}', '{whole}')"
+    return out
+
+
+WHITE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\f\v]', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '[\t\r\p{Zs}\x{85}\x{2028}\x{2029}]+\n', chr(10), 'g'), '[\t\r\p{Zs}\x{85}\x{2028}\x{2029}]+$', '')"
+MARKS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\.{3,}', '...', 'g'), '-{3,}', '---', 'g'), '_{3,}', '___', 'g'), ' {3,}', '  ', 'g')"
+
+
+@query(f"with {CHUNK_TEXTS} select chunk_id, md5({_unicode('text')}) as forms, md5({_ocr('text')}) as repaired, md5({_on(SQUEEZE, 'lower(' + _ocr(_unicode('text')) + ')')}) as compared from c")
+def text_forms(spark, d):
+    """Compatibility forms, scan repairs, and the key for comparison."""
+    t = F.col("text")
+    c = table(spark, d, "chunk_result").select("chunk_id", "text").distinct()
+    return c.select("chunk_id", F.md5(text.normalize_unicode(t)).alias("forms"), F.md5(text.repair_ocr(t)).alias("repaired"), F.md5(text.normalize_for_comparison(t)).alias("compared"))
+
+
+@query(f"select doc_id, {_on(MARKS, _on(WHITE, _on(HYPHENS, _ocr(_unicode('text')))))} as clean from documents")
+def text_clean(spark, d):
+    return _documents(spark, d).select("doc_id", text.clean_for_ingestion(F.col("text")).alias("clean"))
+
+
 @query(f"with {CHUNK_TEXTS} select chunk_id, md5({_on(HYPHENS, 'text')}) as key from c")
 def text_hyphenation(spark, d):
     c = table(spark, d, "chunk_result").select("chunk_id", "text").distinct()
