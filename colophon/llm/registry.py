@@ -171,7 +171,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     from colophon.llm.stuffing import score_pages
 
-    return score_pages(table(spark, folder, "documents"))
+    return score_pages(table(spark, folder, "documents")).select("doc_id", F.round("mean_pmi", 4).alias("mean_pmi"), F.round("stuffed", 4).alias("stuffed"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -222,8 +222,8 @@ select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 5"
 
 # Mean PMI of neighbours in exact counts; 10 pairs on either side, 4 bits, half of the text.
 STUFFED = r"""with rep as (select row_number() over () as id, text from (select min(text) as text from documents group by case when trim(regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g')) <> '' then regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g') else text end)),
-cut as (select false as own, doc_id as id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|\p{L}+') as l from documents
-  union all select true, id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|\p{L}+') from rep),
+cut as (select false as own, doc_id as id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|[\p{L}\x{300}-\x{36F}]+') as l from documents
+  union all select true, id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|[\p{L}\x{300}-\x{36F}]+') from rep),
 tok as (select own, id, i, length(t) + 1 as w, case when regexp_matches(t, '^(https?://|www\.)') then '\url' when t[1] = '#' then '\tag' else t end as t from (select own, id, generate_subscripts(l, 1) as i, unnest(l) as t from cut)),
 nx as (select *, lead(t) over (partition by own, id order by i) as u from tok),
 wd as (select t, count(distinct id) as n from nx where own group by t),
@@ -244,6 +244,7 @@ def _form(text: str) -> str:
     from colophon.llm.unify import ARMENIAN, CHEROKEE, CYRILLIC, GREEK, OTHER
 
     alike = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
+    alike |= {"ό": "ó", "ά": "á", "ί": "í", "ύ": "ú", "ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï"}  # composed ones
     out = f"regexp_replace({text}, '[\\p{{Cf}}\\x{{34F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}]', '', 'g')"
     for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("\r\n", "\n"), ("\r", "\n"), ("\u2028", "\n"), ("\u2029", "\n"), ("\x85", "\n")):
         out = f"replace({out}, '{joined}', '{letters}')"
@@ -256,7 +257,16 @@ ALIKE = f"""with t as (select distinct 'chunk_result' as table_name, chunk_id as
 m as (select * from t where regexp_matches(form, '\\S'))
 """
 
+SCORES = (
+    STUFFED[: STUFFED.index("select id as doc_id from s")]
+    + """, f as (select id, sum(case when e < -4.0 * ew then w else 0 end) / sum(w) as stuffed from s group by id),
+m as (select id, avg(log2((greatest(m - 1, 0) + 0.5) / pairs * scale) - rate - rate2) as mean_pmi from q where u is not null group by id)
+select doc_id, round(mean_pmi, 4) as mean_pmi, round(coalesce(stuffed, 0.0), 4) as stuffed from documents left join f on f.id = doc_id left join m on m.id = doc_id"""
+)
+
 SQL: dict[str, str] = {
+    "p9_scores": SCORES,
+    "p6_texts": ALIKE[: ALIKE.index(",\nm as")].replace("distinct ", "").replace("union ", "union all ").replace(" and chunk_id is not null", "").replace(" and id is not null", "").replace(" where text is not null", "").replace(" where content is not null", "") + " select table_name, id, form as canonical from t",
     "p6_found": ALIKE + "select distinct a.table_name, a.id as id_a, b.id as id_b from m a join m b on a.table_name = b.table_name and a.form = b.form and a.id < b.id and a.s <> b.s",
     "p6_classes": ALIKE + ", c as (select table_name, form, min(id) as class_id, count(distinct s) as texts from m group by table_name, form having count(distinct s) > 1) select distinct table_name, id, class_id, texts from m join c using (table_name, form)",
     "p8_kept": "select source, true as cap_kept, true as share_kept from mix_target where source in (select source from documents where length(text) > 0)",
