@@ -133,7 +133,10 @@ def verify_quotes(quotes: DataFrame, chunks: DataFrame, fuzzy: bool = True, cand
     )
     if candidates is not None:
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.desc("n"), "chunk_ord"))).where(F.col("r") <= candidates)
-    scored = near.join(left.select("quote_id", F.col("k").alias("q")), "quote_id").join(hay.select("chunk_ord", F.col("k").alias("t")), "chunk_ord").withColumn("s", window_ratio("q", "t"))
+    paired = near.join(left.select("quote_id", F.col("k").alias("q")), "quote_id").join(hay.select("chunk_ord", F.col("k").alias("t")), "chunk_ord")
+    # Few bytes but much work a pair: all cores take part whatever the size.
+    cores = max(paired.sparkSession.sparkContext.defaultParallelism, int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = paired.repartition(cores, "quote_id", "chunk_ord").withColumn("s", window_ratio("q", "t"))
     best = scored.groupBy("quote_id").agg(F.max(F.struct("s", (-F.col("chunk_ord")).alias("o"))).alias("b")).select("quote_id", F.col("b.s").alias("s"), (-F.col("b.o")).alias("chunk_ord"))
     graded = best.join(info, "chunk_ord").select("quote_id", F.when(F.col("s") >= FUZZY, "approximate").otherwise("unverified").alias("status"), F.when(F.col("s") >= FUZZY, F.col("source")).alias("source"), F.when(F.col("s") >= FUZZY, F.col("page")).alias("page"), F.round("s", 4).alias("similarity"))
     missing = none.join(graded.select("quote_id"), "quote_id", "left_anti")
