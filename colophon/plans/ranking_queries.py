@@ -138,7 +138,7 @@ def three_lists(spark, d):
 
 FULL = f"""{BM25}, {KIND}, {DENSE}, dense_d as (select ds.*, row_number() over (partition by query_id order by score desc, doc_id) - 1 as rank from ds join documents using (doc_id)),
 {_fused('f', [('dense_d', 'case when lex then 0.35 else 0.7 end', 200), ('bm25', 'case when lex then 0.65 else 0.3 end', 200)])},
-win as (select query_id, 1000000 + doc_id as doc_id, rank from dense where rank < 200), {_fused('g', [('f', '1.0', 1000000), ('win', '0.7', 200)])},
+win as (select query_id, 1000000 + doc_id as doc_id, rank from dense_d where rank < 200), {_fused('g', [('f', '1.0', 1000000), ('win', '0.7', 200)])},
 top as (select query_id, doc_id, rank, query, text, source from g join (select doc_id, text, source from documents union all select 1000000 + vec_id, text, source from embeddings join documents on doc_id = vec_id) using (doc_id) join (select item_id as query_id, query from eval_item) using (query_id) where rank < 200 and not regexp_matches(query, '"[^"]{{10,}}"') and not regexp_matches(query, '“[^”]{{10,}}”')),
 {_passage('top')}, r as (select query_id, doc_id, source, round(score14, 6) as rerank_score, row_number() over (partition by query_id order by round(score14, 6) desc, rank) - 1 as rank from pscore)"""
 
