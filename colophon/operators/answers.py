@@ -67,7 +67,7 @@ def chunks_per_work(chunks: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def evidence_line(work: Column, quote: Column, page: Column, gloss: Column, no_chunks: Column) -> Column:
-    """One bullet; empty without a work."""
+    """One bullet; empty without a work.  The phrases are fixed values."""
     w, q, p, g = (F.trim(F.coalesce(c, F.lit(""))) for c in (work, quote, page, gloss))
     q = F.regexp_replace(q, '^["“”]+|["“”]+$', "")
     start = F.concat(F.lit("- **"), w, F.lit(":** "))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Where a sentence ends, and what a Markdown heading is.
 SENTENCE = r"(?<=[.!?])\s+"
 HEADER = r"(?m)^(#{1,6})\s+(.+)$"
 

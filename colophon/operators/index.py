@@ -7,7 +7,7 @@ terms.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,15 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), "[-–—]", " "), F.lit(r"\p{L}{2,}"), F.lit(0))
 
 
+def spaced_words(text: Column) -> Column:
+    """The evaluation's tokens: lower case, between white space."""
+    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+
+
+#: How a text becomes tokens.
+Tokens = Callable[[Column], Column]
+
+
 def searchable_text(text: Column, prefix: Column | None = None) -> Column:
     """The text a chunk is indexed by: its context prefix, if any, before it."""
     return text if prefix is None else F.when(F.length(prefix) > 0, F.concat_ws("\n\n", prefix, text)).otherwise(text)
@@ -41,18 +50,18 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc).alias("doc_id"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def doc_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def doc_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokens: Tokens = tokenize) -> DataFrame:
     """``doc_id, dl``: tokens of every document; no shuffle."""
-    return docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.size(tokenize(F.col(text))), F.lit(0)).alias("dl"))
+    return docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("dl"))
 
 
-def _counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+def _counts(docs: DataFrame, doc: str, text: str, tokens: Tokens = tokenize) -> DataFrame:
     """``term, df, total``: documents of each term; under the empty term all documents and all tokens.
 
     One pass: distinct terms of a document are taken inside its row, its length rides
     along, and only partial counts move.
     """
-    w = docs.select(tokenize(F.col(text)).alias("w"))
+    w = docs.select(tokens(F.col(text)).alias("w"))
     whole = F.array(F.struct(F.lit("").alias("term"), F.coalesce(F.size("w"), F.lit(0)).alias("n")))
     rows = w.select(F.explode(F.concat(whole, F.coalesce(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))), F.array().cast("array<struct<term:string,n:int>>")))).alias("x"))
     return rows.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.n").alias("total"))
@@ -65,26 +74,26 @@ def _idf(counts: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, NEGATIVE_SHARE * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def term_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def term_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokens: Tokens = tokenize) -> DataFrame:
     """``term, df, idf``: the negative idf of a term in most documents becomes a quarter of the mean."""
-    return _idf(written(_counts(docs, doc, text), "terms"))
+    return _idf(written(_counts(docs, doc, text, tokens), "terms"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", tokens: Tokens = tokenize) -> DataFrame:
     """``query_id, doc_id, score`` of every document that shares a term with a query; repeated query words count."""
-    wanted = queries.select(F.col(query).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = wanted.join(term_stats(docs, doc, text), "term")
+    wanted = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weighted = wanted.join(term_stats(docs, doc, text, tokens), "term")
     terms = wanted.select("term").distinct()
     # Only the queries' terms become postings; the rest never reaches a shuffle.
     # The length is taken below the explode, once a document, not above it once a token.
-    tokens = docs.select(F.col(doc).alias("doc_id"), tokenize(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
+    cut = docs.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
     used = (
-        tokens.select("doc_id", "dl", F.explode("w").alias("term"))
+        cut.select("doc_id", "dl", F.explode("w").alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("doc_id", "term", "dl")
         .agg(F.count("*").alias("tf"))
     )
-    average = doc_lengths(docs, doc, text).agg(F.avg("dl").alias("avgdl"))
+    average = doc_lengths(docs, doc, text, tokens).agg(F.avg("dl").alias("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return weighted.join(used, "term").crossJoin(F.broadcast(average)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
@@ -95,7 +104,7 @@ def top_per_query(scores: DataFrame, k: int, by: str = "score", doc: str = "doc_
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", tokens: Tokens = tokenize) -> DataFrame:
     """``query_id, doc_id, score, rank``: BM25 top k of every query; ties by document.
 
     A set of queries whose terms fit in memory (``MAX_CELLS``) goes to the executors as
@@ -104,11 +113,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_
     top k of each query is shuffled.  A larger set of queries takes the join of
     :func:`bm25_scores`.  Rows without a document id are no hits.
     """
-    wanted = queries.select(F.col(query).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     size = wanted.agg(F.countDistinct("query_id").alias("q"), F.countDistinct("term").alias("t")).first()
     if size["q"] * size["t"] > MAX_CELLS or size["t"] > MAX_TERMS or not size["q"]:
-        return top_per_query(bm25_scores(docs, queries, doc, text, query, query_text), k)
-    counts = written(_counts(docs, doc, text), "terms")
+        return top_per_query(bm25_scores(docs, queries, doc, text, query, query_text, tokens), k)
+    counts = written(_counts(docs, doc, text, tokens), "terms")
     stats = wanted.join(_idf(counts), "term").select("query_id", "term", "qtf", "idf").toPandas()
     average = (counts.where("term = ''").select(F.col("total") / F.col("df")).first() or (None,))[0] or 1.0
     terms = sorted(set(stats["term"]))
@@ -152,7 +161,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_
 
     spec = f"query_id {id_kind}, doc_id {kind}, score double"
     shape = to_arrow_schema(_parse_datatype_string(spec))
-    rows = docs.select(F.col(doc).alias("doc_id"), tokenize(F.col(text)).alias("w")).where("doc_id is not null and w is not null")
+    rows = docs.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("w")).where("doc_id is not null and w is not null")
     return top_per_query(rows.mapInArrow(score, spec), k)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.functions.text import normalize_for_matching
+from colophon.functions.text import normalize_for_comparison, normalize_for_matching
 
 
 def judge(results: DataFrame, golds: DataFrame) -> DataFrame:
@@ -190,6 +190,91 @@ def citation_outcome(n_quotes: Column, text: Column) -> Column:
     return F.when(n_quotes > 0, "QUOTED").when(F.lower(text).contains("could not find"), "ABSTAINED").otherwise("NO_QUOTES")
 
 
+def work_fragment(source: Column) -> Column:
+    """What an answer must name of a work: up to the first `` - `` and a fixed word, 20 characters at most, in lower case."""
+    return F.substring(F.lower(F.trim(F.substring_index(F.substring_index(source, " - ", 1), "Capitalism", 1))), 1, 20)
+
+
+def _named_works(text: Column, works: Column) -> Column:
+    low = F.lower(text)
+    return F.size(F.filter(works, lambda w: low.contains(work_fragment(w))))
+
+
+def _quote_counts(quotes: DataFrame) -> DataFrame:
+    return quotes.groupBy("query_id").agg(F.count("*").alias("_n"), F.count_if("verified").alias("_ok"))
+
+
+def exhaustive_scores(answers: DataFrame, quotes: DataFrame, expected: DataFrame) -> DataFrame:
+    """``query_id, quotes, raw_quotes, hallucinated, verify_rate, source_coverage, term_coverage, meets_minimum``.
+
+    ``answers``: ``query_id, text``; ``quotes``: ``query_id, verified`` of each quote found;
+    ``expected``: ``query_id, expected_sources, expected_terms, min_citations``.  Quotes that
+    no chunk confirms are set aside first, so the rest are all verified.
+    """
+    j = answers.join(expected, "query_id").join(_quote_counts(quotes), "query_id", "left").na.fill(0, ["_n", "_ok"])
+    low = F.lower("text")
+    terms = F.coalesce("expected_terms", F.array().cast("array<string>"))
+    works = F.coalesce("expected_sources", F.array().cast("array<string>"))
+    share = lambda a, b: F.round(a / F.greatest(F.size(b), F.lit(1)), 3)
+    return j.select(
+        "query_id", F.col("_ok").alias("quotes"), F.col("_n").alias("raw_quotes"), (F.col("_n") - F.col("_ok")).alias("hallucinated"),
+        F.when(F.col("_ok") > 0, 1.0).otherwise(0.0).alias("verify_rate"), share(_named_works(F.col("text"), works), works).alias("source_coverage"),
+        share(F.size(F.filter(terms, lambda t: low.contains(F.lower(t)))), terms).alias("term_coverage"), (F.col("_ok") >= F.coalesce("min_citations", F.lit(3))).alias("meets_minimum"),
+    )
+
+
+def precis_scores(answers: DataFrame, quotes: DataFrame, expected: DataFrame) -> DataFrame:
+    """``query_id, quotes, verified, verify_rate, works_cited, meets_works, has_drift, stage_coverage, meets_quotes``.
+
+    ``expected``: ``query_id, works_required, expected_stages, min_works_cited, min_quotes``.
+    """
+    j = answers.join(expected, "query_id").join(_quote_counts(quotes), "query_id", "left").na.fill(0, ["_n", "_ok"])
+    text = F.col("text")
+    works = F.size(F.array_distinct(F.filter(F.coalesce("works_required", F.array().cast("array<string>")), lambda w: F.lower(text).contains(work_fragment(w)))))
+    return j.select(
+        "query_id", F.col("_n").alias("quotes"), F.col("_ok").alias("verified"), F.round(F.col("_ok") / F.greatest("_n", F.lit(1)), 3).alias("verify_rate"), works.alias("works_cited"),
+        (works >= F.coalesce("min_works_cited", F.lit(2))).alias("meets_works"), (drift_markers(text) >= 2).alias("has_drift"), stage_coverage(text, F.coalesce("expected_stages", F.array().cast("array<string>"))).alias("stage_coverage"),
+        (F.col("_n") >= F.coalesce("min_quotes", F.lit(3))).alias("meets_quotes"),
+    )
+
+
+def general_scores(answers: DataFrame, quotes: DataFrame, expected: DataFrame, context: DataFrame) -> DataFrame:
+    """``query_id, quote_count, verified_quotes, verification_rate, page_accuracy, concept_coverage, expected_quote_coverage``.
+
+    ``answers``: ``query_id, text, cited_pages``; ``expected``: ``query_id,
+    expected_pages, expected_concepts, expected_quotes``; ``context``: ``query_id, text``,
+    the chunks retrieved for the question.  An expected quote counts by its first 30
+    normalised characters.
+    """
+    wanted = expected.select("query_id", F.explode("expected_quotes").alias("q")).select("query_id", F.substring(normalize_for_comparison(F.col("q")), 1, 30).alias("q"))
+    seen = wanted.join(context.select("query_id", normalize_for_comparison(F.col("text")).alias("t")), "query_id").groupBy("query_id", "q").agg(F.max(F.col("t").contains(F.col("q"))).alias("hit")).groupBy("query_id").agg(F.count_if("hit").alias("_hits"))
+    j = answers.join(expected, "query_id").join(_quote_counts(quotes), "query_id", "left").join(seen, "query_id", "left").na.fill(0, ["_n", "_ok", "_hits"])
+    share = lambda a, b: F.when(F.size(b) > 0, F.round(a / F.size(b), 3)).otherwise(F.lit(0.0))
+    low, pages = F.lower("text"), F.col("expected_pages")
+    right = F.size(F.filter("cited_pages", lambda p: F.array_contains(pages, p)))
+    return j.select(
+        "query_id", F.col("_n").alias("quote_count"), F.col("_ok").alias("verified_quotes"), F.coalesce(F.col("_ok") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0)).alias("verification_rate"),
+        F.when(F.size(pages) > 0, share(right, F.col("cited_pages"))).otherwise(F.lit(0.0)).alias("page_accuracy"),
+        share(F.size(F.filter("expected_concepts", lambda c: low.contains(F.lower(c)))), F.col("expected_concepts")).alias("concept_coverage"), share(F.col("_hits"), F.col("expected_quotes")).alias("expected_quote_coverage"),
+    )
+
+
+def citation_scores(answers: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``query_id, status, num_quotes, grounded_cited, grounded_expected, grounded_pdf, ground_truth, page_exact, page_near``.
+
+    ``answers``: ``query_id, text, expected_page``; ``quotes``: ``query_id, cited_page,
+    on_cited, on_expected, in_source, like_gold``, each quote's ratios (:func:`verify.page_ratio`).
+    The best of each counts; answers without quotes have nulls.
+    """
+    best = lambda c: F.round(F.max(c), 3)
+    j = quotes.join(answers.select("query_id", "expected_page"), "query_id")
+    near = F.coalesce(F.max((F.col("cited_page") > 0) & (F.abs(F.col("cited_page") - F.col("expected_page")) <= 1)), F.lit(False))
+    per = j.groupBy("query_id").agg(F.count("*").alias("num_quotes"), best("on_cited").alias("grounded_cited"), best("on_expected").alias("grounded_expected"), best("in_source").alias("grounded_pdf"), best("like_gold").alias("ground_truth"), F.coalesce(F.max(F.col("cited_page") == F.col("expected_page")), F.lit(False)).alias("page_exact"), near.alias("page_near"))
+    out = answers.join(per, "query_id", "left")
+    n = F.coalesce("num_quotes", F.lit(0))
+    return out.select("query_id", citation_outcome(n, F.col("text")).alias("status"), n.alias("num_quotes"), "grounded_cited", "grounded_expected", "grounded_pdf", "ground_truth", "page_exact", "page_near")
+
+
 # Words that mark a change from work to work.
 DRIFT = ("shift", "contrast", "earlier", "later", "transform", "develop", "evolve", "change", "building on", "unlike", "whereas", "moved from", "marks a", "depart", "extend", "expand", "narrow", "different")
 

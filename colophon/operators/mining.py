@@ -1,4 +1,4 @@
-"""Gold sets and page metadata by mining."""
+"""Gold sets and page metadata by mining."""
 
 from __future__ import annotations
 
@@ -100,6 +100,38 @@ def verify_golds(golds: DataFrame, pages: DataFrame) -> DataFrame:
     return g.select("item_id").join(hit, "item_id", "left").select("item_id", F.when(F.col("whole"), "whole").when(F.col("head"), "head").otherwise("missing").alias("found"))
 
 
+def mined_entities(tags: DataFrame, least: int = 2) -> DataFrame:
+    """``query_id, entities``: ids in at least ``least`` of a question's chunks, the most frequent first, then by id.
+
+    ``tags``: ``query_id, chunk, canonical_id``; the gazetteer bounds a question's list.
+    """
+    n = tags.select("query_id", "chunk", "canonical_id").distinct().groupBy("query_id", "canonical_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "canonical_id"))), lambda x: x["canonical_id"]).alias("entities"))
+
+
+def mined_spans(spans: DataFrame, most: int = 5, least: int = 2) -> DataFrame:
+    """``query_id, spans``: the ``most`` best spans of a question's chunks by number of chunks, then length, then name; in ``least`` chunks at least.
+
+    ``spans``: ``query_id, chunk, span``.
+    """
+    n = spans.where(F.length("span") > 0).select("query_id", "chunk", "span").distinct().groupBy("query_id", "span").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc(F.length("span")), "span")
+    top = n.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "span"))), lambda x: x["span"]).alias("spans"))
+
+
+def mined_edges(entities: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """``query_id, src, dst``: edges of the graph with both ends in a question, for questions of ``least`` entities or more.
+
+    ``entities``: ``query_id, canonical_id``; ``edges``: ``src, dst`` with src < dst.
+    """
+    e = entities.select("query_id", "canonical_id").distinct()
+    many = e.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("query_id")
+    e = e.join(many, "query_id", "left_semi")
+    half = e.join(edges.select(F.col("src").alias("canonical_id"), "dst"), "canonical_id").select("query_id", F.col("canonical_id").alias("src"), "dst")
+    return half.join(e.select("query_id", F.col("canonical_id").alias("dst")), ["query_id", "dst"]).select("query_id", "src", "dst")
+
+
 def refresh_golds(golds: DataFrame, pages: DataFrame, head: int = 50) -> DataFrame:
     """``item_id, page, pdf_page``: where a gold's first characters stand now in its source: its page, else the nearest page that has them, else null."""
     g = golds.select("item_id", "source", F.col("pdf_page").alias("page"), F.substring(normalize_for_matching(F.col("ground_truth")), 1, head).alias("g")).where(F.length("g") > 0)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.operators.index import top_per_query
 from colophon.operators.retrieve import with_passage_score
 
 #: How many fused rows each strategy sees.
@@ -20,6 +21,30 @@ def max_similarity(query_tokens: Column, doc_tokens: Column) -> Column:
     return F.aggregate(F.transform(query_tokens, lambda q: F.array_max(F.transform(doc_tokens, lambda d: dot(q, d)))), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
 
 
+#: Most queries of one late-interaction search; their token vectors go to every executor.
+MOST_QUERIES = 1_000
+
+
+def late_topk(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the best ``k`` of each query by late interaction over all rows.
+
+    ``rows``: ``doc_id, tokens``; ``queries``: ``query_id, tokens`` (arrays of token
+    vectors).  Each row is scored against the whole, bounded set of queries; more than
+    ``MOST_QUERIES`` raise.  Rows or queries without tokens are in no result.
+    """
+    asked = queries.where(F.size("tokens") > 0).select("query_id", F.col("tokens").alias("_q"))
+    if asked.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    held = rows.where(F.size("tokens") > 0).select("doc_id", F.col("tokens").alias("_t")).crossJoin(F.broadcast(asked))
+    return top_per_query(held.select("query_id", "doc_id", F.round(max_similarity(F.col("_q"), F.col("_t")), 6).alias("score")), k)
+
+
+def hypothetical(query: Column, reply: Column) -> Column:
+    """What is embedded for a question: a model's hypothetical passage, the question itself without one."""
+    text = F.regexp_replace(reply, r"(?U)\A\s+|\s+\z", "")
+    return F.when(F.length(text) > 0, text).otherwise(query)
+
+
 def pair_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]):
     """A column function of (query, text) from a loader that runs once per worker."""
     from pyspark.sql import types as T

@@ -190,7 +190,7 @@ def repair_citations(answers: DataFrame, chunks: DataFrame, fuzzy: bool = False)
 
 
 def verification_footer(results: DataFrame) -> DataFrame:
-    """``answer_id, footer`` from ``answer_id, seq, quote, status, similarity, source_verified``; empty without a quote long enough."""
+    """``answer_id, footer`` from ``answer_id, seq, quote, status, similarity, source_verified``; empty without a quote long enough.  The phrases are fixed values."""
     shown = F.when(F.length("quote") > 80, F.concat(F.substring("quote", 1, 80), F.lit("..."))).otherwise(F.col("quote"))
     fits = results.where("status <> 'too_short'")
     missed = (F.col("status") == "verified") & (F.coalesce("source_verified", F.lit(True)) == F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colophon.functions import citations
 from colophon.operators import answers, metrics, mining, telemetry, tree, verify
 from colophon.plans.ranking_queries import _match
-from colophon.plans.registry import BY_HEADING, SPACE, _by_heading, _chunks, _documents, query
+from colophon.plans.registry import BY_HEADING, SPACE, TAGS, _by_heading, _chunks, _documents, query
 from colophon.sources.tables import table
 
 MESSAGES = "m as (select distinct id, content from message where content is not null)"
@@ -527,3 +527,98 @@ def tree_coverage(spark, d):
     t = tree.summary_tree(_nodes(spark, d).drop("cluster"))
     per = t.groupBy("source").agg(F.count_if(F.col("level") == 0).alias("leaves"), F.sum(F.when(F.col("level") == 1, F.size("children_ids"))).alias("children"))
     return per.where("children is not null")
+
+
+# --- whole evaluations -----------------------------------------------------------------
+
+EVAL = """an as (select distinct id as query_id, content as text from message where content is not null and role = 'assistant'),
+qs as (select query_id, length(q) % 2 = 0 as verified from (select query_id, unnest(regexp_extract_all(text, '"([^"]{10,})"', 1)) as q from an)),
+qc as (select query_id, count(*) as n, count(*) filter (where verified) as ok from qs group by 1)"""
+
+
+def _answers(spark, d):
+    """Every answer, and its straight quotes, of which those of even length are taken as verified."""
+    a = table(spark, d, "message").where("content is not null and role = 'assistant'").select(F.col("id").alias("query_id"), F.col("content").alias("text")).distinct()
+    q = a.select("query_id", F.explode(F.regexp_extract_all("text", F.lit('"([^"]{10,})"'), F.lit(1))).alias("q")).select("query_id", (F.length("q") % 2 == 0).alias("verified"))
+    return a, q
+
+
+def _strings(*values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+@query(f"""with {EVAL} select query_id, coalesce(ok, 0) as quotes, coalesce(n, 0) as raw_quotes, coalesce(n, 0) - coalesce(ok, 0) as hallucinated, case when coalesce(ok, 0) > 0 then 1.0 else 0.0 end::double as verify_rate,
+round((case when contains(lower(text), 'the') then 1 else 0 end + case when contains(lower(text), 'memory') then 1 else 0 end) / 2, 3)::double as source_coverage, round((case when contains(lower(text), 'silence') then 1 else 0 end + case when contains(lower(text), 'is') then 1 else 0 end + case when contains(lower(text), 'archive') then 1 else 0 end) / 3, 3)::double as term_coverage, coalesce(ok, 0) >= 1 as meets_minimum from an left join qc using (query_id)""")
+def exhaustive_evaluation(spark, d):
+    a, q = _answers(spark, d)
+    expected = a.select("query_id", _strings("The Capitalism of all - x.pdf", "memory - y.pdf").alias("expected_sources"), _strings("Silence", "is", "archive").alias("expected_terms"), F.lit(1).alias("min_citations"))
+    return metrics.exhaustive_scores(a, q, expected)
+
+
+@query(f"""with {EVAL}, x as (select *, lower(text) as low from an left join qc using (query_id)) select query_id, coalesce(n, 0) as quotes, coalesce(ok, 0) as verified, round(coalesce(ok, 0) / greatest(coalesce(n, 0), 1), 3)::double as verify_rate, (case when contains(low, 'the') then 1 else 0 end + case when contains(low, 'memory') then 1 else 0 end)::int as works_cited, contains(low, 'the') and contains(low, 'memory') as meets_works,
+len(list_filter(['shift', 'contrast', 'earlier', 'later', 'transform', 'develop', 'evolve', 'change', 'building on', 'unlike', 'whereas', 'moved from', 'marks a', 'depart', 'extend', 'expand', 'narrow', 'different'], lambda w: contains(low, w))) >= 2 as has_drift, round(case when contains(low, 'silence') or contains(low, 'archive') then 1.0 else 0.0 end, 3)::double as stage_coverage, coalesce(n, 0) >= 1 as meets_quotes from x""")
+def precis_evaluation(spark, d):
+    a, q = _answers(spark, d)
+    expected = a.select("query_id", _strings("The Capitalism of all - x.pdf", "memory - y.pdf").alias("works_required"), _strings("silence, archive, of").alias("expected_stages"), F.lit(2).alias("min_works_cited"), F.lit(1).alias("min_quotes"))
+    return metrics.precis_scores(a, q, expected)
+
+
+@query(rf"""with {EVAL}, p as (select *, list_sort(list_distinct(list_transform(regexp_extract_all(text, 'p{{1,2}}\.\s*(\d+)', 1), lambda x: x::int))) as pages, lower(text) as low from an left join qc using (query_id))
+select query_id, coalesce(n, 0) as quote_count, coalesce(ok, 0) as verified_quotes, coalesce(ok / n, 0.0)::double as verification_rate, case when len(pages) > 0 then round(len(list_filter(pages, lambda x: x <= 200)) / len(pages), 3) else 0.0 end::double as page_accuracy, round((case when contains(low, 'silence') then 1 else 0 end + case when contains(low, 'is') then 1 else 0 end) / 2, 3)::double as concept_coverage, case when length(text) % 2 = 0 then 0.5 else 0.0 end::double as expected_quote_coverage from p""")
+def general_evaluation(spark, d):
+    """Answers with their own text as context: of two expected quotes one stands there if the answer's length is even."""
+    from colophon.functions.anchors import cited_pages
+
+    a, q = _answers(spark, d)
+    even = F.length("text") % 2 == 0
+    quotes = F.array(F.when(even, F.col("text")).otherwise(F.lit("nowhere to be found at all 0")), F.lit("nowhere to be found either 00"))
+    expected = a.select("query_id", F.sequence(F.lit(0), F.lit(200)).alias("expected_pages"), _strings("Silence", "is").alias("expected_concepts"), quotes.alias("expected_quotes"))
+    return metrics.general_scores(a.withColumn("cited_pages", cited_pages(F.col("text"))), q, expected, a)
+
+
+@query(f"""with {EVAL}, k as (select query_id, length(text) % 50 as expected_page from an), j as (select query_id, length(q)::int % 50 as cited, expected_page, (length(q) % 100) / 100 as r from (select query_id, unnest(regexp_extract_all(text, '"([^"]{{10,}})"', 1)) as q from an) join k using (query_id)),
+b as (select query_id, count(*) as n, max(r) as r, bool_or(cited = expected_page) as exact, bool_or(cited > 0 and abs(cited - expected_page) <= 1) as near from j group by 1)
+select query_id, case when coalesce(n, 0) > 0 then 'QUOTED' when contains(lower(text), 'could not find') then 'ABSTAINED' else 'NO_QUOTES' end as status, coalesce(n, 0) as num_quotes, coalesce(round(r, 3), -1)::double as grounded, coalesce(exact::varchar, '') as page_exact, coalesce(near::varchar, '') as page_near from an left join b using (query_id)""")
+def citation_evaluation(spark, d):
+    """Each quote's length stands in for its page and its ratios."""
+    a, _ = _answers(spark, d)
+    q = a.select("query_id", F.explode(F.regexp_extract_all("text", F.lit('"([^"]{10,})"'), F.lit(1))).alias("q"))
+    r = (F.length("q") % 100) / 100
+    quotes = q.select("query_id", (F.length("q") % 50).alias("cited_page"), *[r.alias(c) for c in ("on_cited", "on_expected", "in_source", "like_gold")])
+    got = metrics.citation_scores(a.withColumn("expected_page", F.length("text") % 50), quotes)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return got.select("query_id", "status", "num_quotes", F.coalesce("grounded_pdf", F.lit(-1.0)).alias("grounded"), text("page_exact"), text("page_near"))
+
+
+# --- mined golds -----------------------------------------------------------------------
+
+
+def _tagged(spark, d):
+    from colophon.operators import entities
+    from colophon.plans.registry import _gazetteer
+
+    docs = _documents(spark, d)
+    return entities.resolve(docs, _gazetteer(spark, d)).join(docs.select("doc_id", "source"), "doc_id").where("source is not null").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk"), "canonical_id")
+
+
+@query(f"with {TAGS}, n as (select source as query_id, canonical_id, count(distinct doc_id) as n from tags join documents using (doc_id) where source is not null group by all having count(distinct doc_id) >= 2) select query_id, array_to_string(list(canonical_id order by n desc, canonical_id), '|') as entities from n group by query_id")
+def gold_entities(spark, d):
+    """Each source as a question, its documents as the chunks found."""
+    return mining.mined_entities(_tagged(spark, d)).withColumn("entities", F.array_join("entities", "|"))
+
+
+@query("with s as (select distinct source as query_id, chunk_id, lower(heading) as span from chunk_result where source is not null and heading <> ''), n as (select query_id, span, count(*) as n from s group by all having count(*) >= 2), r as (select *, row_number() over (partition by query_id order by n desc, length(span) desc, span) as r from n) select query_id, array_to_string(list(span order by r), '|') as spans from r where r <= 5 group by query_id")
+def gold_headings(spark, d):
+    s = table(spark, d, "chunk_result").where("source is not null").select(F.col("source").alias("query_id"), F.col("chunk_id").alias("chunk"), F.lower("heading").alias("span"))
+    return mining.mined_spans(s).withColumn("spans", F.array_join("spans", "|"))
+
+
+@query(f"with {TAGS}, q as (select distinct item_id as query_id, canonical_id from eval_item join al on length(alias) >= 3 and contains(lower(query || ' ' || ground_truth), alias)), m as (select query_id from q group by 1 having count(*) >= 2) select a.query_id, src, dst from edges join q a on a.canonical_id = src join q b on b.canonical_id = dst and b.query_id = a.query_id where a.query_id in (select query_id from m)")
+def gold_edges(spark, d):
+    from colophon.operators import entities
+    from colophon.plans.registry import _gazetteer
+
+    g = _gazetteer(spark, d)
+    asked = table(spark, d, "eval_item").select(F.col("item_id").alias("doc_id"), F.concat_ws(" ", "query", "ground_truth").alias("text"))
+    found = entities.resolve(asked, g).select(F.col("doc_id").alias("query_id"), "canonical_id")
+    return mining.mined_edges(found, entities.cooccurrence(entities.resolve(_documents(spark, d), g)))

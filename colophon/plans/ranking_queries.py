@@ -26,6 +26,10 @@ pscore as (select *, coalesce(case when np is null then 0 when contains(nt, left
   + 5 * len(list_filter(bg, lambda b: contains(nt, b))), 0)::double as score14 from ps3)"""
 
 
+#: BM25 over words between white space.
+SPACED = BM25
+for _name in ("text", "query"):
+    SPACED = SPACED.replace(rf"regexp_extract_all(regexp_replace(lower({_name}), '[-–—]', ' ', 'g'), '\p{{L}}{{2,}}')", rf"list_filter(string_split_regex(lower({_name}), '{SPACE}+'), lambda w: w <> '')")
 TOP = "top as (select query_id, doc_id, rank, query, text from bm25 join documents using (doc_id) join (select item_id as query_id, query from eval_item) using (query_id) where rank < {})"
 
 
@@ -198,6 +202,20 @@ def late_interaction(spark, d):
     return rows.select("query_id", "doc_id", F.round(rerank.max_similarity(F.col("q"), F.col("t")), 5).alias("score"))
 
 
+@query("""with p as (select q.vec_id as query_id, v.vec_id as doc_id, [q.embedding[i : i + 15]::double[] for i in [1, 17, 33, 49]] as qt, [v.embedding[i : i + 15]::double[] for i in [1, 17, 33, 49]] as dt from embeddings q, embeddings v where q.vec_id % 50 = 0),
+s as (select query_id, doc_id, round(list_sum([list_max([list_sum([x[i] * y[i] for i in range(1, 17)]) for y in dt]) for x in qt]), 6) as score from p), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) - 1 as rank from s) select query_id, doc_id, rank from r where rank < 10""")
+def late_search(spark, d):
+    """The ten best of every fiftieth vector over all of them."""
+    v = table(spark, d, "embeddings")
+    t = F.array(*[F.slice("embedding", i, 16) for i in (1, 17, 33, 49)]).alias("tokens")
+    return rerank.late_topk(v.select(F.col("vec_id").alias("doc_id"), t), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), t)).select("query_id", "doc_id", "rank")
+
+
+@query(f"with s as (select id, regexp_replace(content, '^{SPACE}+|{SPACE}+$', '', 'g') as t from message) select distinct id, case when length(t) > 0 then t else 'asked' end as text from s")
+def hypothetical_texts(spark, d):
+    return table(spark, d, "message").select("id", rerank.hypothetical(F.lit("asked"), F.col("content")).alias("text")).distinct()
+
+
 @query(rf"""with w as (select item_id as query_id, list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> '')) as w from eval_item) select query_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: (-length(x), x)))[1:5], lambda x: x[2]), ' ') as expanded from w""")
 def sparse_expansion(spark, d):
     """The heaviest terms of an expansion; a word's length stands in for a learned weight."""
@@ -235,6 +253,12 @@ def widened_lists(spark, d):
     return retrieve.widen_if_unsure(main, extra, main.groupBy("query_id").agg((100 * F.max("score")).alias("passage_score")))
 
 
+@query(f"with {SPACED} select query_id, doc_id, score from bm25 where rank < 10")
+def whitespace_lexical(spark, d):
+    """The evaluation's variant: tokens between white space."""
+    return index.bm25_topk(_documents(spark, d), _asked(spark, d), 10, tokens=index.spaced_words).drop("rank")
+
+
 # --- answers and prompts ---------------------------------------------------------------
 
 

@@ -73,6 +73,15 @@ def file_validation(spark, d):
     return files.validate_files(_documents(spark, d).where("text is not null").select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))).select("path", "valid")
 
 
+@query("""with p as (select doc_id, case when doc_id % 4 = 0 then 'Head' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || text || chr(10) || '| x |' || chr(10) || '| y |' else text end as text from documents where text is not null)
+select doc_id, unnest([0, 1])::int as table_no, unnest(['| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |', '| x |' || chr(10) || '| y |']) as content, md5(left(text, 1500)) as context from p where doc_id % 4 = 0""")
+def page_tables(spark, d):
+    """Documents as pages, two tables set into every fourth one."""
+    table_ = F.concat(F.lit("Head\n| a | b |\n|---|---|\n| 1 | 2 |\n"), "text", F.lit("\n| x |\n| y |"))
+    p = _documents(spark, d).where("text is not null").select("doc_id", F.lit(1).alias("page"), F.when(F.col("doc_id") % 4 == 0, table_).otherwise(F.col("text")).alias("text"))
+    return files.modal_tables(p).select("doc_id", "table_no", "content", F.md5("surrounding_text").alias("context"))
+
+
 @query("select source, md5(array_to_string(list(text order by doc_id), chr(10) || chr(10))) as key from documents where source is not null and length(trim(text)) > 0 group by source")
 def joined_pages(spark, d):
     p = table(spark, d, "documents").where("source is not null").select("source", F.col("doc_id").alias("page"), "text")

@@ -1,4 +1,4 @@
-"""File sources (S1-S12, S23-S25, S28, S37, S39): binary and text files as DataFrames.
+"""File sources (S1-S7, S9-S12, S23-S25, S28, S37): binary and text files as DataFrames.
 
 Parsers of binary formats run inside ``mapInPandas`` on the executors and need only the
 standard library; readers that need others are plugged in.
@@ -179,7 +179,7 @@ READERS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {"epub": read_epu
 
 
 def extract_pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[tuple[int, str]]]] | None = None) -> DataFrame:
-    """``path, page, text, error`` of files (``path, content``); a file that cannot be read gives one row with its error.
+    """``path, page, text, error`` of files (``path, content``); a file that cannot be read gives one row with its error.
 
     A PDF reader is plugged in under ``pdf``.
     """
@@ -201,6 +201,17 @@ def extract_pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[tu
     return files.select("path", "content").mapInPandas(run, "path string, page bigint, text string, error string")
 
 
+def modal_tables(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``doc, page, table_no, kind, content, surrounding_text`` of the Markdown tables of pages (``doc, page, text``): two lines or more that begin with a bar.
+
+    The context is the page's first 1,500 characters.  A PDF reader that is plugged in
+    gives its tables as Markdown in the page's text.
+    """
+    found = F.regexp_extract_all("text", F.lit(r"(?:(?:\A|(?<=\n))[^\S\n]*\|[^\n]*(?:\n|\z)){2,}"), F.lit(0))
+    rows = pages.select(doc, "page", F.substring("text", 1, 1500).alias("surrounding_text"), F.posexplode(found).alias("table_no", "content"))
+    return rows.select(doc, "page", "table_no", F.lit("table").alias("kind"), F.trim(F.regexp_replace("content", r"\n\z", "")).alias("content"), "surrounding_text")
+
+
 def gold_rows(spark: SparkSession, path: str) -> DataFrame:
     """``query, source, page, gold_quote`` of a JSON array or an object with questions, items, samples or data; rows without query drop out."""
     raw = spark.read.option("multiLine", "true").json(path)

@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs no more than re-reading the table.
+    Cuts the lineage: a lost executor costs no more than re-reading the table.  The table
+    is deleted when the application ends, or earlier by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colophon/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,4 +1,4 @@
-"""File-arrival ingestion and telemetry windows.
+"""File-arrival ingestion and telemetry windows.
 
 The file source and its checkpoint give each file once; the batch body is idempotent
 (content ids, anti-joins), so a batch that runs again after a crash adds nothing twice.
