@@ -220,7 +220,7 @@ s as (select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as s from v
 r as (select a, b, row_number() over (partition by a order by s desc, b) as r from s)
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where r <= 5"""
 
-# Mean PMI of neighbours in exact counts; 10 pairs on either side, 4 bits, half of the text.
+# Mean PMI of neighbours in exact counts; 12 pairs on either side, 4.4 bits, half of the text.
 STUFFED = r"""with rep as (select row_number() over () as id, text from (select min(text) as text from documents group by case when trim(regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g')) <> '' then regexp_replace(lower(text), '[^\p{L}#]+', ' ', 'g') else text end)),
 cut as (select false as own, doc_id as id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|[\p{L}\x{300}-\x{36F}]+') as l from documents
   union all select true, id, regexp_extract_all(lower(text), '(?:https?://|www\.)[^\s"''<>()\[\]]*|#[\p{L}\p{N}_-]+|[\p{L}\x{300}-\x{36F}]+') from rep),
@@ -231,13 +231,13 @@ pd as (select t, u, count(distinct id) as n from nx where own and u is not null
 tot as (select (select count(*) from rep) as texts, (select sum(n) from wd) as words, (select sum(n) from pd) as pairs),
 reach as (select t, max(m) as m from (select p.t, w.n as m from pd p join wd w on w.t = p.u union all select p.u, w.n from pd p join wd w on w.t = p.t) group by t),
 wr as (select t, n, greatest(n, coalesce(m, 0)) as reach from wd left join reach using (t)),
-x as (select nx.id, i, w, nx.t, u, wr.n, wr.reach, count(*) over (partition by nx.id) as size, count(*) over (partition by nx.id, nx.t) as c from nx join wr using (t) where not own),
+x as (select nx.id, i, w, nx.t, u, wr.n, wr.reach, sum(w) over (partition by nx.id) as size, sum(w) over (partition by nx.id, nx.t) as c from nx join wr using (t) where not own),
 y as (select *, texts / max(reach) over (partition by id) as scale, words, pairs from x, tot),
-z as (select *, log2(greatest(greatest(n - 1, 1) / words * scale, (c - 1) / greatest(size - 1, 1))) as rate from y),
+z as (select *, log2(greatest(greatest(n - 1, 1) / words * scale, (c - w) / greatest(size - w, 1))) as rate from y),
 q as (select z.*, lead(rate) over o as rate2, lead(w) over o as w2, pd.n as m from z left join pd on pd.t = z.t and pd.u = z.u window o as (partition by id order by i)),
 v as (select *, case when u is not null then (log2((greatest(m - 1, 0) + 0.5) / pairs * scale) - rate - rate2) * (w + w2) else 0 end as e, case when u is not null then w + w2 else 0 end as ew from q),
-s as (select id, w, sum(e) over k as e, sum(ew) over k as ew from v window k as (partition by id order by i rows between 10 preceding and 9 following))
-select id as doc_id from s group by id having sum(case when e < -4.0 * ew then w else 0 end) / sum(w) > 0.5"""
+s as (select id, w, sum(e) over k as e, sum(ew) over k as ew from v window k as (partition by id order by i rows between 12 preceding and 11 following))
+select id as doc_id from s group by id having sum(case when e < -4.4 * ew then w else 0 end) / sum(w) > 0.5"""
 
 def _form(text: str) -> str:
     """SQL for the consistent form, by letter tables: the operator works on the whole Unicode database."""
@@ -259,7 +259,7 @@ m as (select * from t where regexp_matches(form, '\\S'))
 
 SCORES = (
     STUFFED[: STUFFED.index("select id as doc_id from s")]
-    + """, f as (select id, sum(case when e < -4.0 * ew then w else 0 end) / sum(w) as stuffed from s group by id),
+    + """, f as (select id, sum(case when e < -4.4 * ew then w else 0 end) / sum(w) as stuffed from s group by id),
 m as (select id, avg(log2((greatest(m - 1, 0) + 0.5) / pairs * scale) - rate - rate2) as mean_pmi from q where u is not null group by id)
 select doc_id, round(mean_pmi, 4) as mean_pmi, round(coalesce(stuffed, 0.0), 4) as stuffed from documents left join f on f.id = doc_id left join m on m.id = doc_id"""
 )

@@ -4,7 +4,7 @@ Pass one counts, exactly, in how many documents each word and each pair of neigh
 words stands, copies once (so copies of a page do not vouch for it).  Pass two scores
 each document.  The PMI of two neighbours compares how often the corpus joins them with
 how often chance would, given how frequent each word is; a word's frequency is the
-corpus's, or the page's own where the page repeats it more.  Prose has a high mean:
+corpus's, or its share of the page's other text where that is more.  Prose has a high mean:
 its words belong together.  Word salad has a low one because the corpus does not join
 its words; a collocation repeated beyond what the corpus bears has a low one because the
 page's own repetition makes chance account for it.  A page is flagged when stretches
@@ -33,7 +33,7 @@ from colophon.storage import written
 #: Most words and pairs whose counts executors hold (24 and 16 bytes each); the rest is joined.
 HELD_WORDS, HELD_PAIRS = 1 << 20, 1 << 22
 #: Pairs on either side of a token that decide whether its stretch is stuffed, by their mean PMI (bits).
-REACH, STUFFED = 10, -4.0
+REACH, STUFFED = 12, -4.4
 #: Documents counted for a pair that no other document holds.
 UNSEEN = 0.5
 #: Share of the text in such stretches from which a page is flagged.
@@ -270,15 +270,16 @@ def score(texts: list[str], counts: Counts, reach: int = REACH, stuffed: float =
     widest = np.ones(size)
     widest[held] = np.maximum.reduceat(np.maximum(near, 1), start[held])
     scale = counts.texts / widest
-    _, group, own = np.unique(mix(numbers) + mix(docs.astype(np.uint64)), return_inverse=True, return_counts=True)
-    # How frequent a word is: in the corpus, or among the page's other words if more.
+    weight = lengths + 1.0
+    _, group = np.unique(mix(numbers) + mix(docs.astype(np.uint64)), return_inverse=True)
+    # How frequent a word is: in the corpus, or in the page's text without this word if more.
     in_corpus = np.maximum(n - 1, 1) / counts.all_words * scale[docs]
-    on_page = (own[group] - 1) / np.maximum(stop - start - 1, 1)[docs]
+    whole = np.bincount(docs, weights=weight, minlength=size)
+    on_page = (np.bincount(group, weights=weight)[group] - weight) / np.maximum(whole[docs] - weight, 1)
     rate = np.log2(np.maximum(in_corpus, on_page))
     spot, known = counts._find(counts.pairs, pair)
     joined = (np.where(known, counts.pair_n[spot], 1) if len(counts.pairs) else np.ones(len(pair))) - 1.0
     pmi = np.log2((np.maximum(joined, 0.0) + UNSEEN) / counts.all_pairs * scale[docs[at]]) - rate[at] - rate[at + 1]
-    weight = lengths + 1.0
     sums, over = np.zeros(len(numbers) + 1), np.zeros(len(numbers) + 1)
     both = weight[at] + weight[at + 1]
     sums[at + 1], over[at + 1] = pmi * both, both
@@ -287,7 +288,7 @@ def score(texts: list[str], counts: Counts, reach: int = REACH, stuffed: float =
     lo = np.maximum(here - reach, start[docs])
     hi = np.maximum(np.minimum(here + reach, stop[docs] - 1), lo)
     low = (sums[hi] - sums[lo]) < stuffed * (over[hi] - over[lo])
-    share = np.bincount(docs, weights=weight * low, minlength=size) / np.maximum(np.bincount(docs, weights=weight, minlength=size), 1)
+    share = np.bincount(docs, weights=weight * low, minlength=size) / np.maximum(whole, 1)
     with np.errstate(invalid="ignore", divide="ignore"):
         pairs_of = np.bincount(docs[at], minlength=size)
         mean = np.bincount(docs[at], weights=pmi, minlength=size) / np.where(pairs_of > 0, pairs_of, np.nan)
