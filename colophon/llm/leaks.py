@@ -79,6 +79,7 @@ class TestSet:
             self.content_masks.append(both[1])
         lengths = np.array([len(p) for p in self.passages] or [0], np.int64)
         self.lengths = lengths
+        self.contents = [int(c.sum()) for c in self.content]
         self.band = np.maximum(4, lengths // 5)
         self.need = np.maximum(gram, SEED * lengths)
         where: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -111,17 +112,20 @@ class TestSet:
         return h
 
 
-def common_length(masks: dict[int, int], n: int, place: list[int]) -> int:
+def common_length(masks: dict[int, int], n: int, place: list[int], least: float = 0) -> int:
     """Length of the longest common subsequence of a passage of ``n`` words and ``place``, in bits of one integer.
 
-    ``masks`` has, for each word of the passage, a bit for each of its positions.
+    ``masks`` has, for each word of the passage, a bit for each of its positions.  A
+    length below ``least`` may come as any other bound below it.
     """
+    hits = list(filter(None, map(masks.get, place)))
+    if len(hits) < least:
+        return len(hits)
     whole = (1 << n) - 1
     open_ = whole
-    for w in place:
-        if m := masks.get(w):
-            hit = open_ & m
-            open_ = ((open_ + hit) | (open_ - hit)) & whole
+    for m in hits:
+        hit = open_ & m
+        open_ = ((open_ + hit) | (open_ - hit)) & whole
     return n - open_.bit_count()
 
 
@@ -188,7 +192,10 @@ def places(tokens: np.ndarray, docs: np.ndarray, t: TestSet, share: float, conte
     widest = np.maximum.reduceat(stop, heads)
     able = np.zeros(len(heads), bool)
     for i, (a, b, n) in enumerate(zip(first[heads].tolist(), widest.tolist(), number[strong[heads]].tolist())):
-        able[i] = common_length(t.masks[n], len(t.passages[n]), tokens[a:b].tolist()) >= share * len(t.passages[n])
+        length = len(t.passages[n])
+        # The content words are fewer and rarer, so most spans end here.
+        place = tokens[a:b].tolist()
+        able[i] = common_length(t.content_masks[n], length, place, content_share * t.contents[n]) >= content_share * t.contents[n] and common_length(t.masks[n], length, place, share * length) >= share * length
     kept_starts = np.flatnonzero(able[span])
     cuts = np.flatnonzero(np.r_[True, group[strong[kept_starts]][1:] != group[strong[kept_starts]][:-1], True]) if len(kept_starts) else []
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -208,7 +215,7 @@ def places(tokens: np.ndarray, docs: np.ndarray, t: TestSet, share: float, conte
                 continue
             place = tokens[lo:hi].tolist()
             # The exact number of words kept, and a bound of the content words kept.
-            if common_length(t.masks[n], length, place) < share * length or common_length(t.content_masks[n], length, place) < content_share * content.sum():
+            if common_length(t.masks[n], length, place, share * length) < share * length or common_length(t.content_masks[n], length, place) < content_share * t.contents[n]:
                 refused.append((lo, hi))
                 continue
             where = aligned(passage, tokens[lo:hi])
