@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
-1. Vectors are scaled to unit length, quantised to 16 bits a component, and equal ones
-   collapse to one class that knows up to k + 1 of its ids.
+1. Vectors are scaled to their largest component, quantised to 16 bits a component, and
+   equal ones collapse to one class that knows up to k + 1 of its ids.
 2. Balanced posting lists are fitted on a bounded sample by splitting clusters until
    each holds about the same number of sampled vectors, so dense topics get many lists.
 3. Every vector finds its nearest centroids through an in-memory graph.  It is posted
@@ -33,15 +33,30 @@ SCALE = 32767.0
 LIST_SIZE, SAMPLE_PER_LIST, LEAST_SAMPLE, SAMPLE_ROWS, WIDE = 256, 24, 6, 400_000, 60_000
 #: Posting and probing: distance ratio and most lists for each.
 POST_RATIO, POST_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 3, 1.30, 6
-#: Posted vectors from which on a task divides its list again; rows of a list from which on it is cut.
-DIVIDE, BLOCK = 1536, 1 << 17
+#: Posted vectors from which on a task divides its list again, and most lists to probe there, where no row moves; rows of a list from which on it is cut.
+DIVIDE, DIVIDED_LISTS, BLOCK = 1536, 10, 1 << 17
 
 
-def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
-    """Rows scaled to length 1, in float64; rows are finite and not all zero."""
-    x = flat.reshape(-1, dim).astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def codes_of(x: np.ndarray) -> np.ndarray:
+    """Rows at 16 bits a component, the largest of each filling them; rows are finite and not all zero."""
+    return np.rint(x / np.abs(x).max(axis=1, keepdims=True) * SCALE).astype("<i2")
+
+
+def unit_rows(q: np.ndarray) -> np.ndarray:
+    """Quantised rows scaled to length 1, in float32."""
+    x = q.astype(np.float32)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
+def distances(q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 - cosine of rows ``a`` and ``b`` of ``q``; whole numbers add up exactly, so a pair has one distance in every list."""
+    out = np.zeros(len(a), np.float32)
+    for i in range(0, len(a), 1 << 14):
+        x, y = q[a[i : i + (1 << 14)]].astype(np.float64), q[b[i : i + (1 << 14)]].astype(np.float64)
+        dot, xx, yy = (np.einsum("ij,ij->i", *z) for z in ((x, y), (x, x), (y, y)))
+        out[i : i + (1 << 14)] = 1 - dot / np.sqrt(xx * yy)
+    return out
 
 
 def _classes(df: DataFrame, key: str, vector: str, dim: int, keep: int) -> DataFrame:
@@ -57,7 +72,7 @@ def _classes(df: DataFrame, key: str, vector: str, dim: int, keep: int) -> DataF
             x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # a null component reads as NaN
             good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             fit, x = fit[good], x[good]
-            q = np.rint(unit_rows(x, dim) * SCALE).astype("<i2") if len(x) else np.zeros((0, dim), "<i2")
+            q = codes_of(x) if len(x) else np.zeros((0, dim), "<i2")
             rows: dict[bytes, set] = {}
             for code, i in zip((r.tobytes() for r in q), ids.take(pa.array(fit)).to_pylist()):
                 rows.setdefault(code, set()).add(i)
@@ -164,12 +179,12 @@ class CentroidGraph:
         return ids, sims
 
 
-def _chosen(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(sims: np.ndarray, most: int = PROBE_LISTS) -> tuple[np.ndarray, np.ndarray]:
     """Which of each row's nearest lists, best first, to probe and to post to, by the ratio of distances."""
     dist = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
     ratio = dist / np.maximum(dist[:, :1], 1e-6)
     spot = np.arange(sims.shape[1])
-    probe = (sims > -1.5) & (ratio <= PROBE_RATIO) & (spot < PROBE_LISTS)
+    probe = (sims > -1.5) & (ratio <= PROBE_RATIO) & (spot < most)
     post = probe & (ratio <= POST_RATIO) & (spot < POST_LISTS)
     probe[:, 0] = post[:, 0] = True
     return probe, post
@@ -202,7 +217,7 @@ def search_list(x: np.ndarray, nid: np.ndarray, data: np.ndarray, ask: np.ndarra
     centroids, _ = balanced_centroids(x[data[::step]], max(2, LIST_SIZE // step))
     if len(centroids) < 2:
         return _nearest_in(x, nid, data, ask, k)
-    width = min(len(centroids), PROBE_LISTS + 2)
+    width = min(len(centroids), DIVIDED_LISTS + 2)
 
     def lists(rows: np.ndarray, posting: bool) -> tuple[np.ndarray, np.ndarray]:
         who, which = [], []
@@ -212,7 +227,7 @@ def search_list(x: np.ndarray, nid: np.ndarray, data: np.ndarray, ask: np.ndarra
             top = np.argpartition(-s, width - 1, axis=1)[:, :width]
             near = np.take_along_axis(s, top, 1)
             order = np.argsort(-near, axis=1, kind="stable")
-            r, c = np.nonzero(_chosen(np.take_along_axis(near, order, 1))[int(posting)])
+            r, c = np.nonzero(_chosen(np.take_along_axis(near, order, 1), DIVIDED_LISTS)[int(posting)])
             who.append(part[r])
             which.append(np.take_along_axis(top, order, 1)[r, c])
         return np.concatenate(who), np.concatenate(which)
@@ -232,17 +247,26 @@ def search_list(x: np.ndarray, nid: np.ndarray, data: np.ndarray, ask: np.ndarra
     if not parts:
         return _nearest_in(x, nid, data[:0], ask, k)
     a, d, s = (np.concatenate(z) for z in zip(*parts))
-    # A pair met in several lists counts once; the best k of each remain.
-    order = np.lexsort((nid[d], -s, nid[a]))
+    # A pair met in several lists counts once, though its cosine may differ in the last bits.
+    order = np.lexsort((-s, nid[d], nid[a]))
     a, d, s = a[order], d[order], s[order]
     first = np.r_[True, (nid[a][1:] != nid[a][:-1]) | (nid[d][1:] != nid[d][:-1])]
     a, d, s = a[first], d[first], s[first]
-    group = np.flatnonzero(np.r_[True, nid[a][1:] != nid[a][:-1]])
-    rank = np.arange(len(a)) - np.repeat(group, np.diff(np.r_[group, len(a)]))
-    keep = rank < k
+    keep = _least(nid[a], -s, nid[d], k)
     return a[keep], d[keep], s[keep]
 
 
+def _least(ask: np.ndarray, far: np.ndarray, data: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` rows of each ``ask`` that are least by ``far, data``."""
+    order = np.lexsort((data, far, ask))
+    if not len(order):
+        return order
+    asked = ask[order]
+    group = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]])
+    rank = np.arange(len(order)) - np.repeat(group, np.diff(np.r_[group, len(order)]))
+    return order[rank < k]
+
+
 def most_similar(
     df: DataFrame,
     key: str = "id",
@@ -278,7 +302,7 @@ def most_similar(
     picked = base.where(F.pmod(F.xxhash64("q"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("q").toPandas()["q"]
     if not len(picked):
         picked = base.select("q").limit(1).toPandas()["q"]
-    sample = np.frombuffer(b"".join(picked), "<i2").reshape(-1, dim).astype(np.float32) / SCALE
+    sample = unit_rows(np.frombuffer(b"".join(picked), "<i2").reshape(-1, dim))
     centroids, sizes = balanced_centroids(sample, per_list)
     blocks = np.maximum(1, np.ceil(sizes * (n / len(sample)) * POST_LISTS / BLOCK)).astype(np.int64)
     graph = spark.sparkContext.broadcast((CentroidGraph(centroids), blocks))  # at most SAMPLE_ROWS / LEAST_SAMPLE * ~2 nodes
@@ -289,7 +313,7 @@ def most_similar(
             if not batch.num_rows:
                 continue
             codes = batch.column(1)
-            q = np.frombuffer(b"".join(codes.to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / SCALE
+            q = unit_rows(np.frombuffer(b"".join(codes.to_pylist()), "<i2").reshape(-1, dim))
             nid = batch.column(0).to_numpy(zero_copy_only=False)
             held = np.asarray(batch.column(2))
             ids, sims = g.search(q, PROBE_LISTS + 2)
@@ -325,17 +349,21 @@ def most_similar(
             )
 
     def scan(cell: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(cell["q"]), "<i2").reshape(-1, dim).astype(np.float32) / SCALE
+        q = np.frombuffer(b"".join(cell["q"]), "<i2").reshape(-1, dim)
+        x = unit_rows(q)
         tag, nid = cell["tag"].to_numpy(), cell["nid"].to_numpy()
         data, ask = np.flatnonzero((tag & 3) > 0), np.flatnonzero((tag & 3) != 1)
         data = data[np.argsort(nid[data], kind="stable")]
-        a, d, sim = search_list(x, nid, data, ask, k)
-        return pd.DataFrame({"nid": nid[a], "cand": nid[d], "sim": sim.astype(np.float32), "n": (tag[a] >> 2).astype(np.int8), "m": (tag[d] >> 2).astype(np.int8)})
+        a, d, _ = search_list(x, nid, data, ask, k + 1)  # one more, as float32 may swap the last two
+        far = distances(q, a, d)
+        keep = _least(nid[a], far, nid[d], k)
+        a, d, far = a[keep], d[keep], far[keep]
+        return pd.DataFrame({"nid": nid[a], "cand": nid[d], "far": far, "n": (tag[a] >> 2).astype(np.int8), "m": (tag[d] >> 2).astype(np.int8)})
 
     cells = base.select("nid", "q", F.size("ids").cast("tinyint").alias("held")).mapInArrow(assign, "cell bigint, nid bigint, q binary, tag tinyint")
-    part = cells.groupBy("cell").applyInPandas(scan, "nid bigint, cand bigint, sim float, n tinyint, m tinyint")
-    # k per probed block: a bounded list per query.
-    merged = part.groupBy("nid").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), "cand", "m"))), 1, k).alias("near"))
+    part = cells.groupBy("cell").applyInPandas(scan, "nid bigint, cand bigint, far float, n tinyint, m tinyint")
+    # k per probed block: a bounded list per query; a pair met in several has one distance, so the set holds it once.
+    merged = part.groupBy("nid").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_set(F.struct("far", "cand", "m"))), 1, k).alias("near"))
     taken = merged.select(
         "nid",
         F.aggregate(

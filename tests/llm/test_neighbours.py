@@ -1,6 +1,6 @@
 import numpy as np
 
-from colophon.llm.neighbours import CentroidGraph, balanced_centroids, search_list, similar_pairs
+from colophon.llm.neighbours import CentroidGraph, balanced_centroids, codes_of, distances, search_list, similar_pairs
 
 SCHEMA = "id string, embedding array<float>, q string, nid int"
 
@@ -97,3 +97,27 @@ def test_divided_list_against_all_pairs():
     assert len(whole) == len(parts) == 15_000 and len(whole & parts) / len(whole) >= 0.97
     same = np.tile(x[:1], (2000, 1))
     assert len(search_list(same, np.arange(2000), np.arange(2000), np.arange(2000), 5, divide=500)[0]) == 10_000  # undividable
+
+
+def test_a_pair_met_in_several_lists_takes_one_place(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3, 64))[rng.integers(0, 3, 1200)] + rng.normal(scale=0.3, size=(1200, 64))
+    ids = [f"v{i:05d}" for i in range(1200)]
+    got, want = pairs(spark, list(zip(ids, x.tolist())), sample_rows=24 * 8), brute(ids, x.astype(np.float32).astype(float))
+    per = {i: 0 for i in ids}
+    for a, b in got:
+        per[a] += 1
+        per[b] += 1
+    assert min(per.values()) >= 5
+    assert len(got & want) / len(want) >= 0.995
+
+
+def test_distance_of_a_pair_is_the_same_wherever_it_stands():
+    rng = np.random.default_rng(9)
+    q = codes_of(rng.normal(size=(40, 64)) + 3)
+    a, b = (z.ravel() for z in np.meshgrid(np.arange(40), np.arange(40)))
+    x = q.astype(np.float64) / np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True)
+    far = distances(q, a, b)
+    assert np.abs(far - (1 - x @ x.T)[a, b]).max() < 1e-8
+    back = rng.permutation(40)
+    assert (distances(q[back], np.argsort(back)[b], np.argsort(back)[a]) == far).all()
