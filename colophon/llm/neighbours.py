@@ -7,7 +7,8 @@
 3. Every vector finds its nearest centroids through an in-memory graph.  It is posted
    to its nearest list and, at a boundary, replicated to those almost as near; it
    probes every list whose distance passes the ratio pruning.
-4. Lists are the shuffle key.  The driver fits a bounded number of them; where a
+4. Lists are the shuffle key.  One task fits a bounded number of them, so the driver
+   holds the finished graph and no sample; where a
    collection outgrows that, lists grow and each is divided again by the task that holds
    it, by the same balanced lists, replication and ratio pruning.  So a vector moves as
    often in a large collection as in a small one.  Only a list beyond ``BLOCK`` rows
@@ -18,6 +19,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ LIST_SIZE, SAMPLE_PER_LIST, LEAST_SAMPLE, SAMPLE_ROWS, WIDE = 256, 24, 6, 400_00
 POST_RATIO, POST_LISTS, PROBE_RATIO, PROBE_LISTS = 1.10, 3, 1.30, 6
 #: Posted vectors from which on a task divides its list again, and most lists to probe there, where no row moves; rows of a list from which on it is cut.
 DIVIDE, DIVIDED_LISTS, BLOCK = 1536, 10, 1 << 17
+#: Cosines that the building of the graph holds at a time; with their order some 16 bytes each.
+NEAREST_CELLS = 1 << 22
 
 
 def codes_of(x: np.ndarray) -> np.ndarray:
@@ -135,11 +139,12 @@ class CentroidGraph:
 
     @staticmethod
     def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-        rows = []
-        for i in range(0, len(a), 2048):
-            s = a[i : i + 2048] @ b.T
-            rows.append(np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(b) else np.tile(np.arange(len(b)), (len(s), 1)))
-        return np.concatenate(rows).astype(np.int32)
+        rows, step = [], max(1, min(2048, NEAREST_CELLS // len(b)))
+        for i in range(0, len(a), step):
+            s = a[i : i + step] @ b.T
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(b) else np.tile(np.arange(len(b)), (len(s), 1))
+            rows.append(near.astype(np.int32))  # a copy: a slice would keep the whole order of all rows
+        return np.concatenate(rows)
 
     def _expand(self, q: np.ndarray, at: np.ndarray, table: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Best ``width`` of each query's neighbours ``table[at]``."""
@@ -267,6 +272,22 @@ def _least(ask: np.ndarray, far: np.ndarray, data: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
+def _fit(sample: DataFrame, dim: int, per_list: int, n: int) -> tuple[CentroidGraph, np.ndarray] | None:
+    """The graph over the lists of a sample (``q``) of ``n`` vectors, and the blocks of each list, made by one task; None without rows."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(bytearray().join(c for batch in batches for c in batch.column(0).to_pylist()), f"S{2 * dim}")
+        if len(codes):
+            codes.sort()  # rows come in any order
+            x = unit_rows(codes.view("<i2").reshape(-1, dim))
+            centroids, sizes = balanced_centroids(x, per_list)
+            blocks = np.maximum(1, np.ceil(sizes * (n / len(x)) * POST_LISTS / BLOCK)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((CentroidGraph(centroids), blocks))], pa.binary())], ["made"])
+
+    made = sample.repartition(1).mapInArrow(fit, "made binary").collect()
+    return pickle.loads(made[0]["made"]) if made else None
+
+
 def most_similar(
     df: DataFrame,
     key: str = "id",
@@ -299,13 +320,9 @@ def most_similar(
         n_lists = min(-(-n // wide), sample_rows // LEAST_SAMPLE)
     per_list = max(LEAST_SAMPLE, min(SAMPLE_PER_LIST, sample_rows // n_lists))
     share = min(1.0, n_lists * per_list / n)
-    picked = base.where(F.pmod(F.xxhash64("q"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("q").toPandas()["q"]
-    if not len(picked):
-        picked = base.select("q").limit(1).toPandas()["q"]
-    sample = unit_rows(np.frombuffer(b"".join(picked), "<i2").reshape(-1, dim))
-    centroids, sizes = balanced_centroids(sample, per_list)
-    blocks = np.maximum(1, np.ceil(sizes * (n / len(sample)) * POST_LISTS / BLOCK)).astype(np.int64)
-    graph = spark.sparkContext.broadcast((CentroidGraph(centroids), blocks))  # at most SAMPLE_ROWS / LEAST_SAMPLE * ~2 nodes
+    sample = base.where(F.pmod(F.xxhash64("q"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("q")
+    fitted = _fit(sample, dim, per_list, n) or _fit(base.select("q").limit(1), dim, per_list, n)
+    graph = spark.sparkContext.broadcast(fitted)  # at most SAMPLE_ROWS / LEAST_SAMPLE * ~2 nodes
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, cut = graph.value

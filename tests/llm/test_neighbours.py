@@ -1,3 +1,6 @@
+import os
+import tracemalloc
+
 import numpy as np
 
 from colophon.llm.neighbours import CentroidGraph, balanced_centroids, codes_of, distances, search_list, similar_pairs
@@ -121,3 +124,23 @@ def test_distance_of_a_pair_is_the_same_wherever_it_stands():
     assert np.abs(far - (1 - x @ x.T)[a, b]).max() < 1e-8
     back = rng.permutation(40)
     assert (distances(q[back], np.argsort(back)[b], np.argsort(back)[a]) == far).all()
+
+
+def test_building_the_graph_holds_few_cosines_at_a_time():
+    rng = np.random.default_rng(10)
+    c = rng.normal(size=(12_000, 8)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = CentroidGraph._nearest(c, c, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # more than 1 GB where the order of all rows is kept
+    assert got.shape == (12_000, 24) and (got == np.arange(12_000)[:, None]).any(axis=1).all()
+
+
+def test_the_driver_holds_no_sample(spark, monkeypatch):
+    here = os.getpid()
+    monkeypatch.setattr("colophon.llm.neighbours.balanced_centroids", lambda *a, **k: 1 / 0 if os.getpid() == here else balanced_centroids(*a, **k))
+    rng = np.random.default_rng(11)
+    ids, x = [f"v{i}" for i in range(20)], rng.normal(size=(20, 64))
+    assert pairs(spark, list(zip(ids, x.tolist()))) == brute(ids, x.astype(np.float32).astype(float))
