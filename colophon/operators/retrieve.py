@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.functions.text import normalize_for_matching
+from colophon.operators.contain import contained
+from colophon.storage import written
 
 RRF_K = 60
 #: Vectors of queries that an executor may hold: 64 MB of float32 components.
@@ -198,8 +200,10 @@ def source_mentions(queries: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``in Title`` anywhere, the whole title of six characters or more, or the longest
     leading part of the title (five characters or more, without leading stop words)
-    that no other source's title contains or is contained in.
+    that no other source's title contains or is contained in.  Titles and their parts
+    meet queries, and parts each other, by :func:`contained`.
     """
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0))
     stop = r"^(?:(?:the|a|an|what|who|when|where|why|how|which|is|are|was|were|do|does|did) )+"
     title = F.trim(F.regexp_replace(F.lower("source"), r"^\d{4}\s+", ""))
     s = sources.select("source").where("source is not null").distinct().withColumn("title", title)
@@ -207,20 +211,32 @@ def source_mentions(queries: DataFrame, sources: DataFrame) -> DataFrame:
     s = s.withColumn("words", F.split(F.regexp_replace(F.concat(short, F.lit(" ")), stop, ""), r"\s+"))
     s = s.withColumn("words", F.filter("words", lambda w: w != ""))
     parts = s.select("source", F.explode(F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", 1, n), " ")))).alias("part")).where("length(part) >= 5")
-    # A part inside another part shares its first word with some position of it: join on words.
-    inside = parts.select("source", "part", F.explode(F.array_distinct(F.split("part", " "))).alias("word"))
-    clash = inside.alias("a").join(inside.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.part").contains(F.col("b.part")) | F.col("b.part").contains(F.col("a.part"))))
-    unique = parts.join(clash.select(F.col("a.source").alias("source"), F.col("a.part").alias("part")).distinct(), ["source", "part"], "left_anti")
-    low = F.lower("query")
+    parts = parts.withColumn("word", F.try_element_at(words(F.col("part")), F.lit(1)))
     pattern = F.concat(F.lit(r"(?i)\bin\s+"), F.regexp_replace(F.regexp_replace(F.regexp_replace("title", r"([\\.\[\]{}()*+?^$|])", r"\\$1"), "-", r"[-\\s]?"), r"\s+", r"\\s+"), F.lit(r"\b"))
-    named = s.withColumn("pattern", pattern)
-    # A source's rarest handle is its first title word: queries meet sources on words.
-    q_words = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    full = named.select("source", "title", "pattern", F.try_element_at(F.regexp_extract_all("title", F.lit(r"\w+"), F.lit(0)), F.lit(1)).alias("word")).where("word is not null")
-    whole = q_words.join(full, "word").where(((F.length("title") >= 6) & low.contains(F.col("title"))) | F.rlike(F.col("query"), F.col("pattern"))).select("query_id", "source")
-    heads = unique.select("source", "part", F.try_element_at(F.regexp_extract_all("part", F.lit(r"\w+"), F.lit(0)), F.lit(1)).alias("word")).where("word is not null")
-    some = q_words.join(heads, "word").where(low.contains(F.col("part"))).select("query_id", "source")
-    found = whole.union(some).distinct()
+    # What the pattern leaves open are spaces and hyphens: without them, "in" and the title stand in the query.
+    closed = lambda text: F.regexp_replace(text, r"[-\s]+", "")
+    named = s.select("source", "title", pattern.alias("pattern"), F.concat(F.lit("in"), closed(F.col("title"))).alias("closed"), F.try_element_at(words(F.col("title")), F.lit(1)).alias("word")).where("word is not null")
+    asked = queries.select("query").where("query is not null").distinct().withColumn("low", F.lower("query")).withColumn("closed", closed(F.col("low"))).withColumn("words", words(F.col("low")))
+    strings = named.where("length(title) >= 6").select(F.col("title").alias("string")).union(parts.where("word is not null").select("part"))
+    held = written(contained(asked, strings, "query", "low", "string").join(asked.select("query", "words"), "query"), "mentioned")
+    has_word = F.array_contains("words", F.col("word"))
+    whole = held.join(named, F.col("string") == F.col("title")).where(has_word & (F.length("title") >= 6)).select("query", "source")
+    inside = contained(asked, named, "query", "closed", "closed").withColumnRenamed("closed", "key").join(asked.select("query", "words"), "query").join(named, F.col("key") == F.col("closed"))
+    inside = inside.where(has_word & F.rlike(F.col("query"), F.col("pattern"))).select("query", "source")
+    # Only parts that stand in a query need to be alone; one that two sources have is not.
+    owned = parts.groupBy("part").agg(F.min("source").alias("source"), F.max("source").alias("last"), F.first("word").alias("word"))
+    alone = held.join(owned, F.col("string") == F.col("part")).where(has_word & (F.col("source") == F.col("last")))
+    some = written(alone.select("query", "source", "part"), "parts")
+    wanted = some.select("source", "part").distinct()
+    # A part that holds another source's part, or is held by one: then by that source's longest.
+    longest = parts.groupBy("source").agg(F.max_by("part", F.length("part")).alias("part")).groupBy("part").agg(F.min("source").alias("source"), F.max("source").alias("last"))
+    holds = contained(wanted.select(F.col("part").alias("mine")), parts, "mine", "mine", "part").join(owned.drop("word"), "part")
+    held_by = contained(longest.select(F.col("part").alias("long")), wanted, "long", "long", "part").select(F.col("part").alias("mine"), F.col("long").alias("part")).join(longest, "part")
+    near = holds.select("mine", "part", "source", "last").union(held_by.select("mine", "part", "source", "last")).where(F.arrays_overlap(F.split("mine", " "), F.split("part", " ")))
+    clash = near.alias("n").join(wanted.alias("w"), (F.col("n.mine") == F.col("w.part")) & ((F.col("n.source") != F.col("w.source")) | (F.col("n.last") != F.col("w.source"))))
+    unique = some.join(clash.select(F.col("w.part").alias("part")).distinct(), "part", "left_anti")
+    found = whole.union(inside).union(unique.select("query", "source")).distinct()
+    found = queries.select("query_id", "query").join(found, "query").select("query_id", "source").distinct()
     return found.withColumn("n_sources", F.count("*").over(Window.partitionBy("query_id")))
 
 
